@@ -316,7 +316,8 @@ def span_digests(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text
     found = find_spans(docs, model, id_col, text_col)
     line = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(id_col, *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
