@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nomen.llm import pii
+from nomen.llm import license_scan, pii, quality
 from nomen.llm._shared import documents
 
 
@@ -15,8 +15,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(docs, pii.train(docs))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii}
+    return {"op1_pii": op1_pii, "op3_quality": op3_quality, "op9_license_scan": op9_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
