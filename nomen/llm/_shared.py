@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return re.sub("^file:/+", "file:///", full).rstrip("/")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="nomen-"))
     return _LOCAL[0]

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nomen.llm import license_scan, pii, quality
-from nomen.llm._shared import documents
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from nomen.llm import license_scan, packing, pii, quality, topk, warc
+from nomen.llm._shared import documents, new_path
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +23,37 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
 
 
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(documents(spark, sf_dir, "embeddings"))
+    found = topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archive(warc.to_records(documents(spark, sf_dir, "pages")), path)
+    return warc.archive_report(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op3_quality": op3_quality, "op9_license_scan": op9_license_scan}
+    return {
+        "op1_pii": op1_pii,
+        "op3_quality": op3_quality,
+        "op5_maxscore": op5_maxscore,
+        "op7_packing": op7_packing,
+        "op9_license_scan": op9_license_scan,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_maxscore": topk.ORACLE, "op10_warc": warc.ORACLE}
