@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from nomen.llm import license_scan, packing, pii, quality, topk, warc
+from nomen.llm import license_scan, packing, pii, quality, simhash, topk, warc
 from nomen.llm._shared import documents, new_path
 
 
@@ -18,6 +18,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(docs, pii.train(docs))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
@@ -47,6 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_simhash": op2_simhash,
         "op3_quality": op3_quality,
         "op5_maxscore": op5_maxscore,
         "op7_packing": op7_packing,
