@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from nomen.llm import license_scan, packing, pii, quality, simhash, topk, warc
+from nomen.llm import decontaminate, license_scan, packing, pii, quality, simhash, topk, warc
 from nomen.llm._shared import documents, new_path
 
 
@@ -34,6 +34,10 @@ def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_quality": op3_quality,
         "op5_maxscore": op5_maxscore,
+        "op6_decontaminate": op6_decontaminate,
         "op7_packing": op7_packing,
         "op9_license_scan": op9_license_scan,
         "op10_warc": op10_warc,
@@ -62,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_maxscore": topk.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op5_maxscore": topk.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
