@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from nomen.llm import decontaminate, license_scan, packing, pii, quality, simhash, topk, warc
+from nomen.llm import decontaminate, license_scan, packing, pii, quality, repeats, simhash, topk, warc
 from nomen.llm._shared import documents, new_path
 
 
@@ -42,6 +42,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -61,10 +65,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_maxscore": op5_maxscore,
         "op6_decontaminate": op6_decontaminate,
         "op7_packing": op7_packing,
+        "op8_repeats": op8_repeats,
         "op9_license_scan": op9_license_scan,
         "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_maxscore": topk.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op5_maxscore": topk.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op8_repeats": repeats.ORACLE, "op10_warc": warc.ORACLE}
