@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from nomen.llm import decontaminate, license_scan, packing, pii, quality, repeats, simhash, topk, warc
+from nomen.llm import decontaminate, license_scan, masked_lm, packing, pii, quality, repeats, simhash, topk, warc
 from nomen.llm._shared import documents, new_path
 
 
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
 
 
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score_documents(documents(spark, sf_dir))
+
+
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(documents(spark, sf_dir, "embeddings"))
     found = topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5)
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_simhash": op2_simhash,
         "op3_quality": op3_quality,
+        "op4_masked_lm": op4_masked_lm,
         "op5_maxscore": op5_maxscore,
         "op6_decontaminate": op6_decontaminate,
         "op7_packing": op7_packing,
