@@ -222,6 +222,33 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     return _small(docs, [r[0] for r in rows], [r[1] for r in rows], id_col, text_col)
 
 
+def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    A small benchmark is looked up in place; with a large one, rows that share an id share its verdict.
+    """
+    usable = bench.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
+    size = usable.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    if size > broadcast_bytes:
+        bad = _large(docs, usable, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
+        return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    rows = sorted((r[0], r[1]) for r in usable.collect())
+    shared, at = docs.sparkSession.sparkContext.broadcast(rows), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Benchmark([r[0] for r in shared.value], [r[1] for r in shared.value])
+        for batch in batches:
+            keep: list[bool] = []
+            for _, _, table in _words.tables(batch.column(at), _words.ALPHANUMERIC, True):
+                hit, _ = found.hits(table)
+                before = np.append(0, np.cumsum(hit))
+                n_hit = before[table.first[1:]] - before[table.first[:-1]]
+                keep += (~((n_hit > 0) & (20 * n_hit >= table.counts))).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),

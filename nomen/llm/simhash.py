@@ -173,3 +173,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = materialise(of, "classes")
     best = of.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.join(of.join(best, "component").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the one with the least id; rows without an id all stay, and rows that
+    share an id count as one document."""
+    found = near_duplicates(docs, id_col, text_col)
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
+    named = docs.join(stay, docs[id_col] == stay["_stay"], "left_semi")
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
