@@ -164,7 +164,7 @@ def phase_events(events: DataFrame, key: str, order: list[str], event: str, ts:
 
 def phase_timings(phases: DataFrame, key: str) -> DataFrame:
     """(key, n, total, longest, mean) seconds of phases; the mean of none is 1 by the divide rule."""
-    seconds = F.unix_micros("stopped") / 1e6 - F.unix_micros("started") / 1e6
+    seconds = (F.unix_micros(F.col("stopped").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6
     t = phases.select(key, seconds.alias("s")).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("total"), F.max("s").alias("longest"))
     return t.withColumn("mean", C.safe_divide("total", "n"))
 

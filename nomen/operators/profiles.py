@@ -54,10 +54,9 @@ def name_votes(matches: DataFrame, paths: DataFrame) -> DataFrame:
 
     ``paths(app, node, container, level)``: containers of a method below the root, from level 1.
     """
-    at = matches.join(paths, ["app", "node"]).withColumn("choices", F.array_distinct(F.transform("lib_ids", lambda x: F.substring_index(x, ".", F.col("level")))))
     # an id with fewer parts than the level gives no prefix there
-    whole = F.filter("lib_ids", lambda x: F.size(F.split(x, r"\.")) >= F.col("level"))
-    at = at.withColumn("choices", F.array_distinct(F.transform(whole, lambda x: F.substring_index(x, ".", F.col("level")))))
+    whole = F.filter(F.transform("lib_ids", lambda x: F.split(x, r"\.")), lambda x: F.size(x) >= F.col("level"))
+    at = matches.join(paths, ["app", "node"]).withColumn("choices", F.array_distinct(F.transform(whole, lambda x: F.array_join(F.slice(x, F.lit(1), F.col("level")), "."))))
     total = at.groupBy("app", F.col("container").alias("node")).agg(F.count(F.lit(1)).alias("method_count"))
     votes = at.select("app", F.col("container").alias("node"), F.explode("choices").alias("choice")).groupBy("app", "node", "choice").agg(F.count(F.lit(1)).alias("votes"))
     return votes.join(total, ["app", "node"])
@@ -170,8 +169,23 @@ def propagate_relations(sets: DataFrame, most_rounds: int = 10_000) -> DataFrame
 
 def _embed(small: dict, large: dict, budget: int) -> dict[int, int] | None:
     """An injective map of the small graph's nodes into the large one's that keeps types, hashes and edges both ways."""
-    order = sorted(small["types"], key=lambda n: (-len(small["out"][n]) - len(small["in"][n]), n))
-    fits = {n: [m for m in large["types"] if large["types"][m].startswith(small["types"][n]) and (large["sigs"][m] == small["sigs"][n] if small["static"][n] else small["hashes"][n] in (None, large["hashes"][m]) or large["hashes"][m] is None)] for n in order}
+    shown = {small["sigs"][n] for n in small["types"] if small["static"][n]}
+
+    def fixed(g: dict, n: int) -> frozenset:
+        """A node's edges with static nodes, which are told by their signature alone."""
+        return frozenset((side, r, g["sigs"][k]) for side in ("out", "in") for k, r in g[side][n].items() if g["static"][k] and g["sigs"][k] in shown)
+
+    def fit(n: int, m: int) -> bool:
+        if not large["types"][m].startswith(small["types"][n]):
+            return False
+        if small["static"][n]:
+            return large["sigs"][m] == small["sigs"][n]
+        return (small["hashes"][n] is None or large["hashes"][m] is None or small["hashes"][n] == large["hashes"][m]) and around[n] == around_large[m]
+
+    around = {n: fixed(small, n) for n in small["types"]}
+    around_large = {m: fixed(large, m) for m in large["types"]}
+    fits = {n: [m for m in large["types"] if fit(n, m)] for n in small["types"]}
+    order = sorted(small["types"], key=lambda n: (len(fits[n]), n))
     used: dict[int, int] = {}
     taken: set[int] = set()
     steps = 0

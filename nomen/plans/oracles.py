@@ -105,9 +105,9 @@ fit AS (SELECT m.app, m.node, m.id AS minified_id, coalesce(list_sort(list_disti
     AND len(string_split(l.id, '.')) = len(string_split(m.id, '.'))
     AND len(list_filter(list_zip(string_split(l.id, '.'), string_split(m.id, '.')), lambda p: length(p[2]) > 3 AND p[1] <> p[2])) = 0))), []) AS lib_ids
   FROM meth m LEFT JOIN cnt c ON c.sig = m.sig LEFT JOIN lib l ON l.sig = m.sig WHERE coalesce(c.n, 0) <= 10 GROUP BY ALL),
-at AS (SELECT f.app, p.container, p.level, f.node, f.lib_ids FROM fit f JOIN paths p USING (app, node)),
-mc AS (SELECT app, container AS node, count(*) AS method_count FROM at GROUP BY ALL),
-vt AS (SELECT app, container AS node, choice, count(*) AS votes FROM (SELECT DISTINCT app, container, level, node, array_to_string(string_split(id, '.')[1:level], '.') AS choice FROM (SELECT *, unnest(lib_ids) AS id FROM at) WHERE len(string_split(id, '.')) >= level) GROUP BY ALL),
+placed_at AS (SELECT f.app, p.container, p.level, f.node, f.lib_ids FROM fit f JOIN paths p USING (app, node)),
+mc AS (SELECT app, container AS node, count(*) AS method_count FROM placed_at GROUP BY ALL),
+vt AS (SELECT app, container AS node, choice, count(*) AS votes FROM (SELECT DISTINCT app, container, level, node, array_to_string(string_split(id, '.')[1:level], '.') AS choice FROM (SELECT *, unnest(lib_ids) AS id FROM placed_at) WHERE len(string_split(id, '.')) >= level) GROUP BY ALL),
 votes AS (SELECT app, node, choice, votes, method_count FROM vt JOIN mc USING (app, node)),
 best AS (SELECT app, node, choice, CAST(votes AS DOUBLE) / method_count AS confidence FROM (SELECT *, rank() OVER (PARTITION BY app, node ORDER BY votes DESC) AS r, count(*) OVER (PARTITION BY app, node, votes) AS ties FROM votes) WHERE r = 1 AND ties = 1 AND CAST(votes AS DOUBLE) / method_count >= 0.6)"""
 
@@ -120,7 +120,7 @@ valid AS (SELECT DISTINCT app, a, b, CASE WHEN (a % 5 = 0) <> (b % 5 = 0) THEN k
 _SHORT = model.SHORT_NAMES
 _RATES = f"""
 {_WORDS},
-elem AS (SELECT lang AS app, source AS package, CAST(doc AS VARCHAR) AS cls, pos = 0 AS is_class, word AS name FROM w WHERE length(word) <= 6 AND pos < 200),
+elem AS (SELECT lang AS app, source || '.' || (doc % 40) AS package, CAST(doc AS VARCHAR) AS cls, pos = 0 AS is_class, word AS name FROM w WHERE length(word) <= 6 AND (length(word) >= 3 OR doc % 40 < 10) AND pos < 200),
 crate AS (SELECT app, package, cls, count(*) FILTER (WHERE length(name) < 2 OR (length(name) = 2 AND NOT contains('{_SHORT}', name))) AS obfuscated, count(*) AS total FROM elem GROUP BY ALL),
 up AS (SELECT CASE grouping(app, package) WHEN 0 THEN 'package' WHEN 1 THEN 'app' ELSE 'all' END AS level, app, package, CAST(NULL AS VARCHAR) AS cls, count(*) FILTER (WHERE obfuscated * 10 > total) AS obfuscated, count(*) AS total FROM crate GROUP BY ROLLUP (app, package)),
 rates AS (SELECT 'class' AS level, app, package, cls, obfuscated, total FROM crate UNION ALL SELECT * FROM up)"""
@@ -302,10 +302,10 @@ SELECT l.app, CAST(id AS INTEGER) AS id, neighbours, (SELECT count(*) FROM v WHE
     "phase_timings": """WITH e AS (SELECT user_id, event_type, ts, lag(event_type) OVER w AS was, lag(ts) OVER w AS since FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, (epoch_us(ts) - epoch_us(since)) / 1e6 AS s FROM e WHERE event_type = 'purchase' AND was = 'view')
 SELECT user_id, count(*) AS n, round(sum(s), 3) AS total, round(max(s), 3) AS longest, round(sum(s) / count(*), 3) AS mean FROM s GROUP BY user_id""",
-    "test_log_phases": f"""WITH e AS (SELECT 'u' || user_id AS app, event_id AS line, CASE event_type WHEN 'signup' THEN 'pass' WHEN 'view' THEN 'predict_start' WHEN 'purchase' THEN 'predict_stop' WHEN 'click' THEN 'train_start' ELSE 'train_end' END AS event, CASE WHEN event_type = 'signup' THEN CAST(event_id % 10 AS VARCHAR) END AS pass, CAST(event_id AS DOUBLE) AS at FROM events),
-d AS (SELECT app, line, event, at, last_value(pass IGNORE NULLS) OVER (PARTITION BY app ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pass FROM e),
-g AS (SELECT *, lag(event) OVER w AS was, lag(at) OVER w AS since FROM d WHERE event <> 'pass' WINDOW w AS (PARTITION BY app ORDER BY line)),
-s AS (SELECT app, pass, CASE WHEN event = 'train_end' AND was = 'train_start' THEN at - since END AS t, CASE WHEN event = 'predict_stop' AND was = 'predict_start' THEN at - since END AS p FROM g)
+    "test_log_phases": f"""WITH e AS (SELECT 'u' || user_id AS app, event_id AS line, CASE event_type WHEN 'signup' THEN 'pass' WHEN 'view' THEN 'predict_start' WHEN 'purchase' THEN 'predict_stop' WHEN 'click' THEN 'train_start' ELSE 'train_end' END AS event, CASE WHEN event_type = 'signup' THEN CAST(event_id % 10 AS VARCHAR) END AS pass, CAST(event_id AS DOUBLE) AS moment FROM events),
+d AS (SELECT app, line, event, moment, last_value(pass IGNORE NULLS) OVER (PARTITION BY app ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pass FROM e),
+g AS (SELECT *, lag(event) OVER w AS was, lag(moment) OVER w AS since FROM d WHERE event <> 'pass' WINDOW w AS (PARTITION BY app ORDER BY line)),
+s AS (SELECT app, pass, CASE WHEN event = 'train_end' AND was = 'train_start' THEN moment - since END AS t, CASE WHEN event = 'predict_stop' AND was = 'predict_start' THEN moment - since END AS p FROM g)
 SELECT app, pass, sum(t) AS train_seconds, count(p) AS predict_count, sum(p) AS predict_total, max(p) AS predict_max, CASE WHEN count(p) <= 0 THEN 1.0 ELSE sum(p) / count(p) END AS predict_mean FROM s GROUP BY app, pass""",
     "score_table": """WITH e AS (SELECT 'u' || user_id AS app, round(value, 2) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), l AS (SELECT app, arg_max(v, i) AS end_score, max(i) AS edge_count FROM e GROUP BY app)
 SELECT app, end_score, edge_count, round(end_score / edge_count, 9) AS score FROM l""",

@@ -105,9 +105,9 @@ def profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def name_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(app, package, cls, kind, name): words as element names; a document is a class, its source the package."""
-    w = words(spark, sf_dir).where("length(word) <= 6 AND pos < 200")
-    return w.select(F.col("lang").alias("app"), F.col("source").alias("package"), F.col("doc").cast("string").alias("cls"), F.when(F.col("pos") == 0, "class").otherwise("member").alias("kind"), F.col("word").alias("name"))
+    """(app, package, cls, kind, name): words as element names; a document is a class, in one of 40 packages of its source; three quarters of them leave out short words."""
+    w = words(spark, sf_dir).where("length(word) <= 6 AND (length(word) >= 3 OR doc % 40 < 10) AND pos < 200")
+    return w.select(F.col("lang").alias("app"), F.concat("source", F.lit("."), (F.col("doc") % 40).cast("string")).alias("package"), F.col("doc").cast("string").alias("cls"), F.when(F.col("pos") == 0, "class").otherwise("member").alias("kind"), F.col("word").alias("name"))
 
 
 def feature_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
