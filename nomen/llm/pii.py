@@ -31,7 +31,8 @@ BASE_KINDS = KINDS[:4]
 _LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # Each possessive form matches what the plain pattern matches, as no part can give characters back to another.
-_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++){3,}+")
+# The look-behind only leaves out starts inside a number, from where a match would have begun earlier.
+_CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NAMED_SECRET = re.compile(r"(?i)(?<![a-z])(password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)[\x20\t]{0,4}[=:][\x20\t]{0,4}[\"']?([^\s\"',;]{6,}+)")
@@ -231,8 +232,8 @@ def fit(counts: dict[str, int], rounds: int = 50, steps: int = 300) -> SpanModel
                 reliability[j, 1, v] = (n * truth)[of].sum() + 1
                 reliability[j, 0, v] = (n * (1 - truth))[of].sum() + 1
             reliability[j] /= reliability[j].sum(axis=1, keepdims=True)
-    x = np.array([_encode(p) for p in patterns]).reshape(len(patterns), -1)
     w = np.zeros(_encode("email|0000|0ss").size)
+    x = np.array([_encode(p) for p in patterns]).reshape(len(patterns), w.size)
     share = n / n.sum() if patterns else n
     for _ in range(steps if patterns else 0):  # Newton steps would need a solver for no gain: the problem is tiny
         p = 1 / (1 + np.exp(-(x @ w)))
