@@ -24,7 +24,7 @@ from nomen.llm import _words
 
 WIDTH, EMBED, FILTERS, HIDDEN = 6, 8, 24, 12
 CHUNK, OVERLAP = 512, 64
-MAX_DOCS, MAX_CHUNKS, STEPS, BATCH = 3000, 6, 700, 48
+MAX_DOCS, MAX_CHUNKS, STEPS, BATCH = 5000, 6, 1200, 48
 THRESHOLD = 0.3
 
 
