@@ -1,16 +1,27 @@
-"""Cutting the lineage of loops."""
+"""Cutting the lineage of loops and of tables that several branches of a query read."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 
+_LOCAL: list[str] = []
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed into ``spark.checkpoint.dir``, or kept in memory where a session has no such folder."""
+    """``df`` written as Parquet into ``spark.checkpoint.dir``, which all executors share, and read back.
+
+    The new scan has sizes that joins can be planned by, and survives lost executors.  Only a session without
+    that setting (a test on one machine) gets a temporary folder.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return df.persist()
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="nomen-"))
+        folder = _LOCAL[0]
+    path = f"{folder.rstrip('/')}/nomen-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -181,6 +181,19 @@ SQL: dict[str, str] = {
     "library_groups": f"WITH {_SETS} SELECT lib_name, n_members, packages, paths FROM libs JOIN lib_names USING (lib_id)",
     "library_matches": f"WITH {_SETS} SELECT app, package, lib_name, n_common FROM matched",
     "superset_candidates": f"WITH {_SETS} SELECT c.app, c.package, l.lib_name FROM common c JOIN prints p USING (app, package) JOIN lib_names l ON l.lib_id = c.lib_id WHERE c.n_common = p.n",
+    "package_subgraph": f"""WITH {_SETS}, pn AS (SELECT o.app, o.id, o.package AS member_of, h.hash FROM own o LEFT JOIN hashes h ON h.app = o.app AND h.id = o.id),
+g AS (SELECT DISTINCT a.app, b.package, a.member_of FROM (SELECT DISTINCT app, member_of FROM pn) a JOIN (SELECT DISTINCT app, package FROM sets) b ON b.app = a.app AND starts_with(a.member_of, b.package)),
+inside AS (SELECT pn.app, g.package, pn.id, pn.hash FROM pn JOIN g ON g.app = pn.app AND g.member_of = pn.member_of),
+ke AS (SELECT i.app, i.package, e.source, e.target FROM edges e JOIN nodes t ON t.app = e.app AND t.id = e.target JOIN inside i ON i.app = e.app AND i.id = e.source WHERE t.type IN {_STATIC} AND NOT (t.type = 'modifier' AND t.name = 'volatile')),
+n1 AS (SELECT app, package, count(*) AS n, count(DISTINCT hash) AS h FROM inside GROUP BY ALL), n2 AS (SELECT app, package, count(DISTINCT target) AS n, count(*) AS e FROM ke GROUP BY ALL)
+SELECT n1.app, n1.package, n1.n + n2.n AS n_nodes, n2.n AS n_static, n1.h AS n_hashes, n2.e AS n_edges FROM n1 JOIN n2 USING (app, package)""",
+    "common_package_names": f"WITH {_EL} SELECT cls, pkg, n FROM (SELECT cls, pkg, count(*) AS n, row_number() OVER (PARTITION BY cls ORDER BY count(*) DESC, pkg) AS r FROM el GROUP BY cls, pkg) WHERE r = 1",
+    "known_entities": f"WITH {_KG} SELECT name FROM kn",
+    "unknown_names": f"WITH {_GRAPH} SELECT app || '->node:' || id AS gid, upper(name) AS original_name FROM nodes WHERE type IN ('package', 'class', 'method') AND id % 3 > 0",
+    "graph_predictions": f"""WITH {_GRAPH} SELECT app, type[1] AS kind, CASE WHEN type = 'method' THEN regexp_extract(sig, '^<(.*): void', 1) || ';->' || name || '(int)' ELSE sig END AS key, name || 'X' AS value,
+type IN ('class', 'method') AND id % 4 = 0 AS is_lib, type IN ('class', 'method') AND id % 4 = 0 AS third_party FROM nodes WHERE type IN ('package', 'class', 'method') AND id % 3 = 0""",
+    "report_lib_packages": """WITH r AS (SELECT 'app' || (p_partkey % 20) AS app, ['p', 'c', 'f', 'm'][p_partkey % 4 + 1] AS kind, 'p' || (p_partkey % 60) AS pkg, 'p' || (p_partkey % 60) || CASE WHEN p_partkey % 4 > 0 THEN '.K' || p_partkey ELSE '' END || CASE WHEN p_partkey % 4 > 1 THEN ';->m' || p_partkey ELSE '' END AS key, p_partkey % 3 = 0 AND p_partkey % 5 = 0 AND p_partkey % 4 < 2 AS hit FROM part)
+SELECT app, kind, key, EXISTS (SELECT 1 FROM r l WHERE l.hit AND l.app = r.app AND l.pkg = r.pkg) AS is_lib FROM r""",
     "normalised_edges": f"""WITH {_graph(True)},
 goes AS (SELECT a.app, a.id, t.id AS to_id, substr(a.name, 1, instr(a.name, '[') - 1) AS element FROM nodes a LEFT JOIN (SELECT app, id, name FROM nodes WHERE regexp_matches(type, '^(class|type)')) t ON t.app = a.app AND t.name = substr(a.name, 1, instr(a.name, '[') - 1) WHERE a.type = 'type' AND a.name LIKE '%[]')
 SELECT e.app, s.type AS source_type, s.name AS source_name, upper(s.type[1]) || '_' || CASE WHEN g.id IS NULL THEN upper(t.type[1]) WHEN g.to_id IS NULL THEN '[C' ELSE '[T' END || substr(e.relation, 3) AS relation,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nomen import model
 from nomen.functions import columns as C
 from nomen.functions.similarity import with_name_similarity, with_ratio
+from nomen.operators._lineage import cut
 from nomen.operators import corpus, evaluate, features, graph, kg, library, mapping, profiles, vocab
 from nomen.plans import oracles
 from nomen.sources import adapters, graphs, text
@@ -37,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, edges = adapters.program_graph(spark, sf)
-    return nodes, edges, library.package_hash_sets(nodes, edges)
+    return nodes, edges, cut(library.package_hash_sets(nodes, edges))
 
 
 @query
@@ -85,15 +86,7 @@ def recover_library_names(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges, sets = _sets(spark, sf)
     libs = library.collect_libraries(sets)
     hashes = library.library_hashes(sets, libs)
-    edges = graph.latest_edges(edges).where(F.col("relation").isin(model.LIBRARY_RELATIONS))
-    hashed = nodes.join(library.node_hash(nodes, edges), ["app", "id"], "left")
-    own = hashed.withColumn("static", C.is_static("type")).withColumn("package", F.when(~F.col("static"), C.belonging_package("type", "sig")))
-    apps = own.where("package IS NOT NULL")
-    kids = edges.join(apps.select("app", F.col("id").alias("source"), "package"), ["app", "source"])
-    static = own.where(F.col("static") & ~C.can_be_minified("type", "name")).drop("package").withColumnRenamed("id", "target")
-    held = kids.join(static, ["app", "target"]).select("app", "package", F.col("target").alias("id"), "type", "name", "sig", "hash", "static").distinct()
-    package_nodes = apps.select("app", "package", "id", "type", "name", "sig", "hash", "static").union(held)
-    package_edges = kids.join(static.select("app", "target"), ["app", "target"]).select("app", "package", "source", "target", "relation")
+    package_nodes, package_edges = map(cut, library.package_subgraph(nodes, edges))
     # a library is represented by the least (app, package) of its members
     prints = sets.groupBy("app", "package").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("hash")), ","), 256).alias("lib_id"))
     stands = prints.join(libs.select("lib_id"), "lib_id").groupBy("lib_id").agg(F.min(F.struct("app", "package")).alias("m")).select("lib_id", "m.app", "m.package")
@@ -103,6 +96,20 @@ def recover_library_names(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.recover_library_names(candidates, package_nodes, package_edges, lib_nodes, lib_edges)
 
 
+@query
+def package_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    """Size of each package's graph, with the packages whose names start with its own."""
+    nodes, edges = library.package_subgraph(*adapters.program_graph(spark, sf), recursive=True)
+    n = nodes.groupBy("app", "package").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if("static").alias("n_static"), F.count_distinct("hash").alias("n_hashes"))
+    return n.join(edges.groupBy("app", "package").agg(F.count(F.lit(1)).alias("n_edges")), ["app", "package"])
+
+
+@query
+def common_package_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The commonest package of each class name."""
+    return library.most_common(adapters.elements(spark, sf), "cls", "pkg")
+
+
 # -- graph normalisation and closures
 
 
@@ -228,6 +235,17 @@ def kg_triples(spark: SparkSession, sf: str) -> DataFrame:
     return kg.build_knowledge_graph(*adapters.program_graph(spark, sf))[3]
 
 
+@query
+def known_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return kg.known_entities(adapters.program_graph(spark, sf)[0])
+
+
+@query
+def unknown_names(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, _ = adapters.program_graph(spark, sf)
+    return kg.unknown_names(nodes.withColumn("original_name", F.when(F.col("id") % 3 > 0, F.upper("name"))))
+
+
 @query
 def embedded_names(spark: SparkSession, sf: str) -> DataFrame:
     """Unknown names joined to entity ids and vectors (ids modulo the number of vectors)."""
@@ -263,6 +281,24 @@ def signature_map(spark: SparkSession, sf: str) -> DataFrame:
     return mapping.signature_map(adapters.mapping_lines(spark, sf))
 
 
+@query
+def graph_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of a recovered graph by key, with those of third-party nodes marked."""
+    nodes, _ = adapters.program_graph(spark, sf)
+    kind = F.when((F.col("id") % 4 == 0) & F.col("type").isin("class", "method"), F.concat("type", F.lit("_3lib"))).otherwise(F.col("type"))
+    recovered = nodes.withColumn("recovered_name", F.when(F.col("id") % 3 == 0, F.concat("name", F.lit("X"))).when(F.col("id") % 3 == 1, F.col("name"))).withColumn("type", kind)
+    found = mapping.mapping_from_graph(recovered)
+    marked = mapping.third_party_keys(recovered).withColumn("third_party", F.lit(True))
+    return found.join(marked, ["app", "key"], "left").select("app", "kind", "key", "value", "is_lib", F.coalesce("third_party", F.lit(False)).alias("third_party"))
+
+
+@query
+def report_lib_packages(spark: SparkSession, sf: str) -> DataFrame:
+    """Report rows whose package is a library package of the report."""
+    rows = adapters.table(spark, sf, "part").selectExpr("concat('app', p_partkey % 20) AS app", "element_at(array('p', 'c', 'f', 'm'), cast(p_partkey % 4 AS int) + 1) AS kind", "concat('p', p_partkey % 60, CASE WHEN p_partkey % 4 > 0 THEN concat('.K', p_partkey) ELSE '' END, CASE WHEN p_partkey % 4 > 1 THEN concat(';->m', p_partkey) ELSE '' END) AS key", "p_name AS truth", "p_name AS pred", "p_partkey % 3 = 0 AS matched", "p_partkey % 5 = 0 AS is_lib")
+    return evaluate.flag_by_packages(rows).select("app", "kind", "key", "is_lib")
+
+
 @query
 def rendered_mapping(spark: SparkSession, sf: str) -> DataFrame:
     p = adapters.table(spark, sf, "part").selectExpr("concat('app', p_partkey % 20) AS app", "concat('K', p_partkey) AS cls", "CASE WHEN p_partkey % 3 = 0 THEN concat('K', p_partkey) ELSE replace(p_name, ' ', '_') END AS pred", "p_partkey AS k")
