@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -185,6 +186,9 @@ def _embed(small: dict, large: dict, budget: int) -> dict[int, int] | None:
     around = {n: fixed(small, n) for n in small["types"]}
     around_large = {m: fixed(large, m) for m in large["types"]}
     fits = {n: [m for m in large["types"] if fit(n, m)] for n in small["types"]}
+    alike = Counter(map(tuple, fits.values()))
+    if any(n > len(choices) for choices, n in alike.items()):  # more nodes than places for them: no need to search
+        return None
     order = sorted(small["types"], key=lambda n: (len(fits[n]), n))
     used: dict[int, int] = {}
     taken: set[int] = set()
