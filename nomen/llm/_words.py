@@ -83,12 +83,15 @@ class WordTable:
         sizes = self.end - self.start
         self.hash = np.zeros(len(sizes), dtype=np.uint64)
         if len(sizes):
-            longest = int(sizes.max())
+            longest, total = int(sizes.max()), int(sizes.sum())
             table = _POWERS if longest <= len(_POWERS) else powers(longest)
-            begins = np.cumsum(sizes) - sizes
-            place = np.arange(int(sizes.sum())) - np.repeat(begins, sizes)
-            parts = _BYTE[self.data[inside]] * table[place]
-            self.hash = mix(np.add.reduceat(parts, begins) + sizes.astype(np.uint64))
+            begins, letters = np.cumsum(sizes) - sizes, self.data[inside]
+            cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, total, CHUNK_BYTES)), len(sizes))).tolist()
+            for i, j in zip(cuts[:-1], cuts[1:]):  # in blocks, as a very long document comes in one piece
+                lo, hi = int(begins[i]), int(begins[j]) if j < len(sizes) else total
+                own = begins[i:j] - lo
+                parts = _BYTE[letters[lo:hi]] * table[np.arange(hi - lo) - np.repeat(own, sizes[i:j])]
+                self.hash[i:j] = mix(np.add.reduceat(parts, own) + sizes[i:j].astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.start)

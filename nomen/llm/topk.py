@@ -10,7 +10,7 @@ exact.  The shards' best are merged by rank.
 Queries come in blocks, each block meets each shard in one task, so that memory is that of one block and one
 shard.  Rows whose vector is null or holds null, NaN or infinite components take no part, nor do null ids;
 missing trailing components count as 0; repeated ids are separate candidates, and none of them answers a query of
-the same id.
+the same id.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -291,7 +291,7 @@ def base32_sha1(data: bytes) -> str:
 def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Records of a page table (columns of SCHEMA): of equal payloads of ``least_bytes`` or more, the largest id is
     the response and the others revisit it; a null payload is empty; rows that repeat the largest id all are
-    responses; a null id counts as smaller than any other.
+    responses; a null id counts as smaller than any other; an empty table gives no records; other columns are ignored.
 
     Equal payloads are found by SHA-256; only (digest, id) pairs are grouped, so no payloads gather anywhere.
     """

@@ -589,3 +589,12 @@ def test_pipeline_edges(spark, sf_dir, stage):
     for part in (docs, docs.where("false")):
         out = p.STAGES[stage][1](spark, part, sf_dir)
         assert out.count() >= 0 and (stage == 4 or out.columns == docs.columns)
+
+
+def test_long_documents_hash_in_blocks(monkeypatch):
+    r = random.Random(2)
+    text = pa.array([babble(r, 3000), "z" * 900 + " " + babble(r, 50), ""])
+    (_, _, whole), = _words.tables(text, _words.ALPHANUMERIC, True)
+    monkeypatch.setattr(_words, "CHUNK_BYTES", 64)
+    (_, _, pieces), = _words.tables(text, _words.ALPHANUMERIC, True, 1 << 20)
+    assert whole.hash.tolist() == pieces.hash.tolist()
