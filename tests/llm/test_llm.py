@@ -401,6 +401,18 @@ def test_encoders_agree():
         assert fast(text).tolist() == plain(text).tolist(), text[:50]
 
 
+def test_packing_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = ["a" + " " * 1_000_000 + "b <|endoftext|> c", "\n" * 1_200_000, "short"]
+    want = {(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, x in enumerate(texts) for ids in [[*t.encode(x, add_special_tokens=False).ids, 1]]}
+    pieces = packing.pack(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), length=1 << 24)
+    assert {(p["doc_id"], p["doc_tokens"], p["ids_crc32"]) for p in pieces.collect()} == want
+
+
 # -- 8 repeated passages
 
 
