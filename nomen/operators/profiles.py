@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -127,42 +128,53 @@ def recover_by_profiles(methods: DataFrame, library: DataFrame, paths: DataFrame
     return best, prefix_match(named, library)
 
 
-def propagate_relations(sets: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def propagate_relations(sets: DataFrame) -> DataFrame:
     """(app, node, name): names of unresolved neighbours, one app at a time.
 
     ``sets(app, ord, relations: array<string>, neighbours: array<struct<node, relation>>)``: what a recovered method is
     expected to relate to (``para:``, ``ret:``, ``refer:`` and a name), and its unresolved neighbours.  A kind with one
     relation and one neighbour resolves both; otherwise a neighbour whose sets share one relation.  Resolved ones leave
-    all sets, until nothing changes.
+    all sets, until nothing changes; each resolves one neighbour, so that this ends.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("ord")
         state = [(set(r), {n["node"]: n["relation"] for n in ns}) for r, ns in zip(rows["relations"], rows["neighbours"])]
         found: list[tuple[int, str]] = []
-
-        def pick() -> tuple[int, str] | None:
-            for relations, nodes in state:
-                for kind in ("para", "ret", "refer"):
-                    names = [r for r in relations if r.startswith(kind)]
-                    open_ = [n for n, r in nodes.items() if r.startswith(kind)]
-                    if len(names) == len(open_) == 1:
-                        return open_[0], names[0]
-                for node in sorted(nodes):
-                    shared = set.intersection(*[r for r, ns in state if node in ns])
-                    if len(shared) == 1:
-                        return node, next(iter(shared))
+        having: dict[int, set[int]] = {}
+        for i, (_, nodes) in enumerate(state):
+            for node in nodes:
+                having.setdefault(node, set()).add(i)
+
+        def pick(relations: set[str], nodes: dict[int, str]) -> tuple[int, str] | None:
+            for kind in ("para", "ret", "refer"):
+                names = [r for r in relations if r.startswith(kind)]
+                open_ = [n for n, r in nodes.items() if r.startswith(kind)]
+                if len(names) == len(open_) == 1:
+                    return open_[0], names[0]
+            for node in sorted(nodes):
+                shared = set.intersection(*[state[i][0] for i in having[node]])
+                if len(shared) == 1:
+                    return node, next(iter(shared))
             return None
 
-        for _ in range(most_rounds):
-            if (got := pick()) is None:
-                break
+        # the first set that resolves one comes next; only sets near a change are looked at again
+        waiting = list(range(len(state)))
+        listed = set(waiting)
+        while waiting:
+            if (got := pick(*state[waiting[0]])) is None:
+                listed.discard(heapq.heappop(waiting))
+                continue
             node, relation = got
             found.append((node, relation.partition(":")[2]))
-            for relations, nodes in state:
-                if node in nodes:
-                    del nodes[node]
-                    relations.discard(relation)
+            changed = having.pop(node)
+            for i in changed:
+                del state[i][1][node]
+                state[i][0].discard(relation)
+            near = {n for i in changed for n in state[i][1]}
+            for i in changed.union(*(having[n] for n in near)) - listed:
+                listed.add(i)
+                heapq.heappush(waiting, i)
         return pd.DataFrame({"app": [pdf["app"].iloc[0]] * len(found), "node": [n for n, _ in found], "name": [n for _, n in found]})
 
     return sets.groupBy("app").applyInPandas(solve, "app string, node long, name string")

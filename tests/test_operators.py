@@ -213,6 +213,13 @@ def test_propagate_relations(spark):
     assert rows(profiles.propagate_relations(sets).select("node", "name")) == [(1, "x"), (2, "y"), (3, "u"), (4, "v"), (5, "w")]
 
 
+def test_propagate_relations_of_a_large_app(spark):
+    n = 10_050
+    sets = spark.range(n).selectExpr("'a' AS app", "id AS ord", "array(concat('para:x', id)) AS relations", "array(struct(id AS node, 'para' AS relation)) AS neighbours")
+    got = profiles.propagate_relations(sets)
+    assert got.count() == n and got.where("name <> concat('x', node)").count() == 0
+
+
 def test_recover_library_names(spark):
     n, e = library_corpus(spark)
     edges = e.where(F.col("relation") == "M_T_return")
