@@ -225,13 +225,17 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns.
 
-    A small benchmark is looked up in place; with a large one, rows that share an id share its verdict.
+    A small benchmark is looked up in place; with a large one, rows are told apart by a number of their own.  Each row is
+    judged by its text alone in both ways.
     """
     usable = bench.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     size = usable.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     if size > broadcast_bytes:
-        bad = _large(docs, usable, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-        return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+        from nomen.llm._shared import numbered
+
+        own, row = numbered(docs, "documents")
+        bad = _large(own, usable, row, text_col).where("contaminated").select(F.col(row).alias("_bad"))
+        return own.join(bad, own[row] == bad["_bad"], "left_anti").drop(row)
     rows = sorted((r[0], r[1]) for r in usable.collect())
     shared, at = docs.sparkSession.sparkContext.broadcast(rows), docs.columns.index(text_col)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomen.llm._components import components
-from nomen.llm._shared import materialise
+from nomen.llm._shared import materialise, numbered
 from nomen.llm._words import LOWER
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -176,9 +176,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the least id; rows without an id all stay, and rows that
-    share an id count as one document."""
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    named = docs.join(stay, docs[id_col] == stay["_stay"], "left_semi")
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each component, one with the least id; rows without an id all stay.  Rows are told apart by a
+    number of their own, so those that share an id are judged each."""
+    rows, row = numbered(docs, "documents")
+    found = near_duplicates(rows, row, text_col).select(F.col(row).alias("_of"), "component_id")
+    named = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(row).alias("_number"))
+    least = named.join(found, F.col("_number") == F.col("_of")).groupBy("component_id").agg(F.min(F.struct("_id", "_number")).alias("_least"))
+    stay = least.select(F.col("_least._number").alias("_stay"))
+    kept = rows.join(stay, rows[row] == stay["_stay"], "left_semi")
+    return kept.unionByName(rows.where(F.col(id_col).isNull())).drop(row)

@@ -186,6 +186,14 @@ def test_simhash_edges(spark):
         simhash.near_duplicates(docs, bits=4)
 
 
+def test_keep_one_with_repeated_ids(spark):
+    one, two = "p q r s t u v w", "k l m n o a b c"
+    docs = frame(spark, [one, one, two, two, one], [1, 1, 0, 1, None]).withColumn("_row", F.lit(1))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert rows(kept.select("doc_id", "text")) == sorted([(1, one), (0, two), (None, one)], key=str)
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     assert rows(_components.components(links)) == sorted([(i, 0) for i in range(201)] + [(500, 500), (501, 500)], key=str)
@@ -362,6 +370,16 @@ def test_contamination_both_ways(spark):
     assert decontaminate.contamination(docs.where("false"), bench).count() == 0
 
 
+def test_keep_clean_with_null_and_repeated_ids(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    bad = "so " + " ".join(f"w{i}" for i in range(15))
+    docs = frame(spark, [bad, "one", bad, "two", "three"], [None, None, 7, 7, 8]).withColumn("_row", F.lit(1))
+    for most in (1 << 20, 0):
+        kept = decontaminate.keep_clean(docs, bench, broadcast_bytes=most)
+        assert kept.columns == docs.columns
+        assert rows(kept.select("doc_id", "text")) == [(7, "two"), (8, "three"), (None, "one")]
+
+
 # -- 7 packing
 
 
