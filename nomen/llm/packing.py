@@ -7,13 +7,15 @@ multiples of the sequence length without any shuffle; each piece is a boundary r
 
 Every id lies in exactly one piece and only the last sequence can be short.  Null text counts as empty and
 packs as its end id alone; repeated rows are packed each; an empty table gives no pieces; other columns are
-ignored.
+ignored.  A text is encoded as a whole in its task, so a very long one takes a few times its size in memory; its pieces
+are cut like any other's.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,34 +31,72 @@ LENGTH = 2048
 END_ID = 1
 
 
-def encoder(path: str):
-    """text -> uint32 ids.
+class Encoder:
+    """Token ids as ``tokenizers`` gives them with the settings of its JSON file (special strings included).
 
-    ``*.json`` is read by ``tokenizers``; ``*.tiktoken`` holds the same vocabulary as ranks, gives the same ids
-    (tested) and is several times faster.  Its pattern gives up on white space of about a million characters in a
-    row; such a text is encoded by ``tokenizers`` with the JSON file of the same name.
+    Byte-level vocabularies cut a text before every space that stands between two other characters, and nothing
+    reaches over such a cut.  So each distinct word is encoded once per process and remembered (``most_words`` bounds
+    the memory: the store is emptied when it is full, which costs time only).  Other vocabularies encode text by text.
+    Ids are kept as little-endian numbers of ``width`` bytes.
     """
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
-    import public_tokenizers
-    import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    t = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    plain = functools.cache(lambda: encoder(path.removesuffix(".tiktoken") + ".json"))
+    _CUT = re.compile(r" (?<=\S )(?=\S)")
+    _SPACE = re.compile(r"\s")
 
-    def encode(text: str) -> np.ndarray:
-        try:
-            return t.encode_to_numpy(text, disallowed_special=())
-        except ValueError:
-            return plain()(text)
+    def __init__(self, path: str, most_words: int = 1 << 20):
+        from tokenizers import Tokenizer
 
-    return encode
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
+        pre = plan.get("pre_tokenizer") or {}
+        added = [t["content"] for t in plan.get("added_tokens", ())]
+        self.by_words = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and plan.get("normalizer") is None
+        self.by_words &= not any(self._SPACE.search(t) for t in added)
+        self.most_words, self.known = most_words, {}
+        self.leads = np.zeros(size, bool)  # tokens that begin with a space
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.leads[i] = token.startswith("\u0120")
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that stand for themselves."""
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, self.type).tobytes()
+        edge = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces) + 1)) * self.type.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words with a space before them."""
+        if len(self.known) + len(words) > self.most_words:
+            self.known.clear()
+        odd = [w for w in words if self._SPACE.search(w)]
+        plain = list(words.difference(odd))
+        if plain:  # as one text: each word begins with the only token that has a space
+            ids = np.array(self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False).ids, self.type)
+            edge = (np.append(np.flatnonzero(self.leads[ids]), len(ids)) * self.type.itemsize).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(plain, [raw[a:b] for a, b in zip(edge[:-1], edge[1:])], strict=True))
+        if odd:
+            self.known.update(zip(odd, self._pieces([" " + w for w in odd])))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        parts = [self._CUT.split(t) for t in texts]
+        words = set().union(*(p[1:] for p in parts))
+        new = words.difference(self.known)
+        if new:
+            self._learn(new if len(self.known) + len(new) <= self.most_words else words)
+        get = self.known.__getitem__
+        return [head + b"".join(map(get, p[1:])) for head, p in zip(self._pieces([p[0] for p in parts]), parts)]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder per process, so that tasks of the same worker share what it remembers."""
+    return Encoder(path)
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -64,24 +104,34 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.uint32)
+        wide = np.dtype("<u4") if end_id > 65535 else encode.type
+        end = np.array([end_id], wide).tobytes()
         for batch in batches:
             texts = batch.column(1)
             for a in range(0, len(batch), 256):
-                ids, starts, sizes = [], [], []
-                for text in texts.slice(a, 256).to_pylist():
-                    found = np.append(encode(text or ""), end).astype(np.uint32)
-                    starts.append(before)
-                    sizes.append(len(found))
-                    before += len(found)
-                    ids.append((found if found.max() > 65535 else found.astype(np.uint16)).tobytes())
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["id", "part", "before", "n_ids", "ids"])
+                ids = encode.encode([t or "" for t in texts.slice(a, 256).to_pylist()])
+                if wide != encode.type:
+                    ids = [np.frombuffer(x, encode.type).astype(wide).tobytes() for x in ids]
+                ids = [x + end for x in ids]
+                sizes = np.array([len(x) // wide.itemsize for x in ids], np.int64)
+                starts = before + np.cumsum(sizes) - sizes
+                before += int(sizes.sum())
+                parts = pa.array(np.full(len(ids), part, np.int32))
+                columns = [batch.column(0).slice(a, 256), parts, pa.array(starts), pa.array(sizes), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "part", "before", "n_ids", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, part int, before long, n_ids long, ids binary")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, part int, before long, n_ids long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    path: str,
+    length: int = LENGTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int = END_ID,
+) -> DataFrame:
     """Pieces: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids: little-endian 32-bit)."""
     tokens = materialise(tokenised(docs, path, id_col, text_col, end_id), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("n_ids").alias("total"))
@@ -103,10 +153,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id
                         column.append(value)
                     start += size
             names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in rows[1:7]), pa.array(rows[7], pa.binary())], names=names)
+            numbers = [pa.array(c, pa.int64()) for c in rows[1:7]]
+            columns = [pa.array(rows[0], batch.schema.field(0).type), *numbers, pa.array(rows[7], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return placed.mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long"
+    return placed.mapInArrow(cut, schema + ", doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:

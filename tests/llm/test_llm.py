@@ -387,11 +387,10 @@ def test_packing_round_trip(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.json")
     docs = clashing(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).unionByName(frame(spark, [None, "", "x <|endoftext|> y", "😀é", "a" * 5000, "same", "same"], [9000, 9001, 9002, 9003, 9004, 9005, 9005])).repartition(5))
     pieces = packing.pack(docs, path).cache()
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)
     ids = {}
     for d in docs.collect():
         ids.setdefault(d["doc_id"], []).append([*t.encode(d["text"] or "", add_special_tokens=False).ids, 1])
@@ -410,24 +409,32 @@ def test_packing_round_trip(spark, sf_dir):
     assert packing.pack(docs.where("false"), path).count() == 0
 
 
-def test_encoders_agree():
+def test_encoder_equals_tokenizers():
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    fast, plain = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")), packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
     r = random.Random(1)
-    for text in [*(x or "" for x in ODD), *(babble(r, 40) + r.choice(["  ", "\n\n x", "'s it", "12 345", "<|endoftext|>", " ", " z"]) for _ in range(200))]:
-        assert fast(text).tolist() == plain(text).tolist(), text[:50]
+    texts = [x or "" for x in ODD] + [end, f"{end} a", f"a {end} b", f"a{end}", f"a  {end}\n{end} b  c", f" {end}", f"x {end[:-1]} y", "a\x1cb \x85 c \u2003d"]
+    texts += [babble(r, 40) + r.choice(["  ", "\n\n x", "'s it", "12 345", end, f" {end} ", " ", " z", "don't  we'll", "\t \t."]) + babble(r, 9) for _ in range(300)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        for most in (1 << 20, 5):
+            mine = packing.Encoder(public_tokenizers.path(name), most)
+            for a in range(0, len(texts), 50):
+                for text, ids in zip(texts[a : a + 50], mine.encode(texts[a : a + 50])):
+                    assert np.frombuffer(ids, mine.type).tolist() == t.encode(text, add_special_tokens=False).ids, text[:50]
 
 
 def test_packing_long_white_space(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
     texts = ["a" + " " * 1_000_000 + "b <|endoftext|> c", "\n" * 1_200_000, "short"]
     want = {(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, x in enumerate(texts) for ids in [[*t.encode(x, add_special_tokens=False).ids, 1]]}
-    pieces = packing.pack(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), length=1 << 24)
+    pieces = packing.pack(frame(spark, texts), path, length=1 << 24)
     assert {(p["doc_id"], p["doc_tokens"], p["ids_crc32"]) for p in pieces.collect()} == want
 
 
