@@ -37,7 +37,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
 STAGES = [
