@@ -34,16 +34,19 @@ END_ID = 1
 class Encoder:
     """Token ids as ``tokenizers`` gives them with the settings of its JSON file (special strings included).
 
-    Byte-level vocabularies cut a text before every space that stands between two other characters, and nothing
-    reaches over such a cut.  So each distinct word is encoded once per process and remembered (``most_words`` bounds
-    the memory: the store is emptied when it is full, which costs time only).  Other vocabularies encode text by text.
-    Ids are kept as little-endian numbers of ``width`` bytes.
+    Byte-level vocabularies cut a text before a space and around a line end that stands between two other characters, and
+    before a point or comma after a letter: no token reaches over such a cut.  So each distinct word is encoded once
+    per process and remembered (``most_words`` bounds the memory: the store is emptied when it is full, which costs time
+    only).  Other vocabularies encode text by text.  Ids are little-endian numbers of ``type``.
     """
 
+    _LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
     _CUT = re.compile(r" (?<=\S )(?=\S)")
     _SPACE = re.compile(r"\s")
+    _MARKS = (".", ",")
+    _AT_ONCE = 200  # words in a text that is encoded
 
-    def __init__(self, path: str, most_words: int = 1 << 20):
+    def __init__(self, path: str, most_words: int = 3 << 19):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,13 +55,17 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
         pre = plan.get("pre_tokenizer") or {}
-        added = [t["content"] for t in plan.get("added_tokens", ())]
+        added = "".join(t["content"] for t in plan.get("added_tokens", ()))
         self.by_words = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and plan.get("normalizer") is None
-        self.by_words &= not any(self._SPACE.search(t) for t in added)
-        self.most_words, self.known = most_words, {}
+        self.by_words &= not self._SPACE.search(added) and not any(m in added for m in self._MARKS)
+        self.most_words = most_words
+        self.known: dict[str, bytes] = {}  # words after a space
+        self.starts: dict[str, bytes] = {}  # beginnings of lines
         self.leads = np.zeros(size, bool)  # tokens that begin with a space
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.leads[i] = token.startswith("\u0120")
+        if self.by_words:
+            self.line_end, *self.marks = self._pieces(["\n", *self._MARKS])
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that stand for themselves."""
@@ -67,30 +74,64 @@ class Encoder:
         edge = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces) + 1)) * self.type.itemsize).tolist()
         return [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
+    @staticmethod
+    def _sound(word: str) -> bool:
+        """May a text be cut at a space on either side of this word?"""
+        return word != "" and not word[0].isspace() and not word[-1].isspace()
+
     def _learn(self, words: set[str]) -> None:
         """Remember the ids of words with a space before them."""
-        if len(self.known) + len(words) > self.most_words:
-            self.known.clear()
-        odd = [w for w in words if self._SPACE.search(w)]
-        plain = list(words.difference(odd))
-        if plain:  # as one text: each word begins with the only token that has a space
-            ids = np.array(self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False).ids, self.type)
+        odd = {w for w in words if self._SPACE.search(w)}
+        marked = {w for w in words if len(w) > 1 and w[-1] in self._MARKS and w[-2].isalpha()} - odd
+        bare = words - odd - marked
+        bare.update(w for m in marked if (w := m[:-1]) not in self.known)
+        bare = list(bare)
+        for at in range(0, len(bare), self._AT_ONCE):  # as one text: each word begins with the only token that has a space
+            part = bare[at : at + self._AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, self.type)
             edge = (np.append(np.flatnonzero(self.leads[ids]), len(ids)) * self.type.itemsize).tolist()
             raw = ids.tobytes()
-            self.known.update(zip(plain, [raw[a:b] for a, b in zip(edge[:-1], edge[1:])], strict=True))
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(edge[:-1], edge[1:])], strict=True))
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + self.marks[self._MARKS.index(w[-1])]
         if odd:
             self.known.update(zip(odd, self._pieces([" " + w for w in odd])))
 
+    def _lines(self, text: str) -> list[str]:
+        lines = text.split("\n")
+        return lines if all(map(self._sound, lines)) else self._LINE.split(text)
+
+    def _line(self, line: str) -> bytes:
+        """A line with spaces in a row or other white space beside one."""
+        head, *words = self._CUT.split(line)
+        self._learn({w for w in words if self._sound(w) and w not in self.known})
+        pieces = iter(self._pieces([head, *(" " + w for w in words if not self._sound(w))]))
+        return next(pieces) + b"".join([self.known[w] if self._sound(w) else next(pieces) for w in words])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        parts = [self._CUT.split(t) for t in texts]
-        words = set().union(*(p[1:] for p in parts))
-        new = words.difference(self.known)
-        if new:
-            self._learn(new if len(self.known) + len(new) <= self.most_words else words)
-        get = self.known.__getitem__
-        return [head + b"".join(map(get, p[1:])) for head, p in zip(self._pieces([p[0] for p in parts]), parts)]
+        if len(self.known) + len(self.starts) > self.most_words:
+            self.known.clear()
+            self.starts.clear()
+        known, starts, sound = self.known, self.starts, self._sound
+        lines = [[line.partition(" ") for line in self._lines(t)] for t in texts]
+        words = [[rest.split(" ") if space else [] for _, space, rest in p] for p in lines]
+        heads = {line[0] for p in lines for line in p}.difference(starts)
+        if heads := [w for w in heads if sound(w)]:
+            starts.update(zip(heads, self._pieces(heads)))
+        if new := {w for w in set().union(*(line for p in words for line in p)).difference(known) if sound(w)}:
+            self._learn(new)
+        get, out = known.__getitem__, []
+        for p, q in zip(lines, words):
+            found = []
+            for line, rest in zip(p, q):
+                try:
+                    found.append(starts[line[0]] + b"".join(map(get, rest)))
+                except KeyError:  # unsound words are not remembered
+                    found.append(self._line("".join(line)))
+            out.append(self.line_end.join(found))
+        return out
 
 
 @functools.cache
