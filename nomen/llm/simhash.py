@@ -18,8 +18,11 @@ full fingerprints.
 
 Skew.  Only distinct fingerprints are searched: exact copies never meet.  In a group of near copies all pairs
 could be links; so fingerprints are first linked to the least one in their own keys (a count of links in
-proportion to the fingerprints), components of these links are found, and the full join only returns pairs
-between different components.
+proportion to the fingerprints), components of these links are found, and the full join leaves out, before it joins,
+what only meets its own component (``meet_across``).
+
+Documents that are alike without being almost equal differ in more than 3 bits; ``keep_dissimilar`` finds them by keys of
+the same kind from a wider fingerprint, and verifies them by their shingle sets.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like others; a null id takes
 part but never names a component (one of null ids alone is null); repeated rows give a row each; an empty table
@@ -34,15 +37,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nomen.llm._components import components
 from nomen.llm._shared import materialise, numbered
-from nomen.llm._words import LOWER
+from nomen.llm._words import LOWER, mix
 
 SHINGLE, BITS, SEED = 3, 3, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  #: first bit and size
+BLOCK = 1000  #: stored rows of a key that meet probing rows in one piece of work
+
+# the wide fingerprint of documents that are alike by their shingle sets
+WORDS, SEGMENT_COUNT, TABLES = 5, 12, 48
+WORD_BITS = 20  #: bits that the first words of two candidates differ in at most (expected at a similarity of 0.8: under 10)
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _TO_LOWER = bytes(LOWER)
@@ -109,7 +117,7 @@ _CHOICES = [(i, j) for i in range(3) for j in range(3) if i != j]
 
 
 def keys(fps: DataFrame, probing: bool) -> DataFrame:
-    """(key, fp, part) of fingerprints (fp, part): the 7 stored keys of each, or with ``probing`` all keys by nearby indices."""
+    """(key, fp, part) of fingerprints (fp, part): the 7 stored keys of each, or with ``probing`` all by nearby indices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Golay()
@@ -146,42 +154,226 @@ def keys(fps: DataFrame, probing: bool) -> DataFrame:
     return fps.select("fp", "part").mapInArrow(run, "key long, fp long, part long")
 
 
+def meet_across(stored: DataFrame, probing: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, x, b, y, part, part2): rows of ``stored(key, a, x, part)`` and ``probing(key, b, y, part2)`` that share a key and
+    not a part.
+
+    Per key the stored rows of the part with most of them (the major part) and the others are kept apart.  A probing row
+    of the major part only meets the others, and a key with one part meets nothing from it, so that rows of one group
+    never meet each other, however many have the key.  What remains is cut into blocks of ``block`` stored rows.
+    """
+    per = stored.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    totals = per.groupBy("key").agg(
+        F.max(F.struct("n", F.col("part").alias("major"))).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")
+    )
+    keys = totals.select("key", "top.major", "parts", F.ceil(F.col("top.n") / block).cast("int").alias("b1"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("b0"))
+    meets = lambda flag, many: F.transform(F.sequence(F.lit(0), F.col(many) - 1), lambda i: F.struct(F.lit(flag).alias("of"), i.alias("salt")))
+    none = F.array().cast("array<struct<of:boolean,salt:int>>")
+    to = F.concat(F.when(F.col("part2") != F.col("major"), meets(True, "b1")).otherwise(none), F.when(F.col("parts") > 1, meets(False, "b0")).otherwise(none))
+    alive = probing.join(keys, "key").select("key", "b", "y", "part2", F.explode(to).alias("t")).select("key", "b", "y", "part2", "t.of", "t.salt")
+    of = F.col("part") == F.col("major")
+    salt = F.pmod(F.xxhash64("a"), F.when(of, F.col("b1")).otherwise(F.col("b0"))).cast("int")
+    dealt = stored.join(keys, "key").select("key", "a", "x", "part", of.alias("of"), salt.alias("salt"))
+    return dealt.join(alive, ["key", "of", "salt"]).where("part <> part2").select("a", "x", "b", "y", "part", "part2")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id): component_id is the least id that links reach."""
     if not 0 <= bits <= BITS:
         raise ValueError(f"the segments cover up to {BITS} differing bits")
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
     # links to the least fingerprint of each key: at most 7 for each fingerprint
-    stored = materialise(keys(distinct.select("fp", F.lit(None).cast("long").alias("part")), False).drop("part"), "stored")
-    lead = stored.groupBy("key").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("lead_key"), "lead")
-    stars = stored.join(lead, (F.col("key") == F.col("lead_key")) & close(F.col("fp"), F.col("lead")) & (F.col("fp") != F.col("lead"))).select("fp", "lead").distinct()
+    stored = materialise(keys(distinct.select("fp", F.col("fp").alias("part")), False).drop("part"), "stored")
+    lead = stored.groupBy("key").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
+    stars = stored.join(lead, "key").where(close("fp", "lead") & (F.col("fp") != F.col("lead"))).select("fp", "lead").distinct()
     part = components(stars).select(F.col("node").alias("fp"), F.col("component").alias("part"))
-    parted = materialise(distinct.join(part, "fp", "left"), "parted")
+    parted = materialise(distinct.join(part, "fp", "left").select("fp", "least", F.coalesce("part", "fp").alias("part")), "parted")
 
     # all other links: between fingerprints that are not in one part yet
-    mine = keys(parted, False)
-    theirs = keys(parted, True).select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("part").alias("part2"))
-    apart = F.coalesce(F.col("part") != F.col("part2"), F.lit(True))
-    met = mine.join(theirs, (F.col("key") == F.col("key2")) & (F.col("fp") != F.col("fp2")) & close(F.col("fp"), F.col("fp2")) & apart)
-    links = met.select(F.coalesce("part", "fp").alias("x"), F.coalesce("part2", "fp2").alias("y")).distinct()
+    links = cross_links(parted).where(close("x", "y")).select("part", "part2").distinct()
     joined = components(links).select(F.col("node").alias("part"), "component")
-
-    of = parted.select("fp", "least", F.coalesce("part", "fp").alias("part")).join(joined, "part", "left").select("fp", "least", F.coalesce("component", "part").alias("component"))
-    of = materialise(of, "classes")
+    of = materialise(parted.join(joined, "part", "left").select("fp", "least", F.coalesce("component", "part").alias("component")), "classes")
     best = of.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.join(of.join(best, "component").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def cross_links(parted: DataFrame) -> DataFrame:
+    """Pairs of fingerprints (fp, part) of different parts that share a key, before their distance is tested."""
+    mine = keys(parted, False).select("key", F.col("fp").alias("a"), F.col("fp").alias("x"), "part")
+    theirs = keys(parted, True).select("key", F.col("fp").alias("b"), F.col("fp").alias("y"), F.col("part").alias("part2"))
+    return meet_across(mine, theirs)
+
+
+# -- documents with a similarity of 0.8 or more
+
+
+def _sets(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the word shingles of a text."""
+    words = [w for w in _SPACE.split((text or "").encode("utf-8").translate(_TO_LOWER)) if w]
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, size = b" ".join(words), np.array([len(w) for w in words])
+    ends = np.cumsum(size + 1) - 1
+    starts, m = ends - size, max(1, len(words) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts[:m].tolist(), ends[-m:].tolist())], np.uint64))
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """The WORDS 64-bit words of a set's wide fingerprint: its bits are majorities over independent hashes of the shingles."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = np.stack([mix(hashes[at : at + (1 << 14)] + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(WORDS)], axis=1)
+        ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
+
+
+def shingle_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row, d1, d2, fp: binary) of docs (row, text): a digest of the shingle set, and its wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 512):
+                sets = [_sets(t, shingle) for t in batch.column(1).slice(a, 512).to_pylist()]
+                digest = np.array([[xxhash.xxh64_intdigest(x.tobytes(), k) for k in (1, 2)] for x in sets], np.uint64).view(np.int64)
+                prints = [wide_print(x).tobytes() for x in sets]
+                columns = [batch.column(0).slice(a, 512), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(prints, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "d1", "d2", "fp"])
+
+    return docs.mapInArrow(run, "row long, d1 long, d2 long, fp binary")
+
+
+def wide_keys(nodes: DataFrame, probing: bool) -> DataFrame:
+    """(key, node, word, part) of nodes (node, fp, part).
+
+    The fingerprint is cut into segments of 23 bits.  Each of TABLES keys joins the Golay index of one segment and 12
+    bits of another as they are; with ``probing`` the segment takes all its nearby indices in turn.
+    """
+    schema = "key long, node long, word long, part long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, power = Golay(), 1 << np.arange(23)
+        for batch in batches:
+            for a in range(0, len(batch), 1000):
+                rows = batch.slice(a, 1000)
+                fp = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(len(rows), 8 * WORDS)
+                bits = np.unpackbits(fp, axis=1)
+                parts = [bits[:, 23 * i : 23 * i + 23].astype(np.int64) @ power for i in range(SEGMENT_COUNT)]
+                near, owner = [], []
+                for part in parts:
+                    reach = part[:, None] ^ np.append(0, power)[None, :] if probing else part[:, None]
+                    reach = np.sort(code.index[reach].astype(np.int64), axis=1)
+                    fresh = np.ones(reach.shape, bool)
+                    fresh[:, 1:] = reach[:, 1:] != reach[:, :-1]
+                    row, col = np.nonzero(fresh)
+                    owner.append(row)
+                    near.append(reach[row, col])
+                out_key, out_row = [], []
+                for t in range(TABLES):
+                    i = t % SEGMENT_COUNT
+                    other = (i + 1 + t // SEGMENT_COUNT) % SEGMENT_COUNT
+                    exact = (parts[other] >> (3 * t % 12)) & 0xFFF
+                    out_key.append((np.int64(t) << 24) | (near[i] << 12) | exact[owner[i]])
+                    out_row.append(owner[i])
+                at = np.concatenate(out_row)
+                word = np.ascontiguousarray(fp[:, :8]).view(np.int64)[:, 0]
+                take = pa.array(at)
+                columns = [pa.array(np.concatenate(out_key)), rows.column(0).take(take), pa.array(word[at]), rows.column(2).take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "word", "part"])
+
+    return nodes.select("node", "fp", "part").mapInArrow(run, schema)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b, ...) whose shingle sets reach the similarity; ``texts``: (node, text).  Only texts of pairs are read."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                sets = [_sets(t, shingle).tobytes() for t in batch.column(1).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+
+    names = pairs.columns
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = materialise(texts.join(need, "node", "left_semi").mapInArrow(hashes, "node long, hashes binary"), "shingles")
+    # a node of very many pairs is given to several tasks
+    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))
+    dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")
+    mine = sets.select(F.col("node").alias("a"), F.col("hashes").alias("sa"))
+    theirs = sets.select(F.col("node").alias("b"), F.col("hashes").alias("sb")).join(salts, "b").select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    met = dealt.join(mine, "a").join(theirs, ["b", "salt"]).select(*names, "sa", "sb")
+    return met.mapInArrow(test, pairs.schema)
+
+
+def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, group): rows of ``docs`` (``row_col``: a distinct long) linked by a Jaccard similarity of their word shingles.
+
+    Candidates come from the keys of wide fingerprints, and every link is verified by the shingle sets themselves, so no
+    group is wrong; a pair is missed if it shares no key (README: measured recall).  Rows with equal sets are one node.  As
+    in ``near_duplicates``, nodes are linked to the least one of each key first, and other candidates only count
+    between parts: the nearest few of each node and part, then those that are left.
+    """
+    texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
+    prints = materialise(shingle_prints(texts, shingle), "prints")
+    same = prints.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.first("fp").alias("fp"))
+    nodes = materialise(same, "nodes")
+    member = prints.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("row", "node")
+    text_of = texts.withColumnRenamed("row", "node")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+    stored = materialise(wide_keys(nodes.withColumn("part", F.col("node")), False), "stored")
+    lead = stored.groupBy("key").agg(F.min(F.struct("node", "word")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = stored.join(lead.select("key", F.col("l.node").alias("b"), F.col("l.word").alias("y")), "key")
+    stars = stars.where((near("word", "y") <= WORD_BITS) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b").distinct()
+    links = _similar(materialise(stars, "stars"), text_of, shingle, similarity)
+    part = components(links).select("node", F.col("component").alias("part"))
+    parted = materialise(nodes.join(part, "node", "left").select("node", "fp", F.coalesce("part", "node").alias("part")), "parted")
+
+    mine = wide_keys(parted, False).select("key", F.col("node").alias("a"), F.col("word").alias("x"), "part")
+    theirs = wide_keys(parted, True).select("key", F.col("node").alias("b"), F.col("word").alias("y"), F.col("part").alias("part2"))
+    met = meet_across(mine, theirs).withColumn("d", near("x", "y")).where(F.col("d") <= WORD_BITS)
+    pairs = materialise(met.select("a", "b", "part", "part2", "d").distinct(), "pairs")
+    first = F.row_number().over(Window.partitionBy("b", "part").orderBy("d", "a"))
+    ranked = materialise(pairs.withColumn("nth", first), "ranked")
+    merged = parted.select("node", "part")
+    for some in (F.col("nth") <= 4, F.col("nth") > 4):
+        now = merged.select(F.col("node"), F.col("part").alias("p"))
+        left = ranked.where(some).join(now.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").join(now.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
+        left = materialise(left.where("pa <> pb").select("a", "b", "pa", "pb"), "left")
+        found = components(_similar(left, text_of, shingle, similarity).select("pa", "pb"))
+        found = found.select(F.col("node").alias("part"), "component")
+        merged = materialise(merged.join(found, "part", "left").select("node", F.coalesce("component", "part").alias("part")), "merged")
+    return member.join(merged, "node").select("row", F.col("part").alias("group"))
+
+
+def _keep_least(rows: DataFrame, row: str, groups: DataFrame, id_col: str) -> DataFrame:
+    """One row of each group (row, group): that with the least id (null last), then the least number."""
+    named = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col(row).alias("n")).alias("rank"))
+    stay = named.join(groups, "row").groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.n").alias("_stay"))
+    return rows.join(stay, rows[row] == stay["_stay"], "left_semi").drop(row)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, one with the least id; rows without an id all stay.  Rows are told apart by a
-    number of their own, so those that share an id are judged each."""
+    """``docs`` with one row of each component of ``near_duplicates``: that with the least id, rows without an id last.  Rows
+    are told apart by a number of their own, so those that share an id are judged each."""
+    rows, row = numbered(docs, "documents")
+    found = near_duplicates(rows, row, text_col).select(F.col(row).alias("row"), F.col("component_id").alias("group"))
+    return _keep_least(rows, row, found, id_col)
+
+
+def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each of ``similar_groups``, chosen as by ``keep_one``; an empty table stays empty."""
     rows, row = numbered(docs, "documents")
-    found = near_duplicates(rows, row, text_col).select(F.col(row).alias("_of"), "component_id")
-    named = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(row).alias("_number"))
-    least = named.join(found, F.col("_number") == F.col("_of")).groupBy("component_id").agg(F.min(F.struct("_id", "_number")).alias("_least"))
-    stay = least.select(F.col("_least._number").alias("_stay"))
-    kept = rows.join(stay, rows[row] == stay["_stay"], "left_semi")
-    return kept.unionByName(rows.where(F.col(id_col).isNull())).drop(row)
+    return _keep_least(rows, row, similar_groups(rows, row, text_col, shingle, similarity), id_col)
