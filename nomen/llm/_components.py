@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomen.llm._shared import materialise
+from nomen.llm._shared import materialise, remove_written
 
 
 def _mark(links: DataFrame) -> tuple:

@@ -9,26 +9,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors can reach: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is made and used.
+    Where that setting is missing, a session on one machine gets a temporary folder, which is set; on a cluster there
+    is no folder to guess, and this raises.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        path = spark._jvm.org.apache.hadoop.fs.Path(found)
-        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        return re.sub("^file:/+", "file:///", full).rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="nomen-"))
-    return _LOCAL[0]
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="nomen-"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir"))
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/nomen-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/nomen-{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def remove_written(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete the given folders, or all that this process has written: for when no result that reads them is wanted any more."""
+    for path in list(_WRITTEN) if paths is None else paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

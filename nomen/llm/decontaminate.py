@@ -10,11 +10,11 @@ are compared as text; runs of WINDOW words or more are hits.  Items with fewer w
 the hash of all their words.
 
 The benchmark goes to every task only while its text is at most ``broadcast_bytes``, which is measured; a larger
-one is joined by key, and only documents that share a key with an item meet that item's text.  Both ways
-give the same rows.
+one is joined by gram and then by window (``_large``).  Both ways give the same rows.
 
 Null texts have no words; rows of the benchmark without id take no part; an item id counts once however often
-it is repeated; repeated documents give a row each; other columns are ignored.
+it is repeated; repeated documents give a row each; other columns are ignored.  A text is handled as a whole in its
+task, in arrays of about 40 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -23,16 +23,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomen.llm import _words
+from nomen.llm._shared import materialise, numbered
 
 WINDOW, GRAM = 13, 7
 GUARD = WINDOW - GRAM + 1
 BROADCAST_BYTES = 32 << 20
+SALTS = 8  #: tasks that share the rows of one gram or window
 
 _OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _OUT_NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -147,92 +149,139 @@ def _small(docs: DataFrame, ids: list[str], texts: list[str], id_col: str, text_
 
 
 def _keys(table: DataFrame, lengths: list[int], whole_items: bool) -> DataFrame:
-    """(row, size, key): kept grams (size 0) and hashes of ``size`` words (of short items: all of theirs)."""
+    """(row, size, key, at): kept grams (size 0) and hashes of ``size`` words (of short items: all of theirs), with the word
+    that they start at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, t in _words.tables(batch.column(1), _words.ALPHANUMERIC, True):
                 at, grams = winnowed(t)
-                found = [(t.doc[at], 0, grams)]
+                found = [(at, 0, grams)]
                 for size in lengths:
                     full = t.whole(size)
                     if whole_items:
                         full = full & (t.counts == size)[t.doc[: len(full)]]
-                    found.append((t.doc[: len(full)][full], size, t.grams(size)[full]))
-                for doc, size, grams in found:
-                    if len(doc):
-                        pairs = np.unique(np.stack([doc.astype(np.uint64), grams]), axis=1)
-                        rows = batch.column(0).take(pa.array(pairs[0].astype(np.int64) + a))
-                        yield pa.RecordBatch.from_arrays([rows, pa.array(np.full(pairs.shape[1], size, np.int32)), pa.array(pairs[1].view(np.int64))], names=["row", "size", "key"])
+                    found.append((np.flatnonzero(full), size, t.grams(size)[full]))
+                for at, size, grams in found:
+                    if len(at):
+                        doc = t.doc[at]
+                        columns = [batch.column(0).take(pa.array(doc + a)), pa.array(np.full(len(at), size, np.int32))]
+                        columns += [pa.array(grams.view(np.int64)), pa.array((at - t.first[doc]).astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["row", "size", "key", "at"])
 
-    return table.mapInArrow(run, f"row {table.schema[0].dataType.simpleString()}, size int, key long")
+    return table.mapInArrow(run, f"row {table.schema[0].dataType.simpleString()}, size int, key long, at int")
+
+
+def _windows(table: DataFrame) -> DataFrame:
+    """(row, at, size, hash, words) of texts (row, text, near): the windows at the places in ``near``, with their words as text.
+
+    ``near``: array of (size, at); size 0 stands for all windows of WINDOW words around a gram.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(2).to_pylist()
+            for a, b, t in _words.tables(batch.column(1), _words.ALPHANUMERIC, True):
+                rows = []
+                for k in range(a, b):
+                    first, n = int(t.first[k - a]), int(t.counts[k - a])
+                    wanted = {(x["at"], x["size"]) for x in places[k] if x["size"]}
+                    wanted |= {(p, WINDOW) for x in places[k] if not x["size"] for p in range(max(0, x["at"] - GUARD + 1), min(x["at"], n - WINDOW) + 1)}
+                    rows += [(k, p, size, text := t.text(first + p, first + p + size), xxhash.xxh64_intdigest(text)) for p, size in sorted(wanted)]
+                if rows:
+                    k, p, size, text, digest = zip(*rows)
+                    columns = [batch.column(0).take(pa.array(k)), pa.array(p, pa.int32()), pa.array(size, pa.int32())]
+                    columns += [pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(text, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "at", "size", "hash", "words"])
+
+    return table.mapInArrow(run, f"row {table.schema[0].dataType.simpleString()}, at int, size int, hash long, words binary")
 
 
 def _large(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The same by shuffles.  Rows are told apart by a number of their own, as ids may repeat."""
-    from nomen.llm._shared import materialise
+    """The same by shuffles.  Rows are told apart by a number of their own, as ids may repeat.
 
+    Documents look up their kept grams among the benchmark's distinct ones, and then, by text, the windows around those
+    that are there among its distinct windows.  So a gram or window that very many items hold is one row there, and
+    texts don't travel with pairs.
+    """
     docs = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "documents")
-    bench = materialise(bench.select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("text").alias("item_text")), "benchmark")
-    lengths = list(range(1, WINDOW))
-    mine = _keys(bench.select("item", "item_text"), lengths, True).withColumnRenamed("row", "item")
-    sizes = [r[0] for r in mine.select("size").distinct().collect() if r[0]]  # at most WINDOW - 1
-    theirs = _keys(docs.select("row", "text"), sorted(sizes), False)
-    pairs = theirs.join(mine, ["size", "key"]).select("row", "item").distinct()
-    met = pairs.join(bench, "item").join(docs.select("row", "text"), "row").select("row", "text", "item_id", "item_text")
-
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row, text, item_id, item_text in zip(pdf["row"], pdf["text"], pdf["item_id"], pdf["item_text"]):
-                data = (text or "").encode()
-                table = _words.WordTable(np.frombuffer(data, np.uint8), np.array([0, len(data)]), _words.ALPHANUMERIC, True)
-                hit, _ = Benchmark([item_id], [item_text]).hits(table)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                if len(edge):
-                    out.append((row, item_id, [[int(a), int(b)] for a, b in zip(edge[::2], edge[1::2])]))
-            yield pd.DataFrame(out, columns=["row", "item_id", "spans"])
-
-    found = met.mapInPandas(spans, "row long, item_id string, spans array<array<long>>")
-    # a document's words that any item hits, and its items: bounded by the document and the benchmark
-    per = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row_id, text, found_spans, items in zip(pdf["id"], pdf["text"], pdf["spans"], pdf["items"]):
-                data = (text or "").encode()
-                table = _words.WordTable(np.frombuffer(data, np.uint8), np.array([0, len(data)]), _words.ALPHANUMERIC, True)
-                hit = np.zeros(len(table), bool)
-                for a, b in found_spans if found_spans is not None else ():
-                    hit[int(a) : int(b)] = True
-                out.append((row_id, *_row(len(table), int(hit.sum()), set(items) if items is not None else set())))
-            yield pd.DataFrame(out, columns=[id_col, *_OUT_NAMES])
-
-    return docs.join(per, "row", "left").select("id", "text", "spans", "items").mapInPandas(finish, f"`{id_col}` {docs.schema['id'].dataType.simpleString()}, {_OUT}")
-
-
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    bench = materialise(bench.select(F.monotonically_increasing_id().alias("row"), "item_id", "text"), "benchmark")
+    mine = materialise(_keys(bench.select("row", "text"), list(range(1, WINDOW)), True), "grams")
+    sizes = sorted(r[0] for r in mine.select("size").distinct().collect() if r[0])  # at most WINDOW - 1
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    theirs = salted(_keys(docs.select("row", "text"), sizes, False))
+    near = theirs.join(spread(mine.select("size", "key").distinct()), ["size", "key", "salt"], "left_semi")
+    near = near.groupBy("row").agg(F.collect_list(F.struct("size", "at")).alias("near"))  # a document's own places
+    asked = salted(_windows(docs.join(near, "row").select("row", "text", "near")))
+
+    places = mine.groupBy("row").agg(F.collect_set(F.struct("size", "at")).alias("near"))
+    held = _windows(bench.join(places, "row").select("row", "text", "near")).join(bench.select("row", "item_id"), "row")
+    windows = materialise(held.groupBy("size", "hash", "words").agg(F.collect_set("item_id").alias("items")), "windows")
+    hits = asked.join(spread(windows.select("size", "hash", "words")), ["size", "hash", "words", "salt"])
+    hits = materialise(hits.select("row", "at", "size", "hash", "words"), "hits")
+    spans = hits.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("spans"))
+    what = hits.select("row", "size", "hash", "words").distinct()
+    items = salted(what).join(spread(windows), ["size", "hash", "words", "salt"]).select("row", F.explode("items").alias("item"))
+    items = items.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, items, rows = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+            for a, _, t in _words.tables(batch.column(1), _words.ALPHANUMERIC, True):
+                for k, n in enumerate(t.counts.tolist()):
+                    hit = np.zeros(n, bool)
+                    for x in spans[a + k] or ():
+                        hit[x["at"] : x["at"] + x["size"]] = True
+                    rows.append(_row(n, int(hit.sum()), set(items[a + k] or ())))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=[id_col, *_OUT_NAMES])
+
+    full = docs.join(spans, "row", "left").join(items, "row", "left").select("id", "text", "spans", "items")
+    return full.mapInArrow(finish, f"`{id_col}` {docs.schema['id'].dataType.simpleString()}, {_OUT}")
+
+
+def _usable(bench: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
+    """Items (item_id, text) that take part, and about how many bytes they are."""
+    found = bench.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
+    found = found.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
+    return found, found.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+
+
+def contamination(
+    docs: DataFrame,
+    bench: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every document."""
-    usable = bench.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
-    size = usable.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    usable, size = _usable(bench, item_col, item_text_col)
     if size > broadcast_bytes:
         return _large(docs, usable, id_col, text_col)
     rows = sorted((r[0], r[1]) for r in usable.collect())
     return _small(docs, [r[0] for r in rows], [r[1] for r in rows], id_col, text_col)
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def keep_clean(
+    docs: DataFrame,
+    bench: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns.
 
     A small benchmark is looked up in place; with a large one, rows are told apart by a number of their own.  Each row is
     judged by its text alone in both ways.
     """
-    usable = bench.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
-    size = usable.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    usable, size = _usable(bench, item_col, item_text_col)
     if size > broadcast_bytes:
-        from nomen.llm._shared import numbered
-
         own, row = numbered(docs, "documents")
         bad = _large(own, usable, row, text_col).where("contaminated").select(F.col(row).alias("_bad"))
         return own.join(bad, own[row] == bad["_bad"], "left_anti").drop(row)

@@ -7,7 +7,8 @@ the rest is not even inflated.  Foreign gzip members and plain records are read
 
 Options: ``path``; ``payload`` (``true``/``false``: leave the payload column null and unread);
 ``partitionBytes`` (reading: files are packed up to so many bytes); ``fileBytes`` (writing: start a new file
-after so many).  Written files count only if the manifest that the commit writes names them, so those of
+after so many).  A record without a usable ``Content-Length`` is taken to its member's end; in a plain file it ends the read
+with an error.  Written files count only if the manifest that the commit writes names them, so those of
 failed or repeated tasks are never read.
 """
 
@@ -27,7 +28,18 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    In,
+    InputPartition,
+    StringStartsWith,
+    WriterCommitMessage,
+)
+
+from nomen.llm._shared import materialise, numbered
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_length long, payload binary"
 _TYPES = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_length", pa.int64()), ("payload", pa.binary())])
@@ -148,6 +160,11 @@ def _split_headers(head: bytes) -> dict[str, str]:
     return found
 
 
+def _number(value: str | None) -> int | None:
+    """A length as written in a header; null if it is missing or no number."""
+    return int(value) if value is not None and value.isascii() and value.isdigit() else None
+
+
 class _Inflated:
     """The unpacked bytes of one gzip member, made only as far as they are asked for."""
 
@@ -192,8 +209,13 @@ def records(file: pa.NativeFile, wanted, payload: bool) -> Iterator[dict]:
             return
         headers = _split_headers(data[:end])
         row = {c: headers.get(h) for c, h in _HEADERS.items()}
-        size = int(headers.get("content-length", "0"))
-        row["payload_length"] = int(row["payload_length"] or size)
+        size = _number(headers.get("content-length"))
+        if size is None and member is None:
+            raise ValueError(f"a record at byte {at} of a plain file has no length, so that the next one can't be found")
+        if size is None:  # a member holds one record: the rest of it, without the line ends that close a record
+            size = len(member.upto(lambda d: False).removesuffix(b"\r\n\r\n")) - end - 4
+        told = _number(row["payload_length"])
+        row["payload_length"] = size if told is None else told
         for c in ("record_id", "refers_to"):
             row[c] = row[c].strip("<>") if row[c] is not None else None
         row["payload_digest"] = row["payload_digest"].removeprefix("sha1:") if row["payload_digest"] else None
@@ -288,32 +310,44 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def to_records(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    payload_col: str = "html",
+    least_bytes: int = 0,
+    date: str = "1970-01-01T00:00:00Z",
+) -> DataFrame:
     """Records of a page table (columns of SCHEMA): of equal payloads of ``least_bytes`` or more, the largest id is
     the response and the others revisit it; a null payload is empty; rows that repeat the largest id all are
     responses; a null id counts as smaller than any other; an empty table gives no records; other columns are ignored.
 
-    Equal payloads are found by SHA-256; only (digest, id) pairs are grouped, so no payloads gather anywhere.
+    Equal payloads are found by SHA-256 of rows with a number of their own: what is grouped is (digest, id), so that a hot
+    payload gathers nowhere.  Payloads are only joined to responses, by row number.
     """
-    page = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("body"))
-    page = page.select("*", F.sha2("body", 256).alias("key"), F.octet_length("body").cast("long").alias("size"))
-    keys = pages.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(payload_col), F.lit("")).cast("binary"), 256).alias("key"))
-    latest = keys.groupBy("key").agg(F.max("id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = page.join(latest, "key", "left")
-    revisits = (F.col("size") >= least_bytes) & F.col("latest").isNotNull() & (F.coalesce(F.col("id") != F.col("latest"), F.lit(True)))
-    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
-    # a hex digest becomes base32 in the writer's alphabet by Spark's own conv on each 20 bits
+    body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
+    columns = [F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body")]
+    rows, row = numbered(pages.select(*columns), "pages")
+    # a hex digest becomes base32 by Spark's own conv on each 20 bits
     digest = F.concat(*[_base32(F.substring(F.sha1("body"), 1 + 5 * i, 5)) for i in range(8)])
-    return found.select(
-        name(F.col("id")).alias("record_id"),
-        F.when(revisits, "revisit").otherwise("response").alias("record_type"),
-        F.col("url").cast("string").alias("target_uri"),
+    heads = rows.select(F.col(row).alias("row"), "id", "url", F.sha2("body", 256).alias("key"), F.octet_length("body").cast("long").alias("size"), digest.alias("digest"))
+    heads = materialise(heads, "heads")
+    latest = heads.groupBy("key").agg(F.max("id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = (F.col("size") >= least_bytes) & F.col("latest").isNotNull() & F.coalesce(F.col("id") != F.col("latest"), F.lit(True))
+    judged = materialise(heads.join(latest, "key", "left").withColumn("again", again).drop("key"), "judged")
+    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    columns = [
+        name("id").alias("record_id"),
+        F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"),
+        F.col("url").alias("target_uri"),
         F.lit(date).alias("date"),
-        digest.alias("payload_digest"),
-        F.when(revisits, name(F.col("latest"))).alias("refers_to"),
+        F.col("digest").alias("payload_digest"),
+        F.when(F.col("again"), name("latest")).alias("refers_to"),
         F.col("size").alias("payload_length"),
-        F.when(~revisits, F.col("body")).alias("payload"),
-    )
+    ]
+    payloads = rows.select(F.col(row).alias("row"), F.col("body").alias("payload"))
+    first = judged.where("NOT again").join(payloads, "row").select(*columns, "payload")
+    return first.unionByName(judged.where("again").select(*columns, F.lit(None).cast("binary").alias("payload")))
 
 
 def _base32(hex5: F.Column) -> F.Column:
