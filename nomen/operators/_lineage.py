@@ -5,23 +5,42 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
+_WRITTEN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share.
+
+    Where that setting is missing, a session on one machine gets a temporary folder, which is set; on a cluster this
+    raises.
+    """
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="nomen-"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str = "cut") -> str:
+    """A folder of its own in the shared one; ``remove_written`` knows it."""
+    _WRITTEN.append(f"{shared_folder(spark)}/nomen-{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into ``spark.checkpoint.dir``, which all executors share, and read back.
+    """``df`` written as Parquet into the shared folder and read back.
 
-    The new scan has sizes that joins can be planned by, and survives lost executors.  Only a session without
-    that setting (a test on one machine) gets a temporary folder.
+    The new scan has sizes that joins can be planned by, and survives lost executors.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _LOCAL:
-            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="nomen-"))
-        folder = _LOCAL[0]
-    path = f"{folder.rstrip('/')}/nomen-cut-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete all that this process has written: for when no result that reads it is wanted any more."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
