@@ -118,6 +118,13 @@ def names_compatible(library: Col, minified: Col) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: (F.length(y) <= 3) | (x == y)), lambda ok: F.coalesce(ok, F.lit(False)))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, made longer until no column is called so."""
+    while name.lower() in map(str.lower, taken):
+        name += "_"
+    return name
+
+
 NAME_WORDS = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$|_)|<init>|<clinit>|\$"  # fixed value
 
 
@@ -162,7 +169,7 @@ def generalise(x: Col) -> Column:
 def artifact_parts(path: Col) -> Column:
     """struct(project, variant, kind: mapping, debug, release, skipped or unknown) of a build artifact's path."""
     p = _c(path)
-    rules = [
+    rules = [  # path patterns: fixed values
         (r"^.*unaligned\.apk$", None, None, "skipped"),
         (r"^(.*)/build/outputs/mapping(.*)/release/mapping\.txt$", 1, 2, "mapping"),
         (r"^(.*)/bin/proguard/mapping\.txt$", 1, None, "mapping"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nomen.functions.columns import split_name
+from nomen.functions.columns import free_name, split_name
 
 SIMILAR = 0.6
 
@@ -44,12 +44,16 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("word_similarity", word_similarity)
 
 
+def _once(pairs: DataFrame, a: str, b: str, value: Column, out: str) -> DataFrame:
+    """``pairs`` with a value of columns a and b that is computed once per distinct pair."""
+    left, right = (free_name([*pairs.columns, out], name) for name in ("_left", "_right"))
+    once = pairs.select(a, b).distinct().select(F.col(a).alias(left), F.col(b).alias(right), value.alias(out))
+    return pairs.join(once, F.col(a).eqNullSafe(F.col(left)) & F.col(b).eqNullSafe(F.col(right)), "left").drop(left, right)
+
+
 def with_ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
-    """``pairs`` with the ratio of columns a and b, computed once per distinct pair."""
-    once = pairs.select(a, b).distinct().withColumn(out, name_ratio(a, b))
-    return pairs.join(once.select(F.col(a).alias("_a"), F.col(b).alias("_b"), out), F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b")), "left").drop("_a", "_b")
+    return _once(pairs, a, b, name_ratio(a, b), out)
 
 
 def with_name_similarity(pairs: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
-    once = pairs.select(a, b).distinct().withColumn(out, word_similarity(split_name(a), split_name(b)))
-    return pairs.join(once.select(F.col(a).alias("_a"), F.col(b).alias("_b"), out), F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b")), "left").drop("_a", "_b")
+    return _once(pairs, a, b, word_similarity(split_name(a), split_name(b)), out)

@@ -20,8 +20,13 @@ RELATIONS = [
     "M_F_refer", "M_M_modifier", "M_M_override", "M_M_refer", "M_T_parameter", "M_T_return", "M_[C_parameter",
     "M_[C_return", "M_[T_parameter", "M_[T_return", "P_C_contains", "P_P_contains",
 ]
-#: Relations that count for library matching: all but inheritance, implementation and field-to-method flow.
-LIBRARY_RELATIONS = [r for r in RELATIONS if r not in ("C_C_implement", "C_C_inherit", "F_M_DU")]
+#: Relations that count for library matching (fixed values)
+LIBRARY_RELATIONS = [
+    "C_F_contains", "C_M_contains", "C_M_modifier", "F_C_instance", "F_F_DU", "F_M_modifier", "F_T_instance", "F_[C_instance",
+    "F_[T_instance", "M_C_parameter", "M_C_refer", "M_C_return", "M_F_DU", "M_F_refer", "M_M_modifier", "M_M_override",
+    "M_M_refer", "M_T_parameter", "M_T_return", "M_[C_parameter", "M_[C_return", "M_[T_parameter", "M_[T_return",
+    "P_C_contains", "P_P_contains",
+]
 ROOT_NAME = "DERG_ROOT"  # the reserved name of the root package in graph files
 SHORT_NAMES = "os;tv;up;go;it;do;io;id;of;op;on;or;uk;ui;"
 EDGE_FAMILIES = ["OO", "TY", "MD", "CR", "DU", "UO", "UA"]

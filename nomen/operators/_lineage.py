@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, folder: str) -> bool:
+    """Is there a finished table in this folder?"""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def remove_written(spark: SparkSession) -> None:
     """Delete all that this process has written: for when no result that reads it is wanted any more."""
     while _WRITTEN:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nomen.functions import columns as C
+from nomen.operators._lineage import cut
+from nomen.operators.kg import dense_ids
 from nomen.operators.mapping import match_column
 
 
@@ -60,8 +62,9 @@ def flag_by_packages(compared: DataFrame) -> DataFrame:
     """Rows whose package (or class's package) is a library package of the same report get ``is_lib``."""
     owner = F.substring_index("key", ";", 1)
     package = F.when(F.col("kind") == "p", F.col("key")).otherwise(C.before_last_dot(owner))
-    libs = lib_packages_of_report(compared).select("app", F.col("package").alias("_p")).withColumn("_hit", F.lit(True))
-    return compared.withColumn("_p", package).join(libs, ["app", "_p"], "left").withColumn("is_lib", F.coalesce("_hit", F.lit(False))).drop("_p", "_hit")
+    own, hit = (C.free_name(compared.columns, name) for name in ("_package", "_hit"))
+    libs = lib_packages_of_report(compared).select("app", F.col("package").alias(own), F.lit(True).alias(hit))
+    return compared.withColumn(own, package).join(libs, ["app", own], "left").withColumn("is_lib", F.coalesce(hit, F.lit(False))).drop(own, hit)
 
 
 def report_flag_counts(compared: DataFrame) -> DataFrame:
@@ -118,7 +121,8 @@ def score_regression(points: DataFrame, group: str, x: str, y: str) -> DataFrame
 
 def estimate_from_scores(scores: DataFrame, fits: DataFrame, group: str, x: str) -> DataFrame:
     """(group, estimate): the mean of each fitted line at the scores; ``fits`` has a row per match mode."""
-    return scores.crossJoin(F.broadcast(fits.select(group, "slope", "intercept"))).groupBy(group).agg(F.avg(F.col("slope") * F.col(x) + F.col("intercept")).alias("estimate"))
+    mean = scores.agg(F.avg(x).alias("mean_of_scores"))  # a line's mean is its value at the mean: one row meets the fits
+    return fits.select(group, "slope", "intercept").crossJoin(F.broadcast(mean)).select(group, (F.col("slope") * F.col("mean_of_scores") + F.col("intercept")).alias("estimate"))
 
 
 def average_scores(nodes: DataFrame, predictions: DataFrame, name_col: str = "name") -> DataFrame:
@@ -140,14 +144,15 @@ def folds(items: DataFrame, id_col: str, n_folds: int = 10, seed: str = "0", kin
     never tested (null fold); ``split``: fold 0 is the first tenth, the others are null.
     """
     key = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
-    w = Window.orderBy("k", id_col)  # items are apps: few, and only their ids are ordered
-    ranked = items.select(id_col).distinct().select(id_col, key.alias("k"))
-    if kind == "blocks":
-        return ranked.select(id_col, (F.ntile(n_folds).over(w) - 1).alias("fold"))
-    sized = ranked.select(id_col, (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    size = F.floor(F.col("n") / n_folds)
+    ranked = cut(dense_ids(items.select(id_col).distinct().select(id_col, key.alias("k")), ["k", id_col], out="i"))
+    n, i = ranked.count(), F.col("i")
+    size = n // n_folds
+    if kind == "blocks":  # the first n % n_folds blocks have one item more
+        longer = n % n_folds
+        fold = F.when(i < longer * (size + 1), F.floor(i / (size + 1))).otherwise(longer + F.floor((i - longer * (size + 1)) / max(1, size)))
+        return ranked.select(id_col, fold.cast("int").alias("fold"))
     most = 1 if kind == "split" else n_folds
-    return sized.select(id_col, F.when(F.col("i") < size * most, F.floor(F.col("i") / size)).cast("int").alias("fold"))
+    return ranked.select(id_col, F.when(i < size * most, F.floor(i / max(1, size))).cast("int").alias("fold"))
 
 
 def first_apps(items: DataFrame, id_col: str, n: int) -> DataFrame:

@@ -25,6 +25,14 @@ def dense_ids(rows: DataFrame, order: list[str], start: int = 0, out: str = "kg_
     return dealt.withColumn("_i", number).join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.col("_i") - 1 + start).cast("long")).drop("_part", "_i", "_before")
 
 
+def dense_within(rows: DataFrame, group: str, order: list[str], start: int = 0, out: str = "id") -> DataFrame:
+    """``rows`` with dense numbers in each ``group`` by ``order``: global numbers less the group's first, so that a group of
+    any size is numbered in parts."""
+    numbered = cut(dense_ids(rows, [group, *order], start, out))
+    first = numbered.groupBy(group).agg(F.min(out).alias("_first"))
+    return numbered.join(first, group).withColumn(out, F.col(out) - F.col("_first") + start).drop("_first")
+
+
 def known_entities(nodes: DataFrame) -> DataFrame:
     """(name): distinct known entity names of all apps."""
     return nodes.where(C.is_known("type", "name")).select(C.entity_name("type", "name", "sig").alias("name")).distinct()

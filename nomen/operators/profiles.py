@@ -5,15 +5,16 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nomen.functions import columns as C
+from nomen.operators._lineage import cut
 
 
 def profile_counts(profiles: DataFrame, allow_minified: bool = False) -> DataFrame:
@@ -82,8 +83,17 @@ def prefix_match(methods: DataFrame, library: DataFrame, cls: str = "class_sig",
     """(app, node, lib_id): the only library id of the signature that starts with the class's recovered name, else with the
     package's."""
 
+    # an id that starts with a name has all of the name's dotted parts but the last, so these are part of the key
+    ids = library.select("sig", F.col("id").alias("lib_id")).distinct()
+    parts = F.split("lib_id", r"\.")
+    heads = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    headed = ids.select("sig", "lib_id", F.posexplode(heads).alias("n", "head"))
+
     def only(column: str) -> DataFrame:
-        hits = methods.select("app", "node", "sig", F.col(column).alias("p")).join(library.select("sig", F.col("id").alias("lib_id")).distinct(), "sig").where(F.col("lib_id").startswith(F.col("p")))
+        names = methods.select("app", "node", "sig", F.col(column).alias("p")).where("p IS NOT NULL")
+        split = F.split("p", r"\.")
+        asked = names.withColumn("n", F.size(split) - 1).withColumn("head", F.array_join(F.slice(split, F.lit(1), F.col("n")), "."))
+        hits = asked.join(headed, ["sig", "n", "head"]).where(F.col("lib_id").startswith(F.col("p")))
         return hits.groupBy("app", "node").agg(F.count_distinct("lib_id").alias("n"), F.min("lib_id").alias("lib_id")).where("n = 1").drop("n")
 
     first, second = only(cls), only(package).withColumnRenamed("lib_id", "lib_id2")
@@ -128,56 +138,49 @@ def recover_by_profiles(methods: DataFrame, library: DataFrame, paths: DataFrame
     return best, prefix_match(named, library)
 
 
+KINDS = ("para", "ret", "refer")
+
+
 def propagate_relations(sets: DataFrame) -> DataFrame:
-    """(app, node, name): names of unresolved neighbours, one app at a time.
+    """(app, node, name): names of unresolved neighbours, by rounds of joins until nothing changes.
 
     ``sets(app, ord, relations: array<string>, neighbours: array<struct<node, relation>>)``: what a recovered method is
     expected to relate to (``para:``, ``ret:``, ``refer:`` and a name), and its unresolved neighbours.  A kind with one
-    relation and one neighbour resolves both; otherwise a neighbour whose sets share one relation.  Resolved ones leave
-    all sets, until nothing changes; each resolves one neighbour, so that this ends.
+    relation and one neighbour resolves both; otherwise a neighbour whose sets share one relation.  In a round all sets
+    are judged as it finds them.  Of proposals that take the same relation from one set, the first goes (by the two rules, then
+    set, kind and node); what is resolved leaves all sets.  The first proposal of all always goes, so that this ends.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ord")
-        state = [(set(r), {n["node"]: n["relation"] for n in ns}) for r, ns in zip(rows["relations"], rows["neighbours"])]
-        found: list[tuple[int, str]] = []
-        having: dict[int, set[int]] = {}
-        for i, (_, nodes) in enumerate(state):
-            for node in nodes:
-                having.setdefault(node, set()).add(i)
-
-        def pick(relations: set[str], nodes: dict[int, str]) -> tuple[int, str] | None:
-            for kind in ("para", "ret", "refer"):
-                names = [r for r in relations if r.startswith(kind)]
-                open_ = [n for n, r in nodes.items() if r.startswith(kind)]
-                if len(names) == len(open_) == 1:
-                    return open_[0], names[0]
-            for node in sorted(nodes):
-                shared = set.intersection(*[state[i][0] for i in having[node]])
-                if len(shared) == 1:
-                    return node, next(iter(shared))
-            return None
-
-        # the first set that resolves one comes next; only sets near a change are looked at again
-        waiting = list(range(len(state)))
-        listed = set(waiting)
-        while waiting:
-            if (got := pick(*state[waiting[0]])) is None:
-                listed.discard(heapq.heappop(waiting))
-                continue
-            node, relation = got
-            found.append((node, relation.partition(":")[2]))
-            changed = having.pop(node)
-            for i in changed:
-                del state[i][1][node]
-                state[i][0].discard(relation)
-            near = {n for i in changed for n in state[i][1]}
-            for i in changed.union(*(having[n] for n in near)) - listed:
-                listed.add(i)
-                heapq.heappush(waiting, i)
-        return pd.DataFrame({"app": [pdf["app"].iloc[0]] * len(found), "node": [n for n, _ in found], "name": [n for _, n in found]})
-
-    return sets.groupBy("app").applyInPandas(solve, "app string, node long, name string")
+    kind = lambda c: F.coalesce(*[F.when(F.col(c).startswith(k), F.lit(i)) for i, k in enumerate(KINDS)])
+    rel = cut(sets.select("app", "ord", F.explode("relations").alias("r")).distinct().withColumn("kind", kind("r")))
+    near = sets.select("app", "ord", F.explode("neighbours").alias("x")).select("app", "ord", "x.node", "x.relation")
+    near = cut(near.groupBy("app", "ord", "node").agg(F.max("relation").alias("k")).select("app", "ord", "node", kind("k").alias("kind")))
+    found = []
+    while True:
+        one = lambda df, c: df.where("kind IS NOT NULL").groupBy("app", "ord", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(c).alias(c)).where("n = 1").drop("n")
+        rank = lambda *c: F.struct(*[F.col(x).cast("long").alias(f"c{i}") if isinstance(x, str) else x.alias(f"c{i}") for i, x in enumerate(c)])
+        zero = F.lit(0).cast("long")
+        single = one(rel, "r").join(one(near, "node"), ["app", "ord", "kind"]).select("app", "node", "r", rank(zero, "ord", "kind", "node").alias("rank"))
+        size = near.groupBy("app", "node").agg(F.count(F.lit(1)).alias("sets"))
+        common = near.select("app", "ord", "node").join(rel.select("app", "ord", "r"), ["app", "ord"]).groupBy("app", "node", "r").agg(F.count(F.lit(1)).alias("sets"))
+        shared = common.join(size, ["app", "node", "sets"]).groupBy("app", "node").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r")).where("n = 1")
+        shared = shared.select("app", "node", "r", rank(zero + 1, zero, zero, "node").alias("rank"))
+        asked = single.unionByName(shared).groupBy("app", "node").agg(F.min(F.struct("rank", "r")).alias("p")).select("app", "node", "p.r", "p.rank")
+        touched = cut(asked.join(near.select("app", "ord", "node"), ["app", "node"]))
+        if touched.isEmpty():
+            break
+        first = touched.groupBy("app", "ord", "r").agg(F.min("rank").alias("first"))
+        lost = touched.join(first, ["app", "ord", "r"]).where("rank <> first").select("app", "node").distinct()
+        goes = cut(touched.join(lost, ["app", "node"], "left_anti"))
+        found.append(goes.select("app", "node", "r").distinct())
+        rel = cut(rel.join(goes.select("app", "ord", "r").distinct(), ["app", "ord", "r"], "left_anti"))
+        near = cut(near.join(goes.select("app", "node").distinct(), ["app", "node"], "left_anti"))
+    if not found:
+        return sets.select("app", F.lit(None).cast("long").alias("node"), F.lit(None).cast("string").alias("name")).where("false")
+    return reduce(DataFrame.union, found).select("app", "node", F.regexp_extract("r", "^[^:]*:?(.*)$", 1).alias("name"))
+
+
+class Exhausted(Exception):
+    """A search took more steps than its budget."""
 
 
 def _embed(small: dict, large: dict, budget: int) -> dict[int, int] | None:
@@ -221,7 +224,7 @@ def _embed(small: dict, large: dict, budget: int) -> dict[int, int] | None:
         for m in stack[-1]:
             steps += 1
             if steps > budget:
-                return None
+                raise Exhausted
             if m not in taken and same(n, m):
                 used[n] = m
                 taken.add(m)
@@ -236,12 +239,13 @@ def _embed(small: dict, large: dict, budget: int) -> dict[int, int] | None:
 
 
 def recover_library_names(candidates: DataFrame, package_nodes: DataFrame, package_edges: DataFrame, lib_nodes: DataFrame, lib_edges: DataFrame, budget: int = 200_000) -> DataFrame:
-    """(app, package, id, recovered_name, recovered_sig): names copied from the first candidate library whose graph has the
-    package's graph as a typed induced subgraph.
+    """(app, package, id, recovered_name, recovered_sig, decided): names copied from the first candidate library whose graph
+    has the package's graph as a typed induced subgraph.
 
     ``candidates(app, package, lib_id)``; nodes (key, id, type, name, sig, hash, static) and edges (key, source, target,
     relation) where the key is (app, package) or lib_id.  Each pair is one small task with a budget of steps instead of a
-    time limit, so that results do not depend on the machine.
+    time limit, so that results do not depend on the machine.  A package whose search runs out of it before a library
+    fits has one row without id, with ``decided`` false: run it again with a larger ``budget``.
     """
 
     def graph(nodes: list, edges: list) -> dict:
@@ -262,10 +266,16 @@ def recover_library_names(candidates: DataFrame, package_nodes: DataFrame, packa
             out = []
             for r in pdf.itertuples(index=False):
                 small, large = graph(r.nodes, r.edges if r.edges is not None else []), graph(r.lib_nodes, r.lib_edges if r.lib_edges is not None else [])
-                for n, m in (_embed(small, large, budget) or {}).items():
+                try:
+                    map_ = _embed(small, large, budget) or {}
+                except Exhausted:
+                    out.append((r.app, r.package, r.lib_id, None, None, None, False))
+                    continue
+                for n, m in map_.items():
                     if not small["static"][n]:
-                        out.append((r.app, r.package, r.lib_id, n, large["names"][m], large["sigs"][m]))
-            yield pd.DataFrame(out, columns=["app", "package", "lib_id", "id", "recovered_name", "recovered_sig"])
+                        out.append((r.app, r.package, r.lib_id, n, large["names"][m], large["sigs"][m], True))
+            columns = ["app", "package", "lib_id", "id", "recovered_name", "recovered_sig", "decided"]
+            yield pd.DataFrame(out, columns=columns).astype({"id": "Int64"})
 
     nest_n = F.collect_list(F.struct("id", "type", "name", "sig", "hash", "static"))
     nest_e = F.collect_list(F.struct("source", "target", "relation"))
@@ -273,6 +283,6 @@ def recover_library_names(candidates: DataFrame, package_nodes: DataFrame, packa
     pn, pe = package_nodes.groupBy(*key).agg(nest_n.alias("nodes")), package_edges.groupBy(*key).agg(nest_e.alias("edges"))
     ln, le = lib_nodes.groupBy("lib_id").agg(nest_n.alias("lib_nodes")), lib_edges.groupBy("lib_id").agg(nest_e.alias("lib_edges"))
     pairs = candidates.join(pn, key).join(pe, key, "left").join(ln, "lib_id").join(le, "lib_id", "left")
-    found = pairs.mapInPandas(solve, "app string, package string, lib_id string, id long, recovered_name string, recovered_sig string")
+    found = pairs.mapInPandas(solve, "app string, package string, lib_id string, id long, recovered_name string, recovered_sig string, decided boolean")
     first = F.rank().over(Window.partitionBy(*key).orderBy("lib_id"))
     return found.withColumn("_r", first).where("_r = 1").drop("_r", "lib_id")

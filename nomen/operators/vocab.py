@@ -72,6 +72,9 @@ def decode_words(coded: DataFrame, vocab: DataFrame, id_col: str, ids: str = "id
     return named.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), "_").alias("name"))
 
 
-def pattern_overlap(origin: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern_id, common): patterns(pattern_id, item) that share an item with origin(item), with what they share."""
-    return patterns.join(origin.select("item").distinct(), "item").groupBy("pattern_id").agg(F.array_sort(F.collect_set("item")).alias("common"))
+def pattern_overlap(origins: DataFrame, patterns: DataFrame, salts: int = 16) -> DataFrame:
+    """(origin_id, pattern_id, common): patterns(pattern_id, item) that share an item with origins(origin_id, item), with what
+    they share.  Rows of an item are dealt over ``salts`` tasks by their pattern, as some items are nearly everywhere."""
+    mine = origins.select("origin_id", "item").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    theirs = patterns.select("pattern_id", "item").distinct().withColumn("salt", F.pmod(F.xxhash64("pattern_id"), F.lit(salts)).cast("int"))
+    return theirs.join(mine, ["item", "salt"]).groupBy("origin_id", "pattern_id").agg(F.array_sort(F.collect_list("item")).alias("common"))

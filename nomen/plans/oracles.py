@@ -8,12 +8,13 @@ _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _STATIC = _LIST(model.STATIC_NODE_TYPES)
 
 _EL = """
-el AS (SELECT 'app' || (l_suppkey % 20) AS app, l_returnflag = 'R' AS own, l_linestatus = 'F' AS vol,
-  CASE WHEN l_returnflag = 'R' THEN 'com.app' || (l_suppkey % 20) || '.' || lower(replace(p_brand, '#', ''))
-       WHEN l_suppkey % 20 % 4 = 3 THEN 'o.' || substr(md5(lower(replace(p_brand, '#', ''))), 1, 3)
+el AS MATERIALIZED (SELECT 'app' || l_suppkey AS app, l_returnflag = 'R' AS own, l_linestatus = 'F' AS vol,
+  CASE WHEN l_returnflag = 'R' THEN 'com.app' || l_suppkey || '.' || lower(replace(p_brand, '#', ''))
+       WHEN l_suppkey % 4 = 3 THEN 'o.' || substr(md5(lower(replace(p_brand, '#', ''))), 1, 3)
        ELSE 'com.lib.' || lower(replace(p_brand, '#', '')) END AS pkg,
-  'C' || p_partkey AS cls, 'm' || l_orderkey || '_' || l_linenumber AS mth, 'S' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS ref, p_type AS ret
-  FROM lineitem JOIN part ON p_partkey = l_partkey % 200)"""
+  'C' || p_partkey AS cls, 'm' || l_orderkey || '_' || l_linenumber AS mth,
+  lower(replace(p_brand, '#', '')) || 'S' || (p_size % 2) AS ref, CASE WHEN p_size % 4 < 2 THEN 'NICKEL' ELSE 'BRASS' END AS ret
+  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
 def _graph(raw: bool = False) -> str:
@@ -21,7 +22,7 @@ def _graph(raw: bool = False) -> str:
     ret = "CASE WHEN vol THEN ret || '[]' ELSE ret END" if raw else "ret"
     method = "'<' || pkg || '.' || cls || ': void ' || mth || '(int)>'"
     return f"""{_EL},
-named AS (
+named AS MATERIALIZED (
   SELECT DISTINCT app, 'package' AS st, pkg AS ss, '{r('P_C_contains', 'XX_contains')}' AS relation, 'class' AS tt, pkg || '.' || cls AS ts FROM el
   UNION SELECT app, 'class', pkg || '.' || cls, '{r('C_M_contains', 'XX_contains')}', 'method', {method} FROM el
   UNION SELECT app, 'method', {method}, '{r('M_C_refer', 'MX_refer')}', 'class_lib', 'lib.' || ref FROM el
@@ -29,9 +30,9 @@ named AS (
   UNION SELECT app, 'method', {method}, '{r('M_C_parameter', 'MT_parameter')}', 'class_lib', 'lib.' || app FROM el WHERE own
   UNION SELECT app, 'method', {method}, '{r('M_M_modifier', 'MX_modifier')}', 'modifier', 'volatile' FROM el WHERE vol),
 ends AS (SELECT app, st AS type, ss AS sig FROM named UNION SELECT app, tt, ts FROM named),
-nodes AS (SELECT app, row_number() OVER (PARTITION BY app ORDER BY type, sig) - 1 AS id, type,
+nodes AS MATERIALIZED (SELECT app, row_number() OVER (PARTITION BY app ORDER BY type, sig) - 1 AS id, type,
   CASE WHEN type IN ('package', 'class', 'class_lib') THEN regexp_extract(sig, '([^.]*)$', 1) WHEN type = 'method' THEN regexp_extract(sig, ' ([^ (]+)\\(', 1) ELSE sig END AS name, sig FROM ends),
-edges AS (SELECT n.app, a.id AS source, b.id AS target, relation FROM named n JOIN nodes a ON a.app = n.app AND a.type = st AND a.sig = ss JOIN nodes b ON b.app = n.app AND b.type = tt AND b.sig = ts)"""
+edges AS MATERIALIZED (SELECT n.app, a.id AS source, b.id AS target, relation FROM named n JOIN nodes a ON a.app = n.app AND a.type = st AND a.sig = ss JOIN nodes b ON b.app = n.app AND b.type = tt AND b.sig = ts)"""
 
 
 _GRAPH = _graph()
@@ -39,9 +40,9 @@ _SETS = f"""{_GRAPH},
 child AS (SELECT e.app, e.source AS id, string_agg(t.name, chr(10) ORDER BY t.name) AS names, count(*) AS c FROM edges e JOIN nodes t ON t.app = e.app AND t.id = e.target
   WHERE t.type IN {_STATIC} AND NOT (t.type = 'modifier' AND t.name = 'volatile') AND e.relation IN {_LIST(model.LIBRARY_RELATIONS)} GROUP BY ALL),
 hashes AS (SELECT n.app, n.id, n.type, n.sig, md5(coalesce(c.names, '')) AS hash FROM nodes n LEFT JOIN child c ON c.app = n.app AND c.id = n.id WHERE n.type IN ('class', 'method')),
-own AS (SELECT app, id, sig AS package, NULL AS hash, true AS marked FROM nodes WHERE type = 'package'
+own AS MATERIALIZED (SELECT app, id, sig AS package, NULL AS hash, true AS marked FROM nodes WHERE type = 'package'
   UNION ALL SELECT h.app, h.id, regexp_replace(regexp_replace(CASE WHEN h.type = 'class' THEN h.sig ELSE regexp_extract(h.sig, '^<(.*?): ', 1) END, '$', ''), '\\.[^.]*$', ''), h.hash, c.c IS NOT NULL FROM hashes h LEFT JOIN child c ON c.app = h.app AND c.id = h.id),
-sets AS (SELECT DISTINCT app, package, coalesce(hash, '∅') AS hash FROM own UNION SELECT app, package, '∅' FROM own WHERE marked),
+sets AS MATERIALIZED (SELECT DISTINCT app, package, coalesce(hash, '∅') AS hash FROM own UNION SELECT app, package, '∅' FROM own WHERE marked),
 prints AS (SELECT app, package, sha256(string_agg(hash, ',' ORDER BY hash)) AS lib_id, count(*) AS n FROM sets GROUP BY ALL),
 libs AS (SELECT lib_id, count(*) AS n_members, count(DISTINCT package) AS n_names, string_agg(DISTINCT package, ',' ORDER BY package) AS packages, string_agg(app, ',' ORDER BY app) AS paths FROM prints GROUP BY lib_id HAVING count(*) >= 2 AND count(DISTINCT package) < 3),
 ranked AS (SELECT lib_id, package, row_number() OVER (PARTITION BY lib_id ORDER BY c DESC, package) AS r FROM (SELECT lib_id, package, count(*) AS c FROM prints GROUP BY lib_id, package)),
@@ -54,7 +55,7 @@ matched AS (SELECT c.app, c.package, l.lib_name, c.n_common FROM (SELECT c.*, ro
 _MAPS = """
 base AS (SELECT p_partkey AS k, 'app' || (p_partkey % 20) AS app, ['p', 'c', 'f', 'm'][p_partkey % 4 + 1] AS kind, CAST(p_partkey AS VARCHAR) AS key, replace(p_name, ' ', '_') AS short, replace(p_name, ' ', '_') || '_' || lower(p_type) AS full_name FROM part),
 truth AS (SELECT app, kind, key, full_name AS value FROM base WHERE k % 11 <> 0),
-pred AS (SELECT b.app, b.kind, b.key, CASE WHEN b.k % 3 = 0 THEN b.full_name ELSE o.short END AS value FROM base b LEFT JOIN base o ON o.k = (b.k * 7 + 3) % 200 WHERE b.k % 5 <> 0),
+pred AS (SELECT b.app, b.kind, b.key, CASE WHEN b.k % 3 = 0 THEN b.full_name ELSE o.short END AS value FROM base b LEFT JOIN base o ON o.k = b.k + 1 - 2 * (b.k % 2) WHERE b.k % 5 <> 0),
 both_sides AS (SELECT app, kind, key, t.value AS truth, p.value AS pred, coalesce(t.value = p.value, false) AS matched, CAST(key AS INT) % 20 % 4 = 3 AS is_lib, CAST(key AS INT) % 10 AS pass,
   coalesce(t.value = p.value OR list_has_any(list_transform(range(1, CAST(len(t.value) AS BIGINT) - 1), lambda i: substr(lower(t.value), CAST(i AS INT), 3)), list_transform(range(1, CAST(len(p.value) AS BIGINT) - 1), lambda i: substr(lower(p.value), CAST(i AS INT), 3))), false) AS near
   FROM truth t FULL JOIN pred p USING (app, kind, key)),
@@ -96,8 +97,8 @@ vocab AS (SELECT word, 2 + row_number() OVER (ORDER BY n DESC, word) AS idx, n F
 _FILTERED = _WORDS + ", kept AS (SELECT word, n FROM freq WHERE n > 700 OR (length(word) > 2 AND word IN (SELECT word FROM bw)))"
 
 _PROFILES = """
-pb AS (SELECT p_partkey AS k, p_type || ':' || (p_size % 7) || ':' || (p_partkey % 20) AS sig, lower(replace(p_brand, '#', '')) AS brand FROM part),
-lib AS (SELECT sig, 'com.' || brand || '.Klass' || (k % 3) || '.run' || (k % 5) AS id FROM pb WHERE k % 20 < 10 AND k < 1000),
+pb AS (SELECT p_partkey AS k, p_size AS size, p_type || ':' || (p_size % 7) || ':' || p_brand AS sig, lower(replace(p_brand, '#', '')) AS brand FROM part),
+lib AS (SELECT sig, 'com.' || brand || '.Klass' || (k % 3) || '.run' || (k % 5) AS id FROM pb WHERE size <= 25),
 meth AS (SELECT 'app' || (k % 20) AS app, k AS node, sig, 'com.' || substr(brand, 1, 1) || '.' || CASE WHEN k % 2 = 0 THEN 'a' ELSE 'bc' END || '.b' AS id, brand FROM pb),
 paths AS (SELECT app, node, unnest(['com', 'com.' || brand, 'com.' || brand || '.' || (node % 3)]) AS container, unnest([1, 2, 3]) AS level FROM meth),
 cnt AS (SELECT sig, count(*) AS n FROM lib GROUP BY sig),
@@ -114,13 +115,13 @@ best AS (SELECT app, node, choice, CAST(votes AS DOUBLE) / method_count AS confi
 _MINIFIED = "(len(string_split({x}, '.')) >= 2 AND (length(string_split(string_split({x}, '.')[-1], '$')[1]) = 1 OR length(string_split(string_split({x}, '.')[-2], '$')[1]) = 1))"
 
 _FEATURES = """
-fe AS (SELECT 'app' || (l_suppkey % 20) AS app, l_orderkey % 97 AS a, l_partkey % 89 AS b, ['OO_C', 'TY_F', 'MD_M', 'CR_M', 'DU_F', 'UO_MF_MF', 'UA_MF_MF'][l_linenumber % 7 + 1] AS kind FROM lineitem),
+fe AS (SELECT 'app' || l_suppkey AS app, l_orderkey % 97 AS a, l_partkey % 89 AS b, ['OO_C', 'TY_F', 'MD_M', 'CR_M', 'DU_F', 'UO_MF_MF', 'UA_MF_MF'][l_linenumber % 7 + 1] AS kind FROM lineitem),
 valid AS (SELECT DISTINCT app, a, b, CASE WHEN (a % 5 = 0) <> (b % 5 = 0) THEN kind || '_LIB' ELSE kind END AS kind FROM fe WHERE a <> b AND NOT (a % 5 = 0 AND b % 5 = 0))"""
 
 _SHORT = model.SHORT_NAMES
 _RATES = f"""
 {_WORDS},
-elem AS (SELECT lang AS app, source || '.' || (doc % 40) AS package, CAST(doc AS VARCHAR) AS cls, pos = 0 AS is_class, word AS name FROM w WHERE length(word) <= 6 AND (length(word) >= 3 OR doc % 40 < 10) AND pos < 200),
+elem AS (SELECT lang AS app, source || '.' || (doc % 40) AS package, CAST(doc AS VARCHAR) AS cls, pos = 0 AS is_class, word AS name FROM w),
 crate AS (SELECT app, package, cls, count(*) FILTER (WHERE length(name) < 2 OR (length(name) = 2 AND NOT contains('{_SHORT}', name))) AS obfuscated, count(*) AS total FROM elem GROUP BY ALL),
 up AS (SELECT CASE grouping(app, package) WHEN 0 THEN 'package' WHEN 1 THEN 'app' ELSE 'all' END AS level, app, package, CAST(NULL AS VARCHAR) AS cls, count(*) FILTER (WHERE obfuscated * 10 > total) AS obfuscated, count(*) AS total FROM crate GROUP BY ROLLUP (app, package)),
 rates AS (SELECT 'class' AS level, app, package, cls, obfuscated, total FROM crate UNION ALL SELECT * FROM up)"""
@@ -172,7 +173,7 @@ art AS (SELECT DISTINCT path, CASE WHEN path LIKE '/src/proj%' THEN regexp_extra
 
 _STATES = """
 c AS (SELECT 'com.c' || conv_id AS package, role, turn, text FROM conversations),
-st AS (SELECT DISTINCT package, package || '.' || role AS activity, substr(text, 1, 20) || '/id' || (turn % 3) || '/TextView' AS view FROM c WHERE role <> 'system' AND EXISTS (SELECT 1))"""
+st AS (SELECT DISTINCT package, package || '.' || role AS activity, text || '/id' || (turn % 3) || '/TextView' AS view FROM c WHERE role <> 'system' AND EXISTS (SELECT 1))"""
 
 SQL: dict[str, str] = {
     "library_tagging": f"WITH {_SETS} SELECT m.app, m.package, m.lib_name, count(*) AS n_nodes, count(*) FILTER (WHERE n.type = 'method') AS n_methods FROM matched m JOIN (SELECT app, package, 'method' AS type FROM own JOIN hashes USING (app, id) WHERE type = 'method' UNION ALL SELECT o.app, o.package, 'other' FROM own o JOIN nodes n USING (app, id) WHERE n.type <> 'method') n ON n.app = m.app AND n.package = m.package GROUP BY ALL",
@@ -195,10 +196,11 @@ type IN ('class', 'method') AND id % 4 = 0 AS is_lib, type IN ('class', 'method'
     "report_lib_packages": """WITH r AS (SELECT 'app' || (p_partkey % 20) AS app, ['p', 'c', 'f', 'm'][p_partkey % 4 + 1] AS kind, 'p' || (p_partkey % 60) AS pkg, 'p' || (p_partkey % 60) || CASE WHEN p_partkey % 4 > 0 THEN '.K' || p_partkey ELSE '' END || CASE WHEN p_partkey % 4 > 1 THEN ';->m' || p_partkey ELSE '' END AS key, p_partkey % 3 = 0 AND p_partkey % 5 = 0 AND p_partkey % 4 < 2 AS hit FROM part)
 SELECT app, kind, key, EXISTS (SELECT 1 FROM r l WHERE l.hit AND l.app = r.app AND l.pkg = r.pkg) AS is_lib FROM r""",
     "normalised_edges": f"""WITH {_graph(True)},
-goes AS (SELECT a.app, a.id, t.id AS to_id, substr(a.name, 1, instr(a.name, '[') - 1) AS element FROM nodes a LEFT JOIN (SELECT app, id, name FROM nodes WHERE regexp_matches(type, '^(class|type)')) t ON t.app = a.app AND t.name = substr(a.name, 1, instr(a.name, '[') - 1) WHERE a.type = 'type' AND a.name LIKE '%[]')
-SELECT e.app, s.type AS source_type, s.name AS source_name, upper(s.type[1]) || '_' || CASE WHEN g.id IS NULL THEN upper(t.type[1]) WHEN g.to_id IS NULL THEN '[C' ELSE '[T' END || substr(e.relation, 3) AS relation,
+goes AS (SELECT a.app, a.id, t.id AS to_id, substr(a.name, 1, instr(a.name, '[') - 1) AS element FROM nodes a LEFT JOIN (SELECT app, id, name FROM nodes WHERE regexp_matches(type, '^(class|type)')) t ON t.app = a.app AND t.name = substr(a.name, 1, instr(a.name, '[') - 1) WHERE a.type = 'type' AND a.name LIKE '%[]'),
+x AS (SELECT e.app, s.type AS source_type, s.name AS source_name, upper(s.type[1]) || '_' || CASE WHEN g.id IS NULL THEN upper(t.type[1]) WHEN g.to_id IS NULL THEN '[C' ELSE '[T' END || substr(e.relation, 3) AS relation,
   CASE WHEN g.id IS NULL THEN t.type WHEN g.to_id IS NULL THEN 'class_lib' ELSE 'type' END AS target_type, coalesce(g.element, t.name) AS target_name
-FROM edges e JOIN nodes s ON s.app = e.app AND s.id = e.source JOIN nodes t ON t.app = e.app AND t.id = e.target LEFT JOIN goes g ON g.app = e.app AND g.id = e.target""",
+FROM edges e JOIN nodes s ON s.app = e.app AND s.id = e.source JOIN nodes t ON t.app = e.app AND t.id = e.target LEFT JOIN goes g ON g.app = e.app AND g.id = e.target)
+SELECT app, source_type, relation, target_type, count(*) AS n, count(DISTINCT source_name || '/' || target_name) AS n_names, min(source_name || '/' || target_name) AS first, max(source_name || '/' || target_name) AS last FROM x GROUP BY ALL""",
     "renumbered_nodes": f"""WITH {_graph(True)},
 arr AS (SELECT app, substr(name, 1, instr(name, '[') - 1) AS element FROM nodes WHERE type = 'type' AND name LIKE '%[]'),
 missing AS (SELECT app, element FROM arr WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.app = arr.app AND n.name = arr.element AND regexp_matches(n.type, '^(class|type)'))),
@@ -230,7 +232,7 @@ SELECT DISTINCT * FROM k WHERE source <> target""",
     "def_use_edges": f"WITH RECURSIVE {_DU} SELECT DISTINCT uc.app, uc.method, uc.d AS source, uc.x AS target, 'DU_' || upper(a.kind[1]) || '_' || upper(b.kind[1]) AS kind FROM uc JOIN uk a ON a.app = uc.app AND a.method = uc.method AND a.v = uc.d JOIN uk b ON b.app = uc.app AND b.method = uc.method AND b.v = uc.x WHERE a.kind <> 'local' AND b.kind <> 'local' AND NOT (a.kind = 'parameter' AND b.kind <> 'field')",
     "usage_order_edges": f"WITH RECURSIVE {_ORDER} SELECT app, earlier, later FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.app = p.app AND q.earlier = p.later AND q.later = p.earlier)",
     "kg_entities": f"WITH {_KG} SELECT name, kg_id FROM entities",
-    "kg_triples": f"WITH {_KG} SELECT a.kg_id AS head, b.kg_id AS tail, rid AS relation FROM edges e JOIN rel USING (relation) JOIN ids a ON a.app = e.app AND a.id = e.source JOIN ids b ON b.app = e.app AND b.id = e.target",
+    "kg_triples": f"WITH {_KG} SELECT rid AS relation, count(*) AS n, CAST(sum(a.kg_id) AS BIGINT) AS heads, CAST(sum(b.kg_id) AS BIGINT) AS tails, CAST(sum((a.kg_id * 31 + b.kg_id * 17) % 10007 * (b.kg_id % 101 + 1)) AS BIGINT) AS mixed FROM edges e JOIN rel USING (relation) JOIN ids a ON a.app = e.app AND a.id = e.source JOIN ids b ON b.app = e.app AND b.id = e.target GROUP BY rid",
     "embedded_names": f"WITH {_KG} SELECT app || '->node:' || u.id AS gid, n.name AS original_name, u.kg_id, CAST(len(embedding) AS INTEGER) AS dims FROM un u JOIN nodes n USING (app, id) JOIN embeddings ON vec_id = u.kg_id WHERE u.id % 2 = 0",
     "parsed_mapping": f"""WITH {_PARSED}, r AS (
 SELECT app, line, 'c' AS kind, cls AS key, regexp_extract(origin_cls, '([^.]*)$', 1) AS value FROM p2 WHERE kind = 'c' AND cls <> origin_cls
@@ -279,7 +281,7 @@ SELECT id, batch, CAST(row_number() OVER (PARTITION BY batch ORDER BY length DES
     "decoded_names": f"""WITH {_WORDS}, it AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark),
 each AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM it)
 SELECT it.id, coalesce(n.name, '') AS name FROM it LEFT JOIN (SELECT e.id, string_agg(e.word, '_' ORDER BY i) AS name FROM each e JOIN vocab v USING (word) GROUP BY e.id) n ON n.id = it.id""",
-    "pattern_overlap": f"WITH {_WORDS} SELECT doc AS pattern_id, string_agg(DISTINCT word, ' ' ORDER BY word) AS common FROM w WHERE word IN (SELECT word FROM bw WHERE doc = 0) GROUP BY doc",
+    "pattern_overlap": f"WITH {_WORDS}, a AS (SELECT DISTINCT doc AS origin_id, word FROM bw), b AS (SELECT DISTINCT doc AS pattern_id, word FROM w) SELECT origin_id, pattern_id, CAST(count(*) AS INTEGER) AS n, min(word) AS first, max(word) AS last FROM a JOIN b USING (word) GROUP BY origin_id, pattern_id",
     "profile_counts": f"WITH {_PROFILES}, a AS (SELECT sig, id FROM lib UNION ALL SELECT sig, id FROM meth) SELECT sig, id, count(*) AS \"count\" FROM a WHERE NOT {_MINIFIED.format(x='id')} GROUP BY sig, id",
     "profile_totals": f"WITH {_PROFILES}, a AS (SELECT sig, id FROM lib UNION ALL SELECT sig, id FROM lib UNION ALL SELECT sig, id FROM meth) SELECT sig, id, count(*) AS \"count\" FROM a WHERE NOT {_MINIFIED.format(x='id')} GROUP BY sig, id",
     "profile_match": f"WITH {_PROFILES} SELECT app, node, minified_id, array_to_string(lib_ids, ',') AS lib_ids FROM fit",
@@ -289,8 +291,8 @@ SELECT it.id, coalesce(n.name, '') AS name FROM it LEFT JOIN (SELECT e.id, strin
     "recover_by_profiles": f"""WITH {_PROFILES}, placed AS (SELECT p.app, p.node, p.level, b.choice FROM paths p JOIN best b ON b.app = p.app AND b.node = p.container),
 hit AS (SELECT pl.app, pl.node, pl.level, count(DISTINCT l.id) AS n, min(l.id) AS lib_id FROM placed pl JOIN meth m ON m.app = pl.app AND m.node = pl.node JOIN lib l ON l.sig = m.sig AND starts_with(l.id, pl.choice) WHERE pl.level IN (2, 3) GROUP BY ALL)
 SELECT app, node, arg_max(lib_id, level) AS lib_id FROM hit WHERE n = 1 GROUP BY app, node""",
-    "extended_relations": f"""WITH s AS (SELECT p_type AS sig, 'com.' || lower(replace(p_brand, '#', '')) || '.run' || (p_partkey % 40) AS id, ['ret:' || p_size, 'para:int'] AS r FROM part WHERE p_partkey < 600),
-n AS (SELECT p_type AS sig, 'com.' || lower(replace(p_brand, '#', '')) || '.run' || (p_partkey % 40) AS id, ['refer:' || p_size, 'para:int'] AS r FROM part WHERE p_partkey >= 300),
+    "extended_relations": f"""WITH s AS (SELECT p_type AS sig, 'com.' || lower(replace(p_brand, '#', '')) || '.run' || (p_partkey % 40) AS id, ['ret:' || p_size, 'para:int'] AS r FROM part WHERE p_size <= 30),
+n AS (SELECT p_type AS sig, 'com.' || lower(replace(p_brand, '#', '')) || '.run' || (p_partkey % 40) AS id, ['refer:' || p_size, 'para:int'] AS r FROM part WHERE p_size > 15),
 one AS (SELECT sig, id FROM s GROUP BY ALL HAVING count(*) = 1),
 more AS (SELECT sig, id, list_distinct(flatten(list(r))) AS m FROM n JOIN one USING (sig, id) WHERE NOT {_MINIFIED.format(x='id')} GROUP BY sig, id)
 SELECT s.sig, s.id, array_to_string(CASE WHEN more.m IS NULL THEN s.r ELSE list_sort(list_distinct(list_concat(s.r, more.m))) END, ',') AS relations FROM s LEFT JOIN more USING (sig, id)""",
@@ -342,3 +344,62 @@ SELECT d.mapping, d.path AS debug, r.path AS release FROM t d JOIN t r ON r.mapp
     "package_sets": f"WITH {_EL}, o AS (SELECT DISTINCT app, pkg AS package FROM el WHERE NOT own EXCEPT SELECT app, pkg FROM el WHERE own), s AS (SELECT pkg AS package FROM el WHERE app IN ('app1', 'app5') AND pkg IN (SELECT pkg FROM el WHERE app IN ('app2', 'app6'))) SELECT app, package, package IN (SELECT package FROM s) AS shared FROM o",
 }
 SQL["chained_signatures"] = f"{SQL['signature_map'].replace('SELECT DISTINCT app, origin_cls AS origin_sig', 'SELECT app, origin_sig, new_sig, upper(new_sig) AS pred FROM (SELECT DISTINCT app, origin_cls AS origin_sig', 1)}) WHERE length(new_sig) % 2 = 0"
+
+
+# -- files and streams
+
+SQL["mapping_files"] = SQL["parsed_mapping"]
+SQL["graph_files"] = f"""WITH {_GRAPH}
+SELECT n.app, n_nodes, ids, first, last, n_edges, ends
+FROM (SELECT app, count(*) AS n_nodes, CAST(sum(id) AS BIGINT) AS ids, min(sig) AS first, max(sig) AS last FROM nodes GROUP BY app) n
+JOIN (SELECT app, count(*) AS n_edges, CAST(sum(source * 3 + target) AS BIGINT) AS ends FROM edges GROUP BY app) e USING (app)"""
+SQL["appended_graphs"] = f"WITH {_GRAPH} SELECT app, type, count(*) AS n, count(*) FILTER (WHERE app >= 'app2') AS n_extra FROM nodes GROUP BY app, type"
+SQL["feature_graph_files"] = f"""WITH {_FEATURES},
+v AS (SELECT DISTINCT app, a AS v FROM fe UNION SELECT app, b FROM fe)
+SELECT kind AS what, count(*) AS n, CAST(sum(a * 100 + b) AS BIGINT) AS total FROM fe GROUP BY kind
+UNION ALL SELECT CASE WHEN v % 5 = 0 THEN 'known' ELSE 'inferred' END, count(*), CAST(sum(v) AS BIGINT) FROM v GROUP BY 1
+UNION ALL SELECT 'scope', count(*), CAST(sum(m) AS BIGINT) FROM (SELECT app, kind, sum(DISTINCT a) AS m FROM fe GROUP BY app, kind)"""
+SQL["kg_files"] = f"""WITH {_KG},
+triples AS (SELECT b.kg_id AS tail FROM edges e JOIN rel USING (relation) JOIN ids a ON a.app = e.app AND a.id = e.source JOIN ids b ON b.app = e.app AND b.id = e.target)
+SELECT CASE WHEN contains(name, '->node:') THEN 'node' ELSE string_split(name, ':')[1] END AS what, count(*) AS n, CAST(sum(kg_id) AS BIGINT) AS total FROM entities GROUP BY 1
+UNION ALL SELECT 'relation2id', count(*), CAST(sum(rid) AS BIGINT) FROM rel UNION ALL SELECT 'train2id', count(*), CAST(sum(tail) AS BIGINT) FROM triples"""
+SQL["embedding_files"] = """SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dims,
+  round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS length FROM embeddings"""
+SQL["library_files"] = f"""WITH {_SETS}
+SELECT lib_name, n_members, n_hashes, first FROM libs JOIN lib_names USING (lib_id)
+JOIN (SELECT lib_id, count(*) AS n_hashes, min(hash) AS first FROM lib_hashes GROUP BY lib_id) USING (lib_id)"""
+SQL["activity_files"] = """SELECT DISTINCT 'com.c' || conv_id AS package, 'com.c' || conv_id || '.' || role AS activity
+FROM conversations WHERE role <> 'system'"""
+SQL["streamed_profiles"] = SQL["profile_counts"]
+SQL["streamed_scores"] = """WITH e AS (SELECT 'u' || user_id AS log, round(value, 2) AS v FROM events)
+SELECT log, count(v) AS n, CASE WHEN count(*) > 1 THEN count(*) - 1 END AS edges, round(sum(v), 4) AS total FROM e GROUP BY log"""
+
+# -- words of names
+#
+# RE2 has no look-ahead: a capital before a small letter starts a word of its own, and the last capital of a run before
+# any other character but an underscore is in no word; both are marked before the words are taken.
+
+_SPLIT = r"""list_transform(regexp_extract_all(regexp_replace(regexp_replace({x}, '([A-Z])([a-z])', '#\\1\\2', 'g'), '[A-Z]([^A-Za-z_])', '#\\1', 'g'), '<init>|<clinit>|[A-Z]?[a-z]+|[A-Z]+|\$'), lambda w: lower(w))"""
+_SPLIT = _SPLIT.replace("\\\\", "\\")
+
+
+def _similarity(a: str, b: str) -> str:
+    """1 - edit distance of word lists over the longer length: each word of a pair becomes a letter."""
+    letters = lambda x: f"array_to_string(list_transform({x}, lambda w: chr(CAST(64 + list_position(list_distinct(list_concat({a}, {b})), w) AS INTEGER))), '')"
+    d = f"levenshtein({letters(a)}, {letters(b)})"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a} = {b} THEN 1.0 ELSE 1 - CAST({d} AS DOUBLE) / greatest(len({a}), len({b})) END"
+
+
+_OBFUSCATED = f"""
+o AS (SELECT 'app' || (p_partkey % 20) AS app, p_partkey AS id, ['package', 'class', 'field', 'method'][p_partkey % 4 + 1] AS type,
+  substr('abcdef', CAST(p_partkey % 5 AS INT) + 1, CAST(p_partkey % 3 AS INT) + 1) AS name,
+  array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || '_' || p_type AS original_name,
+  CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '_') END AS tool_name FROM part)"""
+SQL["split_names"] = f"WITH {_OBFUSCATED} SELECT app, id, array_to_string({_SPLIT.format(x='original_name')}, ' ') AS words FROM o"
+SQL["name_similarity"] = f"""WITH {_MAPS}, n AS (SELECT app, key, truth, pred, {_SPLIT.format(x='truth')} AS a, {_SPLIT.format(x='pred')} AS b FROM both_sides)
+SELECT app, key, truth, pred, {_similarity('a', 'b')} AS similarity FROM n"""
+SQL["average_scores"] = f"""WITH {_OBFUSCATED},
+p AS (SELECT app, id, coalesce(tool_name, 'get') || 'Name' AS value FROM o WHERE id % 4 <> 1 OR id % 5 = 0),
+n AS (SELECT {_SPLIT.format(x='original_name')} AS a, {_SPLIT.format(x="coalesce(o.tool_name, '')")} AS b, {_SPLIT.format(x="coalesce(p.value, '')")} AS c FROM o LEFT JOIN p USING (app, id)
+  WHERE o.type IN ('class', 'method', 'field') AND length(o.name) < 3 AND length(o.original_name) >= 3)
+SELECT count(*) AS n, avg({_similarity('a', 'b')}) AS tool_score, avg({_similarity('a', 'c')}) AS model_score FROM n"""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from nomen import model
 from nomen.functions import columns as C
 from nomen.functions.similarity import with_name_similarity, with_ratio
-from nomen.operators._lineage import cut
+from nomen.operators._lineage import cut, new_folder
 from nomen.operators import corpus, evaluate, features, graph, kg, library, mapping, profiles, vocab
 from nomen.plans import oracles
 from nomen.sources import adapters, graphs, text
+from nomen.streaming import profiles as stream_profiles
 
 MODES = ["exact", "common_substr"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,7 +118,10 @@ def common_package_names(spark: SparkSession, sf: str) -> DataFrame:
 def normalised_edges(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = graph.normalise_graph(*adapters.program_graph(spark, sf, raw=True))
     named = graph.with_endpoints(edges, nodes, ("type", "name"))
-    return named.select("app", "source_type", "source_name", "relation", "target_type", "target_name")
+    ends = F.concat_ws("/", "source_name", "target_name")
+    return named.groupBy("app", "source_type", "relation", "target_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(ends).alias("n_names"), F.min(ends).alias("first"), F.max(ends).alias("last")
+    )
 
 
 @query
@@ -232,7 +236,10 @@ def kg_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kg_triples(spark: SparkSession, sf: str) -> DataFrame:
-    return kg.build_knowledge_graph(*adapters.program_graph(spark, sf))[3]
+    """Triples by relation: how many, and sums that tell which ids they join."""
+    triples = kg.build_knowledge_graph(*adapters.program_graph(spark, sf))[3]
+    mixed = F.sum((F.col("head") * 31 + F.col("tail") * 17) % 10007 * (F.col("tail") % 101 + 1))
+    return triples.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.sum("head").alias("heads"), F.sum("tail").alias("tails"), mixed.alias("mixed"))
 
 
 @query
@@ -451,10 +458,11 @@ def decoded_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pattern_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents whose words meet those of the first benchmark item."""
-    origin = adapters.words(spark, sf, "benchmark").where("doc = (SELECT 0)").select(F.col("word").alias("item"))
+    """Words that documents share with benchmark items: how many, and the first and last of them."""
+    origins = adapters.words(spark, sf, "benchmark").select(F.col("doc").alias("origin_id"), F.col("word").alias("item"))
     patterns = adapters.words(spark, sf).select(F.col("doc").alias("pattern_id"), F.col("word").alias("item"))
-    return vocab.pattern_overlap(origin, patterns).select("pattern_id", F.array_join("common", " ").alias("common"))
+    found = vocab.pattern_overlap(origins, patterns)
+    return found.select("origin_id", "pattern_id", F.size("common").alias("n"), F.element_at("common", 1).alias("first"), F.element_at("common", -1).alias("last"))
 
 
 # -- profiles
@@ -505,8 +513,8 @@ def recover_by_profiles(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def extended_relations(spark: SparkSession, sf: str) -> DataFrame:
     p = adapters.table(spark, sf, "part")
-    stored = p.where("p_partkey < 600").selectExpr("p_type AS sig", "concat('com.', lower(replace(p_brand, '#', '')), '.run', p_partkey % 40) AS id", "array(concat('ret:', p_size), 'para:int') AS relations")
-    new = p.where("p_partkey >= 300").selectExpr("p_type AS sig", "concat('com.', lower(replace(p_brand, '#', '')), '.run', p_partkey % 40) AS id", "array(concat('refer:', p_size), 'para:int') AS relations")
+    stored = p.where("p_size <= 30").selectExpr("p_type AS sig", "concat('com.', lower(replace(p_brand, '#', '')), '.run', p_partkey % 40) AS id", "array(concat('ret:', p_size), 'para:int') AS relations")
+    new = p.where("p_size > 15").selectExpr("p_type AS sig", "concat('com.', lower(replace(p_brand, '#', '')), '.run', p_partkey % 40) AS id", "array(concat('refer:', p_size), 'para:int') AS relations")
     return profiles.extend_relations(stored, new).select("sig", "id", F.array_join("relations", ",").alias("relations"))
 
 
@@ -680,7 +688,7 @@ def parsed_artifacts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def paired_artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.pair_artifacts(corpus.parse_artifacts(adapters.artifacts(spark, sf))[0])
+    return corpus.pair_artifacts(cut(corpus.parse_artifacts(adapters.artifacts(spark, sf))[0]))  # each path is parsed once
 
 
 @query
@@ -697,3 +705,142 @@ def package_sets(spark: SparkSession, sf: str) -> DataFrame:
     only = corpus.package_difference(el.where("NOT own").drop("own"), el.where("own").drop("own"))
     shared = corpus.common_packages(el.where("app IN ('app1', 'app5')"), el.where("app IN ('app2', 'app6')"))
     return only.join(shared.withColumn("shared", F.lit(True)), "package", "left").select("app", "package", F.coalesce("shared", F.lit(False)).alias("shared"))
+
+
+# -- files: written, read back and counted
+
+
+def _files(spark: SparkSession, name: str) -> str:
+    return new_folder(spark, name)
+
+
+@query
+def graph_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes and edges by app as read back from graph files."""
+    nodes, edges = adapters.program_graph(spark, sf)
+    path = _files(spark, "graphs")
+    graphs.write_graphs(nodes, edges, path)
+    nodes, edges = graphs.load_graphs(spark, path)
+    app = F.regexp_extract("app", "app=([^/]+)/", 1).alias("app")
+    n = nodes.groupBy(app).agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("id").alias("ids"), F.min("sig").alias("first"), F.max("sig").alias("last"))
+    e = edges.groupBy(app).agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("source") * 3 + F.col("target")).alias("ends"))
+    return n.join(e, "app")
+
+
+@query
+def appended_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Node counts of two sets of app graphs, one after the other."""
+    nodes, _ = adapters.program_graph(spark, sf)
+    both = graphs.append_graphs([nodes.where("app < 'app2'"), nodes.where("app >= 'app2'").withColumn("extra", F.lit(1))])
+    return both.groupBy("app", "type").agg(F.count(F.lit(1)).alias("n"), F.count("extra").alias("n_extra"))
+
+
+@query
+def feature_graph_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels, edges by family and kind, and scopes as read back from feature graph lines."""
+    edges, vertices = adapters.feature_edges(spark, sf)
+    path = _files(spark, "features")
+    scopes_ = features.scopes(edges.select("app", F.col("kind").alias("scope"), F.col("a").alias("v")))
+    null = lambda kind: F.lit(None).cast(kind)
+    entry = lambda a, b, f2, cn, n: F.struct(a.alias("a"), b.alias("b"), f2.alias("f2"), cn.alias("cn"), n.alias("n"))
+    pairs = edges.select("app", entry(F.col("a"), F.col("b"), F.col("kind"), null("string"), null("array<long>")).alias("q"))
+    groups = scopes_.select("app", entry(null("long"), null("long"), null("string"), F.lit("!="), F.col("members")).alias("q"))
+    lines = pairs.union(groups).groupBy("app").agg(F.collect_list("q").alias("query"))
+    label = F.struct("v", F.when(F.col("is_library"), F.col("name")).alias("giv"), F.when(~F.col("is_library"), F.col("name")).alias("inf"))
+    lines.join(vertices.groupBy("app").agg(F.collect_list(label).alias("assign")), "app").drop("app").write.json(path)
+    assign, read, scopes_ = graphs.load_feature_graphs(spark, path)
+    out = read.groupBy(F.col("f2").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a") * 100 + F.col("b")).alias("total"))
+    known = F.when(F.col("known"), "known").otherwise("inferred").alias("what")
+    out = out.union(assign.groupBy(known).agg(F.count("label"), F.sum("v")))
+    members = F.aggregate("members", F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.union(scopes_.select(F.lit("scope").alias("what"), members.alias("m")).groupBy("what").agg(F.count(F.lit(1)), F.sum("m")))
+
+
+@query
+def mapping_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Mappings parsed from files, a folder per app."""
+    path = _files(spark, "mappings")
+    lines = adapters.mapping_lines(spark, sf).repartition("app").sortWithinPartitions("app", "line")
+    lines.select("app", "value").write.partitionBy("app").text(path)
+    read = text.load_lines(spark, path, "part*").withColumn("app", F.regexp_extract("app", "app=([^/]+)/", 1))
+    return mapping.parse_mapping(read)
+
+
+@query
+def kg_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities by sort of name, and lines by file, as read back from knowledge graph files."""
+    entities, _, relations, triples = kg.build_knowledge_graph(*adapters.program_graph(spark, sf))
+    path = _files(spark, "kg")
+    graphs.write_kg(entities.withColumnRenamed("kg_id", "id"), relations.select(F.col("relation").alias("name"), F.col("relation_id").alias("id")), triples, path)
+    read = graphs.load_entity_ids(spark, f"{path}/entity2id")
+    sort = F.when(F.contains("name", F.lit("->node:")), "node").otherwise(F.substring_index("name", ":", 1))
+    out = read.groupBy(sort.alias("what")).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"))
+    for name in ("relation2id", "train2id"):
+        lines = spark.read.text(f"{path}/{name}")
+        number = F.split("value", "\t")
+        out = out.union(lines.where(F.size(number) > 1).select(F.lit(name).alias("what"), F.try_element_at(number, F.lit(2)).cast("long").alias("x")).groupBy("what").agg(F.count(F.lit(1)), F.sum("x")))
+    return out
+
+
+@query
+def embedding_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as read back from embedding files of 500 vectors."""
+    path = _files(spark, "embeddings")
+    v = adapters.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    graphs.save_embeddings(v, path, 500)
+    read = graphs.load_embeddings(spark, path, 500)
+    return read.select("id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
+
+
+@query
+def library_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Libraries and how many hashes each has, as read back from the library store."""
+    sets = _sets(spark, sf)[2]
+    libs = library.collect_libraries(sets)
+    path = _files(spark, "libraries")
+    graphs.save_libraries(libs, library.library_hashes(sets, libs), path)
+    libs, hashes = graphs.load_libraries(spark, path)
+    n = hashes.groupBy("lib_id").agg(F.count(F.lit(1)).alias("n_hashes"), F.min("hash").alias("first"))
+    return libs.join(n, "lib_id").select("lib_name", "n_members", "n_hashes", "first")
+
+
+@query
+def activity_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared activities as read back from activity maps, a file for each thousand conversations."""
+    path = _files(spark, "activities")
+    _, declared = adapters.screen_states(spark, sf)
+    views = F.array(F.create_map(F.lit("text"), F.col("activity")))
+    per = declared.groupBy("package").agg(F.map_from_entries(F.collect_list(F.struct("activity", views.alias("v")))).alias("m"))
+    block = F.floor(F.regexp_extract("package", "([0-9]+)$", 1).cast("long") / 1000)
+    files = per.groupBy(block.alias("block")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("package", "m")))).alias("value"))
+    files.repartition("block").write.partitionBy("block").text(path)
+    return graphs.load_activity_map(spark, path)
+
+
+# -- streams, run until their input is read
+
+
+@query
+def streamed_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile totals that a stream of library files adds up."""
+    lib, methods, _ = adapters.profiles(spark, sf)
+    path = _files(spark, "profile-stream")
+    for part in (lib, methods.select("sig", "id")):
+        part.coalesce(2).write.mode("append").json(f"{path}/in")
+    stream = spark.readStream.schema(stream_profiles.PROFILE).option("maxFilesPerTrigger", 2).json(f"{path}/in")
+    stream_profiles.keep_totals(stream, f"{path}/totals", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream_profiles.read_totals(spark, f"{path}/totals")
+
+
+@query
+def streamed_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The last score that a stream of log lines shows for each log."""
+    path = _files(spark, "score-stream")
+    adapters.score_lines(spark, sf).repartition(2, "app").sortWithinPartitions("app", "line").withColumnRenamed("app", "log").write.json(f"{path}/in")
+    lines = spark.readStream.schema("log string, line long, value string").json(f"{path}/in")
+    lines = lines.withColumn("value", F.regexp_replace("value", r"^\[info\] ", ""))
+    blocks = stream_profiles.score_blocks(stream_profiles.edge_count_lines(lines))
+    sink = blocks.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("log string, end_score double, edge_count long").parquet(f"{path}/out")
+    return found.groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.max("edge_count").alias("edges"), F.round(F.sum("end_score"), 4).alias("total"))

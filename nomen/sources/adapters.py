@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nomen.functions import columns as C
-from nomen.operators._lineage import cut
+from nomen.operators._lineage import cut, new_folder, stored
+from nomen.operators.kg import dense_within
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(app, own, vol, pkg, cls, mth, ref, ret): a method per line item."""
+    """(app, own, vol, pkg, cls, mth, ref, ret): a method per line item; an app per supplier, a class per part, a package per brand."""
     brand = "lower(replace(p_brand, '#', ''))"
-    joined = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", (F.col("l_partkey") % 200).alias("p_partkey")).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_type"), "p_partkey")
-    return joined.selectExpr(
-        "concat('app', l_suppkey % 20) AS app",
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", F.col("l_partkey").alias("p_partkey"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    return items.join(parts, "p_partkey").selectExpr(
+        "concat('app', l_suppkey) AS app",
         "l_returnflag = 'R' AS own",
         "l_linestatus = 'F' AS vol",
-        f"CASE WHEN l_returnflag = 'R' THEN concat('com.app', l_suppkey % 20, '.', {brand}) WHEN l_suppkey % 20 % 4 = 3 THEN concat('o.', substr(md5({brand}), 1, 3)) ELSE concat('com.lib.', {brand}) END AS pkg",
+        f"""CASE WHEN l_returnflag = 'R' THEN concat('com.app', l_suppkey, '.', {brand})
+            WHEN l_suppkey % 4 = 3 THEN concat('o.', substr(md5({brand}), 1, 3)) ELSE concat('com.lib.', {brand}) END AS pkg""",
         "concat('C', p_partkey) AS cls",
         "concat('m', l_orderkey, '_', l_linenumber) AS mth",
-        "concat('S', lpad(cast(p_size AS string), 2, '0')) AS ref",
-        "p_type AS ret",
+        f"concat({brand}, 'S', p_size % 2) AS ref",
+        "CASE WHEN p_size % 4 < 2 THEN 'NICKEL' ELSE 'BRASS' END AS ret",
     )
 
 
@@ -54,15 +57,31 @@ def raw_edges(el: DataFrame, raw: bool = False) -> DataFrame:
 
 
 def program_graph(spark: SparkSession, sf_dir: str, raw: bool = False) -> tuple[DataFrame, DataFrame]:
-    """nodes(app, id, type, name, sig) and edges(app, ord, source, target, relation), stored as graph tables would be."""
+    """nodes(app, id, type, name, sig) and edges(app, ord, source, target, relation), stored as graph tables would be.
+
+    They are derived once per session and folder, as long as the stored tables are there.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, raw)
+    if key not in _GRAPHS or not all(stored(spark, path) for path in _GRAPHS[key]):
+        paths = [new_folder(spark, f"graph-{name}") for name in ("nodes", "edges")]
+        for df, path in zip(_derived_graph(spark, sf_dir, raw), paths):
+            df.write.parquet(path)
+        _GRAPHS[key] = paths
+    nodes, edges = (spark.read.parquet(path) for path in _GRAPHS[key])
+    return nodes, edges
+
+
+_GRAPHS: dict[tuple, list[str]] = {}
+
+
+def _derived_graph(spark: SparkSession, sf_dir: str, raw: bool) -> tuple[DataFrame, DataFrame]:
     named = cut(raw_edges(elements(spark, sf_dir), raw))
     ends = named.select("app", F.col("st").alias("type"), F.col("ss").alias("sig")).union(named.select("app", "tt", "ts")).distinct()
     name = F.when(F.col("type").isin("package", "class", "class_lib"), F.substring_index("sig", ".", -1)).when(F.col("type") == "method", F.regexp_extract("sig", r" ([^ (]+)\(", 1)).otherwise(F.col("sig"))
-    nodes = cut(ends.select("app", (F.row_number().over(Window.partitionBy("app").orderBy("type", "sig")) - 1).cast("long").alias("id"), "type", name.alias("name"), "sig"))
+    nodes = cut(dense_within(ends, "app", ["type", "sig"]).select("app", "id", "type", name.alias("name"), "sig"))
     side = lambda s, t, i: nodes.select("app", F.col("type").alias(t), F.col("sig").alias(s), F.col("id").alias(i))
     edges = named.join(side("ss", "st", "source"), ["app", "ss", "st"]).join(side("ts", "tt", "target"), ["app", "ts", "tt"])
-    ord_ = (F.row_number().over(Window.partitionBy("app").orderBy("source", "target", "relation")) - 1).cast("long")
-    return nodes, cut(edges.select("app", ord_.alias("ord"), "source", "target", "relation"))
+    return nodes, edges.select("app", F.expr("shiftleft(source, 32) + target").alias("ord"), "source", "target", "relation")
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -72,7 +91,7 @@ def mappings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     base = part.selectExpr(f"{k} AS k", f"concat('app', {k} % 20) AS app", f"element_at(array('p', 'c', 'f', 'm'), cast({k} % 4 AS int) + 1) AS kind", f"cast({k} AS string) AS key", "replace(p_name, ' ', '_') AS short", "concat(replace(p_name, ' ', '_'), '_', lower(p_type)) AS full")
     other = part.selectExpr(f"{k} AS o", "replace(p_name, ' ', '_') AS theirs")
     truth = base.where("k % 11 <> 0").selectExpr("app", "kind", "key", "full AS value")
-    pred = base.where("k % 5 <> 0").withColumn("o", (F.col("k") * 7 + 3) % 200).join(other, "o", "left").selectExpr("app", "kind", "key", "CASE WHEN k % 3 = 0 THEN full ELSE theirs END AS value")
+    pred = base.where("k % 5 <> 0").withColumn("o", F.col("k") + 1 - 2 * (F.col("k") % 2)).join(other, "o", "left").selectExpr("app", "kind", "key", "CASE WHEN k % 3 = 0 THEN full ELSE theirs END AS value")
     return truth, pred, base.where("k % 20 % 4 = 3").select("app", "key")
 
 
@@ -97,22 +116,22 @@ def words(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 def profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """library(sig, id), methods(app, node, sig, id) and paths(app, node, container, level) from parts."""
     part = table(spark, sf_dir, "part")
-    base = part.selectExpr("p_partkey AS k", "concat(p_type, ':', p_size % 7, ':', p_partkey % 20) AS sig", "lower(replace(p_brand, '#', '')) AS brand")
-    library = base.where("k % 20 < 10 AND k < 1000").selectExpr("sig", "concat('com.', brand, '.Klass', k % 3, '.run', k % 5) AS id")
+    base = part.selectExpr("p_partkey AS k", "p_size AS size", "concat(p_type, ':', p_size % 7, ':', p_brand) AS sig", "lower(replace(p_brand, '#', '')) AS brand")
+    library = base.where("size <= 25").selectExpr("sig", "concat('com.', brand, '.Klass', k % 3, '.run', k % 5) AS id")
     methods = base.selectExpr("concat('app', k % 20) AS app", "k AS node", "sig", "concat('com.', substr(brand, 1, 1), '.', CASE WHEN k % 2 = 0 THEN 'a' ELSE 'bc' END, '.b') AS id", "brand")
     parts = methods.selectExpr("app", "node", "posexplode(array('com', concat('com.', brand), concat('com.', brand, '.', node % 3))) AS (level, container)").withColumn("level", F.col("level") + 1)
     return library, methods.drop("brand"), parts
 
 
 def name_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(app, package, cls, kind, name): words as element names; a document is a class, in one of 40 packages of its source; three quarters of them leave out short words."""
-    w = words(spark, sf_dir).where("length(word) <= 6 AND (length(word) >= 3 OR doc % 40 < 10) AND pos < 200")
+    """(app, package, cls, kind, name): all words as element names; a document is a class, in one of 40 packages of its source."""
+    w = words(spark, sf_dir)
     return w.select(F.col("lang").alias("app"), F.concat("source", F.lit("."), (F.col("doc") % 40).cast("string")).alias("package"), F.col("doc").cast("string").alias("cls"), F.when(F.col("pos") == 0, "class").otherwise("member").alias("kind"), F.col("word").alias("name"))
 
 
 def feature_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """edges(app, a, b, kind) and vertices(app, v, is_library, name) from line items."""
-    li = table(spark, sf_dir, "lineitem").selectExpr("concat('app', l_suppkey % 20) AS app", "l_orderkey % 97 AS a", "l_partkey % 89 AS b", "element_at(array('OO_C', 'TY_F', 'MD_M', 'CR_M', 'DU_F', 'UO_MF_MF', 'UA_MF_MF'), cast(l_linenumber % 7 AS int) + 1) AS kind")
+    li = table(spark, sf_dir, "lineitem").selectExpr("concat('app', l_suppkey) AS app", "l_orderkey % 97 AS a", "l_partkey % 89 AS b", "element_at(array('OO_C', 'TY_F', 'MD_M', 'CR_M', 'DU_F', 'UO_MF_MF', 'UA_MF_MF'), cast(l_linenumber % 7 AS int) + 1) AS kind")
     ends = li.select("app", F.col("a").alias("v")).union(li.select("app", "b")).distinct()
     return li, ends.selectExpr("app", "v", "v % 5 = 0 AS is_library", "concat('n', v) AS name")
 
@@ -144,7 +163,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def screen_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """states(package, component, views) and declared(package, activity) from conversations."""
     c = table(spark, sf_dir, "conversations").selectExpr("concat('com.c', conv_id) AS package", "role", "turn", "text")
-    states = c.selectExpr("package", "concat(package, CASE WHEN turn % 2 = 0 THEN '/.' ELSE concat('/', package, '.') END, role) AS component", "array(struct(substr(text, 1, 20) AS text, concat('id', turn % 3) AS rid, 'TextView' AS class)) AS views")
+    states = c.selectExpr("package", "concat(package, CASE WHEN turn % 2 = 0 THEN '/.' ELSE concat('/', package, '.') END, role) AS component", "array(struct(text AS text, concat('id', turn % 3) AS rid, 'TextView' AS class)) AS views")
     declared = c.where("role <> 'system'").selectExpr("package", "concat(package, '.', role) AS activity").distinct()
     return states, declared
 

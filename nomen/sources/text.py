@@ -32,6 +32,7 @@ def parse_compare_lines(lines: DataFrame) -> DataFrame:
 
     The tag is compared without regard to case.
     """
+    # the form of a report line: a fixed value
     pattern = r"^\[([a-zA-Z])\](?:\(([^)]*)\))? (.*) ([^/ ]*)/([^/ ]*)$"
     g = lambda i: F.regexp_extract("value", pattern, i)
     got = lines.where(F.col("value").rlike(pattern))

@@ -23,28 +23,48 @@ def streamed_counts(stream: DataFrame) -> DataFrame:
     return profile_counts(stream)
 
 
-def keep_totals(stream: DataFrame, path: str, checkpoint: str):
-    """Adds each batch's counts to a table of totals, written as a new version per batch: repeating a batch after a loss
-    starts from the version before it, so that it counts once."""
+def keep_totals(stream: DataFrame, path: str, checkpoint: str, compact_every: int = 50):
+    """Writes each batch's counts as a folder of its own, named by the batch: repeating a batch after a loss overwrites it, so
+    that it counts once.  After ``compact_every`` batches those before are added up into one folder, and the batch's
+    folder says what it stands for, so that ``read_totals`` never counts a row twice."""
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         new = profile_counts(batch)
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else new.limit(0)
-        add_counts(old, new).write.mode("overwrite").parquet(f"{path}/v={number}")
+        if number and number % compact_every == 0:
+            old = read_totals(batch.sparkSession, path, number)
+            add_counts(old, new).write.mode("overwrite").parquet(f"{path}/total={number}")
+        else:
+            new.write.mode("overwrite").parquet(f"{path}/delta={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
 
+def read_totals(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """(sig, id, count): the last compacted total and the batches after it (all, or those before a batch)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    parts = [(kind, int(n)) for kind, _, n in (x.partition("=") for x in names) if kind in ("total", "delta") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}={n}/_SUCCESS"))]
+    parts = [(kind, n) for kind, n in parts if before is None or n < before]
+    base = max((n for kind, n in parts if kind == "total"), default=-1)
+    folders = [f"{path}/{kind}={n}" for kind, n in parts if (kind == "total" and n == base) or (kind == "delta" and n > base)]
+    schema = f"{PROFILE}, count long"
+    found = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    return add_counts(found, found.limit(0))
+
+
 def score_blocks(lines: DataFrame) -> DataFrame:
     """(log, end_score, edge_count), once per ``End score`` line of ``lines(log, value)``: the state holds the last edge
-    count that a log showed."""
+    count that a log showed.  With a column ``line``, the lines of a batch are taken in its order."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count = state.get[0] if state.exists else None
         out = []
-        for pdf in batches:
-            for value in pdf["value"]:
+        ordered = pd.concat(list(batches), ignore_index=True)
+        if "line" in ordered:
+            ordered = ordered.sort_values("line")
+        for value in ordered["value"]:
+            if value is not None:
                 if value.startswith("Edge count "):
                     count = int(value.split()[-1])
                 elif value.startswith("End score "):
