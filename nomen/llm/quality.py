@@ -4,10 +4,15 @@ A document is its UTF-8 bytes.  Learned filters of ``WIDTH`` bytes slide over ev
 chunks of ``CHUNK`` bytes that cover the whole text are max-pooled, each chunk's pooled features pass a small
 hidden layer, and the mean and the maximum of all chunks' hidden values give one probability.
 
-Training takes a bounded sample of labelled rows (``max_docs`` documents in the order of a hash of their id,
-``max_chunks`` chunks spread evenly over each); scoring always reads whole texts.  Only the text enters a
-score.  Null and empty texts are scored as one chunk of padding; repeated rows give equal scores; an empty
-table gives no rows; without any usable label every score is 0.5.
+Training takes a bounded sample of labelled rows (``max_docs`` documents in the order of a hash of their id, with all their
+chunks; a step draws DRAW of those of a long document).  It is dealt into SHARDS shards; in each of ROUNDS rounds a task per shard goes on from the common network by
+Adam steps, and the driver averages the SHARDS results, whose size is fixed.  Scoring reads whole texts.
+
+Only the text enters a score.  Null and empty texts are scored as one chunk of padding; repeated rows give equal scores;
+of rows that share a labelled id, the one with the least text is learned from; equal ids in ``labels`` take the least
+label; ties in the order of the sample are settled by the id; an empty table gives no rows; without any usable label every
+score is 0.5; other columns are ignored, whatever their names.  A very long text is pooled piece by piece, with its bytes and
+one row of features per chunk in memory.
 """
 
 from __future__ import annotations
@@ -21,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomen.llm import _words
+from nomen.llm._shared import materialise
 
 WIDTH, EMBED, FILTERS, HIDDEN = 6, 8, 24, 12
 CHUNK, OVERLAP = 512, 64
-MAX_DOCS, MAX_CHUNKS, STEPS, BATCH = 5000, 6, 1200, 48
+MAX_DOCS, BATCH = 5000, 48
+DRAW = 8  #: chunks that a step takes of a document with more, drawn anew in each step
+SHARDS, ROUNDS, STEPS = 4, 5, 120  #: steps of a shard in a round
 THRESHOLD = 0.3
 
 
@@ -42,7 +50,8 @@ class ByteConvNet:
     def fresh(cls, seed: int = 0) -> ByteConvNet:
         r = np.random.default_rng(seed)
         f = lambda scale, *shape: (r.standard_normal(shape) * scale).astype(np.float32)
-        return cls(f(0.5, 256, EMBED), f((WIDTH * EMBED) ** -0.5, WIDTH, EMBED, FILTERS), f(0, FILTERS), f(FILTERS**-0.5, FILTERS + 2, HIDDEN), f(0, HIDDEN) + np.float32(0.1), f(0.1, 2 * HIDDEN), f(0, 1))
+        convolution = f(0.5, 256, EMBED), f((WIDTH * EMBED) ** -0.5, WIDTH, EMBED, FILTERS), f(0, FILTERS)
+        return cls(*convolution, f(FILTERS**-0.5, FILTERS + 2, HIDDEN), f(0, HIDDEN) + np.float32(0.1), f(0.1, 2 * HIDDEN), f(0, 1))
 
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.kernel, self.bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
@@ -115,65 +124,107 @@ def score_texts(net: ByteConvNet, tables: list[np.ndarray], texts: list[bytes])
     return out
 
 
-def fit(samples: list[tuple[list[bytes], int]], steps: int = STEPS, seed: int = 0) -> ByteConvNet | None:
-    """Adam on the log loss.  samples: (chunks, label).  Gradients pass through the places of the maxima only."""
-    if not samples or len({y for _, y in samples}) < 2:
-        return None
-    net, rng = ByteConvNet.fresh(seed), np.random.default_rng(seed)
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
-    by_label = [[i for i, (_, y) in enumerate(samples) if y == v] for v in (0, 1)]
-    share = len(by_label[1]) / len(samples)
-    for step in range(1, steps + 1):
-        # half of each label, weighted back to the shares of the sample, so that scores stay probabilities
-        pick = np.concatenate([rng.choice(by_label[v], BATCH // 2) for v in (0, 1)])
-        weight = np.where(np.arange(BATCH) < BATCH // 2, 1 - share, share) * 2
-        weight = np.sqrt(weight)  # in between: rare labels keep a say
-        chunks = [c.ljust(CHUNK, b"\0") if len(c) < WIDTH else c for i in pick for c in samples[i][0]]
-        length = np.array([len(c) for c in chunks])
-        ends = np.cumsum(length)
-        begins = ends - length
-        first = np.cumsum([0] + [len(samples[i][0]) for i in pick])[:-1]
-        data = np.frombuffer(b"".join(chunks), np.uint8)
-        y = np.array([samples[i][1] for i in pick])
-        tables = net.tables()
-        pair = data[:-1].astype(np.int32) * 256 + data[1:]
-        n = len(data) - WIDTH + 1
+@dataclass
+class Training:
+    """A network with the moments of Adam; ``step``: steps taken (of a shard)."""
+
+    net: ByteConvNet
+    first: list[np.ndarray]
+    second: list[np.ndarray]
+    step: int = 0
+
+    @classmethod
+    def fresh(cls, seed: int = 0) -> Training:
+        net = ByteConvNet.fresh(seed)
+        return cls(net, [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()])
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in (*self.net.parts(), *self.first, *self.second)]).astype(np.float32)
+
+    @classmethod
+    def of_vector(cls, values: np.ndarray, step: int) -> Training:
+        out, at = cls.fresh(), 0
+        for p in (*out.net.parts(), *out.first, *out.second):
+            p[...] = values[at : at + p.size].reshape(p.shape)
+            at += p.size
+        out.step = step
+        return out
+
+    def run(self, samples: list[tuple[list[bytes], int]], steps: int, total: int, rng: np.random.Generator) -> None:
+        """Adam on the log loss; the rate falls to 0 over ``total`` steps.  Gradients pass through the places of the maxima only."""
+        by_label = [[i for i, (_, y) in enumerate(samples) if y == v] for v in (0, 1)]
+        if not all(by_label):
+            return
+        share = len(by_label[1]) / len(samples)
+        # half of each label, weighted back in part to the shares of the sample: rare labels keep a say
+        weight = np.sqrt(np.where(np.arange(BATCH) < BATCH // 2, 1 - share, share) * 2)
+        for _ in range(steps):
+            self.step += 1
+            pick = np.concatenate([rng.choice(by_label[v], BATCH // 2) for v in (0, 1)])
+            batch = [samples[i] for i in pick]
+            batch = [(cs if len(cs) <= DRAW else [cs[k] for k in rng.choice(len(cs), DRAW, replace=False)], y) for cs, y in batch]
+            gradients = _gradients(self.net, batch, weight)
+            rate = 0.01 * min(1.0, 2 * (1 - (self.step - 1) / total))
+            for part, grad, m, v in zip(self.net.parts(), gradients, self.first, self.second):
+                m *= 0.9
+                m += 0.1 * grad
+                v *= 0.999
+                v += 0.001 * grad * grad
+                part -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)).astype(np.float32)
+
+
+def _gradients(net: ByteConvNet, batch: list[tuple[list[bytes], int]], weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the weighted mean log loss, in the order of ``parts``."""
+    n_docs = len(batch)
+    chunks = [c.ljust(CHUNK, b"\0") if len(c) < WIDTH else c for cs, _ in batch for c in cs]
+    length = np.array([len(c) for c in chunks])
+    ends = np.cumsum(length)
+    begins = ends - length
+    first = np.cumsum([0] + [len(cs) for cs, _ in batch])[:-1]
+    data = np.frombuffer(b"".join(chunks), np.uint8)
+    y = np.array([label for _, label in batch])
+    tables = net.tables()
+    where = []  # chunk x filter: the place of each maximum, in pieces of some chunks
+    for lo in range(0, len(chunks), 256):
+        hi = min(lo + 256, len(chunks))
+        piece = data[begins[lo] : ends[hi - 1]]
+        pair = piece[:-1].astype(np.int32) * 256 + piece[1:]
+        n = len(piece) - WIDTH + 1
         acts = tables[0].take(pair[:n], axis=0)
         for j in range(1, len(tables)):
             acts += tables[j].take(pair[2 * j : 2 * j + n], axis=0)
-        where = np.stack([b + acts[b : e - WIDTH + 1].argmax(axis=0) for b, e in zip(begins, ends)])  # chunk x filter
-        raw = acts[where, np.arange(FILTERS)] + net.bias
-        pooled = np.concatenate([np.maximum(raw, 0), sizes(length)], axis=1)
-        pre = pooled @ net.hidden + net.hidden_bias
-        h = np.maximum(pre, 0)
-        counts = np.diff(np.append(first, len(h)))
-        doc = np.repeat(np.arange(BATCH), counts)
-        mean = np.add.reduceat(h, first, axis=0) / counts[:, None]
-        top = np.maximum.reduceat(h, first, axis=0)
-        both = np.concatenate([mean, top], axis=1)
-        p = 1 / (1 + np.exp(-np.clip(both @ net.out + net.out_bias, -30, 30)))
-        g = ((p - y) * weight / BATCH).astype(np.float32)
-        d_out, d_out_bias = both.T @ g, np.array([g.sum()], np.float32)
-        d_both = g[:, None] * net.out
-        d_h = d_both[doc, :HIDDEN] / counts[doc][:, None]
-        is_top = h == top[doc]
-        d_h = (d_h + np.where(is_top, d_both[doc, HIDDEN:], 0)) * (pre > 0)
-        d_hidden, d_hidden_bias = pooled.T @ d_h, d_h.sum(axis=0)
-        d_pool = (d_h @ net.hidden[:FILTERS].T) * (raw > 0)
-        d_bias = d_pool.sum(axis=0)
-        d_kernel, d_embed = np.zeros_like(net.kernel), np.zeros_like(net.embed)
-        for w in range(WIDTH):
-            byte = data[where + w]  # chunk x filter
-            d_kernel[w] = np.einsum("cfe,cf->ef", net.embed[byte], d_pool)
-            np.add.at(d_embed, byte, d_pool[:, :, None] * net.kernel[w].T[None])
-        rate = 0.01 * min(1.0, 2 * (1 - (step - 1) / steps))
-        for part, grad, (m, v) in zip(net.parts(), [d_embed, d_kernel, d_bias, d_hidden, d_hidden_bias, d_out, d_out_bias], moments):
-            m *= 0.9
-            m += 0.1 * grad
-            v *= 0.999
-            v += 0.001 * grad * grad
-            part -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return net
+        where += [b + acts[b - begins[lo] : e - begins[lo] - WIDTH + 1].argmax(axis=0) for b, e in zip(begins[lo:hi], ends[lo:hi])]
+    where = np.stack(where)
+    byte = [data[where + w] for w in range(WIDTH)]
+    raw = net.bias + sum(np.einsum("cfe,ef->cf", net.embed[byte[w]], net.kernel[w]) for w in range(WIDTH))
+    pooled = np.concatenate([np.maximum(raw, 0), sizes(length)], axis=1)
+    pre = pooled @ net.hidden + net.hidden_bias
+    h = np.maximum(pre, 0)
+    counts = np.diff(np.append(first, len(h)))
+    doc = np.repeat(np.arange(n_docs), counts)
+    top = np.maximum.reduceat(h, first, axis=0)
+    both = np.concatenate([np.add.reduceat(h, first, axis=0) / counts[:, None], top], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(both @ net.out + net.out_bias, -30, 30)))
+    g = ((p - y) * weight / n_docs).astype(np.float32)
+    d_both = g[:, None] * net.out
+    d_h = d_both[doc, :HIDDEN] / counts[doc][:, None]
+    d_h = (d_h + np.where(h == top[doc], d_both[doc, HIDDEN:], 0)) * (pre > 0)
+    d_pool = (d_h @ net.hidden[:FILTERS].T) * (raw > 0)
+    d_kernel, d_embed = np.zeros_like(net.kernel), np.zeros_like(net.embed)
+    for w in range(WIDTH):
+        d_kernel[w] = np.einsum("cfe,cf->ef", net.embed[byte[w]], d_pool)
+        for e in range(EMBED):
+            d_embed[:, e] += np.bincount(byte[w].ravel(), (d_pool * net.kernel[w][e]).ravel(), 256)
+    return [d_embed, d_kernel, d_pool.sum(axis=0), pooled.T @ d_h, d_h.sum(axis=0), both.T @ g, np.array([g.sum()], np.float32)]
+
+
+def fit(samples: list[tuple[list[bytes], int]], steps: int, seed: int = 0) -> ByteConvNet | None:
+    """A network trained in one place.  samples: (chunks, label)."""
+    if len({y for _, y in samples}) < 2:
+        return None
+    state = Training.fresh(seed)
+    state.run(samples, steps, steps, np.random.default_rng(seed))
+    return state.net
 
 
 def held_out(id_col: str) -> F.Column:
@@ -181,25 +232,46 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS, steps: int = STEPS) -> ByteConvNet | None:
-    """Fit on ``max_docs`` labelled documents at most; where a document has several labels, the least counts."""
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
-    some = usable.where(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    max_docs: int = MAX_DOCS,
+    rounds: int = ROUNDS,
+    steps: int = STEPS,
+) -> ByteConvNet | None:
+    """Fit on ``max_docs`` labelled documents at most."""
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
+    some = usable.where(~held_out("id")).groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_docs)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    sample = materialise(texts.withColumn("shard", F.pmod(F.hash("id"), F.lit(SHARDS))), "sample")
+    if sample.agg(F.count_distinct("y")).first()[0] < 2:
+        return None
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(2).to_pylist():
-                data = _padded((text or "").encode())
-                ranges = chunk_ranges(len(data))
-                at = sorted({round(i * (len(ranges) - 1) / max(1, max_chunks - 1)) for i in range(max_chunks)})
-                found.append([data[ranges[i][0] : ranges[i][1]] for i in at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["id", "y", "chunks"])
-
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").select("_id", "_y", "_text")
-    rows = texts.mapInArrow(pick, f"id {docs.schema[id_col].dataType.simpleString()}, y int, chunks array<binary>").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["chunks"]))
-    return fit([([bytes(c) for c in r["chunks"]], r["y"]) for r in rows], steps)
+    def go_on(state: Training, number: int):
+        start = sample.sparkSession.sparkContext.broadcast(state.vector())
+
+        def run(table: pa.Table) -> pa.Table:
+            rows = sorted(zip(table["id"].to_pylist(), table["y"].to_pylist(), table["text"].to_pylist()))
+            data = [(_padded(text.encode()), y) for _, y, text in rows]
+            own = Training.of_vector(start.value, state_step)
+            shard = table["shard"][0].as_py()
+            own.run([([t[a:b] for a, b in chunk_ranges(len(t))], y) for t, y in data], steps, rounds * steps, np.random.default_rng([number, shard]))
+            return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(rows)], pa.int64()), "values": pa.array([own.vector().tobytes()], pa.binary())})
+
+        state_step = state.step
+        return sample.groupBy("shard").applyInArrow(run, "shard int, n long, values binary").collect()
+
+    state = Training.fresh()
+    for number in range(rounds):
+        found = sorted(go_on(state, number), key=lambda r: r["shard"])
+        total = sum(r["n"] for r in found)
+        mean = sum(np.frombuffer(bytes(r["values"]), np.float32) * np.float64(r["n"] / total) for r in found)
+        state = Training.of_vector(mean.astype(np.float32), state.step + steps)
+    return state.net
 
 
 def score(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

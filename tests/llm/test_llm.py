@@ -263,7 +263,48 @@ def test_quality_gradient():
     r = np.random.default_rng(0)
     samples = [([bytes(r.integers(97, 123, 40, dtype=np.uint8))] * 2, i % 2) for i in range(8)]
     assert quality.fit(samples, steps=3) is not None
-    assert quality.fit([]) is None and quality.fit([([b"abcdefg"], 1)]) is None
+    assert quality.fit([], 1) is None and quality.fit([([b"abcdefg"], 1)], 1) is None
+    net, weight = quality.ByteConvNet.fresh(3), np.ones(8)
+    for part in net.parts():
+        part += (r.standard_normal(part.shape) * 0.1).astype(np.float32)
+
+    def loss():
+        p = np.array([naive_score(net, t[0]) for t, _ in samples])
+        y = np.array([y for _, y in samples])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    samples = [([bytes(r.integers(97, 123, 40, dtype=np.uint8))], i % 2) for i in range(8)]
+    for part, gradient in zip(net.parts()[2:], quality._gradients(net, samples, weight)[2:]):
+        k = int(np.abs(gradient).argmax())
+        old = part.flat[k]
+        part.flat[k] = old + 1e-2
+        up = loss()
+        part.flat[k] = old - 1e-2
+        assert (up - loss()) / 2e-2 == pytest.approx(gradient.flat[k], rel=0.1, abs=1e-3)
+        part.flat[k] = old
+
+
+def naive_score(net, text):
+    """The definition, place by place."""
+    data = text if len(text) >= quality.WIDTH else text + bytes(quality.WIDTH - len(text))
+    hidden = []
+    for a, b in quality.chunk_ranges(len(data)):
+        best = [-np.inf] * quality.FILTERS
+        for i in range(a, b - quality.WIDTH + 1):
+            for f in range(quality.FILTERS):
+                act = sum(float(net.embed[data[i + w]] @ net.kernel[w][:, f]) for w in range(quality.WIDTH))
+                best[f] = max(best[f], act)
+        pooled = [max(0.0, x + float(net.bias[f])) for f, x in enumerate(best)] + [(b - a) / quality.CHUNK, np.log2(b - a) / 9]
+        hidden.append([max(0.0, float(np.dot(pooled, net.hidden[:, j]) + net.hidden_bias[j])) for j in range(quality.HIDDEN)])
+    both = [*np.mean(hidden, axis=0), *np.max(hidden, axis=0)]
+    return 1 / (1 + np.exp(-(np.dot(both, net.out) + float(net.out_bias[0]))))
+
+
+def test_quality_scores_equal_the_definition():
+    net, r = quality.ByteConvNet.fresh(2), random.Random(2)
+    texts = [b"", b"abc", "é😀 x".encode(), babble(r, 60).encode(), babble(r, 180).encode(), bytes(range(256))]
+    got = quality.score_texts(net, net.tables(), texts)
+    assert np.allclose(got, [naive_score(net, t) for t in texts], atol=1e-4)
 
 
 def test_quality_chunks_cover():
@@ -288,7 +329,7 @@ def test_quality_learns(spark):
     texts = [t for p in zip(good, bad) for t in p]
     docs = clashing(frame(spark, [*texts, *ODD]))
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(240)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
-    net = quality.train(docs, labels, steps=150)
+    net = quality.train(docs.unionByName(docs.where("doc_id < 9")), labels, rounds=4, steps=25)
     got = {x["doc_id"]: x for x in quality.score(docs, net).collect()}
     assert len(got) == 240 + len(ODD)
     assert all(x["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, x in got.items())
