@@ -623,12 +623,89 @@ def test_suffix_automaton_statistics():
         got = list(automaton.runs(stream))
         assert [(a, b) for a, b, _ in got] == expected
         for a, b, state in got:
-            for k, at in automaton.place[state].items():
-                assert sequences[k][at - (b - a) + 1 : at + 1] == stream[a:b]
+            places = [(k, j + b - a - 1) for k, s in enumerate(sequences) for j in range(len(s) - (b - a) + 1) if s[j : j + b - a] == stream[a:b]]
+            assert sorted(automaton.place[state]) == places
+
+
+def naive_shares(words, templates):
+    """Label to the covered share of the best chain, by comparing every run with every earlier one."""
+    split = [license_scan.words_of(t) for _, t in templates]
+    longest = []
+    for i in range(len(words)):
+        n = max((n for s in split for j in range(len(s)) for n in [next((m for m in range(min(i, j) + 2) if m > min(i, j) or words[i - m] != s[j - m]), 0)]), default=0)
+        longest.append(n)
+    runs = [(i - n + 1, i + 1) for i, n in enumerate(longest) if n >= license_scan.LEAST_RUN and (i + 1 == len(words) or longest[i + 1] != n + 1)]
+    best = {}
+    for (label, _), s in zip(templates, split):
+        pieces, done = [], 0
+        for a, b in runs:
+            for j in range(len(s) - (b - a) + 1):
+                if s[j : j + b - a] == words[a:b]:
+                    pieces += [(a, b, j)] + [(done, b, j + done - a)] * (a < done < b)
+            done = b
+        chains = []
+        for a, b, j in sorted(pieces):
+            before = max(((v - license_scan.GAP_COST * (a - e), c, f) for v, c, f, e, t in chains if e <= a and t <= j), default=(0, 0, a))
+            before = before if before[0] > 0 else (0, 0, a)
+            chains.append((before[0] + b - a, before[1] + b - a, before[2], b, j + b - a))
+        if chains:
+            share = min(1.0, max(chains)[1] / len(s))
+            best[label] = max(best.get(label, 0), share)
+    return best
+
+
+def test_license_chains_equal_brute_force(spark):
+    r = random.Random(21)
+    templates = [("a", " ".join(r.choice("k l m n o p q".split()) for _ in range(60))), ("a", "one two three four five six"), ("b", " ".join(f"t{i % 23}" for i in range(70)))]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randrange(6)):
+            s = r.choice(templates)[1].split()
+            i = r.randrange(len(s))
+            parts += [*s[i : i + r.randrange(25)], *("x" for _ in range(r.randrange(9)))]
+        texts.append(" ".join(parts))
+    scanner = license_scan.Scanner(tuple(templates))
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        (row,) = scanner.scan(_words.WordTable(data, np.array([0, len(data)]), _words.ALPHANUMERIC, True))
+        want = naive_shares(text.split(), templates)
+        assert row[6] == pytest.approx(max(want.values(), default=0.0)), text
+        assert row[5] == ",".join(sorted(k for k, v in want.items() if v >= license_scan.LEAST_COVER))
+
+
+def test_license_query_base_columns(spark, sf_dir):
+    """The base columns of the registered query, by SQL."""
+    import duckdb
+
+    sql = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+    f(phrase, label) AS (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')),
+    p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+    h AS (SELECT doc_id, i - 1 AS i, label FROM p, f WHERE w[i:i + len(phrase) - 1] = phrase)
+    SELECT d.doc_id, any_value(len(w)) AS n_words, count(h.i) AS n_base, min(h.i) AS first_word, max(h.i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+    FROM d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY d.doc_id"""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = queries.op9_license_scan(spark, sf_dir)
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    assert rows(found.select(names)) == sorted(con.execute(sql).fetchall(), key=str)
+    assert found.where("score < 0 OR score > 1 OR NOT contains(labels, base_labels)").where("base_labels <> 'cc-by,gpl'").count() == 0
+
+
+def test_whole_licences_with_insertions(spark):
+    whole = dict(license_scan.all_templates())
+    mit = license_scan.SHORT[0][1].split()
+    half = len(mit) // 2
+    texts = [" ".join([*mit[:half], *mit[:5], *mit[half:]]), " ".join([*mit[:half], *["foreign"] * 6, *mit[half:]]), whole["mpl"], whole["apache"].upper(), " ".join(mit[half:] + mit[:half])]
+    got = {x["doc_id"]: x for x in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert [got[i]["labels"] for i in range(2)] == ["mit", "mit"] and got[0]["score"] == got[1]["score"] == 1.0
+    assert "mpl" in got[2]["labels"].split(",") and "apache" in got[3]["labels"].split(",")
+    assert got[4]["labels"] == "" and 0.4 < got[4]["score"] < 0.6
 
 
 def test_license_scan(spark):
-    text = license_scan.TEMPLATES[1][1]
+    text = license_scan.SHORT[0][1]
     texts = ["Licensed under CC BY-NC 4.0. cc by", "This is under the GNU General Public License", "all rights. Reserved; ALL RIGHTS RESERVED", f"junk {text.upper()} more", text[: len(text) // 4], *ODD]
     got = {x["doc_id"]: x for x in license_scan.scan_licenses(clashing(frame(spark, texts))).collect()}
     assert [(got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["base_labels"]) for i in range(4)] == [(2, 2, 7, "cc-by"), (1, 5, 5, "gpl"), (2, 0, 3, "reserved"), (0, None, None, "")]
