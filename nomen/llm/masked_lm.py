@@ -1,41 +1,53 @@
 """Masked pseudo-likelihood: a window network predicts every word from both sides.
 
-The vocabulary is the corpus's ``FREQUENT`` most frequent words, counted over all documents, and hash classes for
-the others.  The network sees ``REACH`` words on each side of a hidden place: a table per place gives a hidden layer
-(tanh), and a two-level softmax (groups of 32 words, then the words of a group) the probability of the hidden word.  A
-word outside the vocabulary also pays for being one of all such words in its hash class.  A document's score is the sum
-of the log-probabilities of all its words, each given its true neighbours.
-
-Training covers every word of the corpus once.  Documents are dealt into ``ROUNDS`` rounds by a hash; in a round every
-partition trains its own copy in numpy (Adagrad), and the copies are averaged, weighted by their words, in a tree of
-fan-in ``FAN``; only the averaged network, of fixed size, reaches the driver.  Results depend on the partitioning as the
-sums of any distributed training do; the same partitions give the same scores.
+Words are counted over all documents.  The network's vocabulary is the ``FREQUENT`` most frequent words, and hash classes
+for the others.  The network sees ``REACH`` words on each side of a hidden place: a table per place gives a hidden layer
+(tanh), and a two-level softmax (groups of words, then the words of a group) the probability of the hidden word.  A word
+outside the vocabulary also pays for its share of its class: its count over the class's, for the ``exact_words`` most
+frequent of them; the rest of a class is shared evenly by the types that are left.  A document's score is the sum of the
+log-probabilities of all its words, each given its true neighbours.
+
+Training covers every word of the corpus once.  Documents are dealt by a hash of id and text into ``ROUNDS`` rounds and, in a
+round, into as many shards as the counted words ask for (``SHARD_WORDS``).  A task per shard trains its own copy in numpy
+(Adagrad), and the copies are averaged, weighted by their words, in a tree of fan-in ``FAN``; only the averaged network, of
+fixed size, reaches the driver.  So the scores don't depend on how the input is partitioned.
 
 Null texts count as empty; a document without words has log_prob 0 and a null mean; an empty table gives no rows;
-repeated rows are trained and scored each; other columns are ignored.
+repeated rows are trained and scored each; other columns are ignored.  Ties of counts are settled by the word's hash.  A
+text is handled as a whole in its task, in arrays of about 40 bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomen.llm import _words
 from nomen.llm._shared import materialise
 
-FREQUENT, OTHERS, GROUP = 960, 64, 32
+FREQUENT, OTHERS, GROUP = 1984, 64, 64
+EXACT_WORDS = 1 << 20  #: words with a count of their own: 16 bytes each in every task
 VOCABULARY = FREQUENT + OTHERS
 PAD = VOCABULARY  #: beyond a document's ends
-REACH, HIDDEN = 2, 16
+REACH, HIDDEN = 3, 16
 PLACES = 2 * REACH
 BATCH, RATE, ROUNDS, FAN, BLOCKS = 8192, 0.15, 2, 64, 16
-
-_SHAPES = {"places": (PLACES, VOCABULARY + 1, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, VOCABULARY // GROUP), "group_bias": (VOCABULARY // GROUP,), "word": (VOCABULARY // GROUP, GROUP, HIDDEN), "word_bias": (VOCABULARY // GROUP, GROUP)}
+SHARD_WORDS = 4_000_000
+
+GROUPS = VOCABULARY // GROUP
+_SHAPES = {
+    "places": (PLACES, VOCABULARY + 1, HIDDEN),
+    "bias": (HIDDEN,),
+    "group": (HIDDEN, GROUPS),
+    "group_bias": (GROUPS,),
+    "word": (GROUPS, GROUP, HIDDEN),
+    "word_bias": (GROUPS, GROUP),
+}
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
@@ -75,7 +87,7 @@ class WindowNetwork:
         rows = np.arange(n)
         log = scores[rows, group] - np.log(total[:, 0])
         order = np.argsort(group.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
-        edge = np.searchsorted(group[order], np.arange(VOCABULARY // GROUP + 1))
+        edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
         if gradient is not None:
             d = chances / total
             d[rows, group] -= 1
@@ -83,7 +95,7 @@ class WindowNetwork:
             d_h = d @ self.group.T
             gradient.group += h.T @ d
             gradient.group_bias += d.sum(axis=0)
-        for g in range(VOCABULARY // GROUP):
+        for g in range(GROUPS):
             at = order[edge[g] : edge[g + 1]]
             if not len(at):
                 continue
@@ -136,29 +148,61 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _ids(hashes: np.ndarray, known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Vocabulary numbers: of frequent words by rank, of others by hash class."""
-    other = FREQUENT + (hashes % np.uint64(OTHERS)).astype(np.int64)
-    if not len(known):
-        return other
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, numbers[at], other)
+@dataclass
+class Lexicon:
+    """What scoring knows of words: sorted hashes, each one's number in the network, and the log of its share of that number."""
 
+    words: np.ndarray
+    numbers: np.ndarray
+    shares: np.ndarray
+    rest: np.ndarray  #: by hash class: the log share of each word that is not listed
 
-def encoded(docs: DataFrame, frequent: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(id, round, ids: 16-bit word numbers)."""
-    words = np.array(frequent, np.int64).view(np.uint64)
-    order = np.argsort(words)
-    known, numbers = words[order], order
+    @classmethod
+    def of(cls, top: list[tuple[int, int]], counts: np.ndarray, types: np.ndarray) -> Lexicon:
+        """``top``: (word, count), most frequent first; ``counts``, ``types``: of all words beyond FREQUENT, by hash class."""
+        words = np.array([w for w, _ in top], np.int64).view(np.uint64)
+        n = np.array([c for _, c in top], float)
+        rank = np.arange(len(words))
+        classes = (words % np.uint64(OTHERS)).astype(np.int64)
+        numbers = np.where(rank < FREQUENT, rank, FREQUENT + classes)
+        later = rank >= FREQUENT
+        shares = np.where(later, np.log(n / np.maximum(counts[classes], 1)), 0.0)
+        left = np.maximum(counts - np.bincount(classes[later], n[later], OTHERS), 0)
+        left_types = np.maximum(types - np.bincount(classes[later], minlength=OTHERS), 1)
+        rest = np.log(np.maximum(left, 1) / left_types / np.maximum(counts, 1))
+        order = np.argsort(words)
+        return cls(words[order], numbers[order].astype(np.uint16), shares[order].astype(np.float32), rest)
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and log shares of words."""
+        classes = (hashes % np.uint64(OTHERS)).astype(np.int64)
+        if not len(self.words):
+            return FREQUENT + classes, self.rest[classes]
+        distinct, back = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
+        known, at = (self.words[at] == distinct)[back], at[back]
+        return np.where(known, self.numbers[at], FREQUENT + classes), np.where(known, self.shares[at], self.rest[classes])
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon, shards: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, deal, round, shard, ids: 16-bit word numbers, extra: sum of the log shares)."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
             for a, b, t in _words.tables(batch.column(1), _words.ALPHANUMERIC, True):
-                ids = _ids(t.hash, known, numbers).astype(np.uint16)
-                rounds = _words.mix(np.add.reduceat(np.append(t.hash, np.uint64(0)), t.first[:-1]) * (np.diff(t.first) > 0)) % np.uint64(ROUNDS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rounds.astype(np.int32)), pa.array([ids[x:y].tobytes() for x, y in zip(t.first[:-1].tolist(), t.first[1:].tolist())], pa.binary())], names=["id", "round", "ids"])
+                ids, share = own.look_up(t.hash)
+                ids, total = ids.astype(np.uint16), np.append(0, np.cumsum(share, dtype=np.float64))
+                data = [ids[x:y].tobytes() for x, y in zip(t.first[:-1].tolist(), t.first[1:].tolist())]
+                extra = total[t.first[1:]] - total[t.first[:-1]]
+                columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(data, pa.binary()), pa.array(extra)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "deal", "ids", "extra"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, round int, ids binary")
+    dealt = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("deal"))
+    found = dealt.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, deal long, ids binary, extra double")
+    in_turn = F.shiftright("deal", 8)
+    return found.withColumn("round", F.pmod("deal", F.lit(ROUNDS))).withColumn("shard", F.pmod(in_turn, F.lit(shards)).cast("int"))
 
 
 def _streams(column: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -174,27 +218,27 @@ def _streams(column: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndar
             held, size = [], 0
 
 
-def _train_round(tokens: DataFrame, net: WindowNetwork) -> WindowNetwork:
+def _train_round(tokens: DataFrame, net: WindowNetwork, shards: int) -> WindowNetwork:
     start = tokens.sparkSession.sparkContext.broadcast(net.values)
     edges = np.linspace(0, SIZE, BLOCKS + 1).astype(int)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def train(table: pa.Table) -> pa.Table:
         own, seen = WindowNetwork(start.value.copy()), 0
         past = np.full(SIZE, 1e-4, np.float32)
         gradient = WindowNetwork(np.zeros(SIZE, np.float32))
-        for batch in batches:
-            for ids, first in _streams(batch.column(0), BATCH):
-                around = neighbours(ids, first)
-                for a in range(0, len(ids), BATCH):
-                    gradient.values[:] = 0
-                    own.forward(around[:, a : a + BATCH], ids[a : a + BATCH], gradient)
-                    past += gradient.values * gradient.values
-                    own.values -= RATE * gradient.values / np.sqrt(past)
-                seen += len(ids)
-        if seen:
-            part = TaskContext.get().partitionId()
-            blocks = [own.values[a:b].astype(np.float64).tobytes() for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([part] * BLOCKS, pa.int32()), pa.array([float(seen)] * BLOCKS), pa.array(blocks, pa.binary())], names=["block", "part", "weight", "values"])
+        table = table.sort_by([("deal", "ascending"), ("ids", "ascending")])
+        for ids, first in _streams(table["ids"], BATCH):
+            around = neighbours(ids, first)
+            for a in range(0, len(ids), BATCH):
+                gradient.values[:] = 0
+                own.forward(around[:, a : a + BATCH], ids[a : a + BATCH], gradient)
+                past += gradient.values * gradient.values
+                own.values -= RATE * gradient.values / np.sqrt(past)
+            seen += len(ids)
+        blocks = [own.values[a:b].astype(np.float64).tobytes() for a, b in zip(edges[:-1], edges[1:])] if seen else []
+        n, part = len(blocks), table["shard"][0].as_py()
+        columns = [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([float(seen)] * n, pa.float64()), pa.array(blocks, pa.binary())]
+        return pa.table(columns, names=["block", "part", "weight", "values"])
 
     def average(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["part"].to_pylist(), table["weight"].to_pylist(), table["values"].to_pylist()))
@@ -203,7 +247,7 @@ def _train_round(tokens: DataFrame, net: WindowNetwork) -> WindowNetwork:
         return pa.table({"block": table["block"].slice(0, 1), "part": pa.array([rows[0][0] // FAN], pa.int32()), "weight": pa.array([weight]), "values": pa.array([mean.tobytes()], pa.binary())})
 
     schema = "block int, part int, weight double, values binary"
-    copies, parts = tokens.select("ids").mapInArrow(train, schema), tokens.rdd.getNumPartitions()
+    copies, parts = tokens.select("shard", "deal", "ids").groupBy("shard").applyInArrow(train, schema), shards
     while True:
         copies = copies.groupBy("block", F.floor(F.col("part") / FAN).alias("of")).applyInArrow(average, schema)
         if parts <= FAN:
@@ -213,28 +257,31 @@ def _train_round(tokens: DataFrame, net: WindowNetwork) -> WindowNetwork:
     return WindowNetwork(np.concatenate([np.frombuffer(bytes(r["values"])) for r in rows]).astype(np.float32)) if rows else net
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rounds: int = ROUNDS,
+    exact_words: int = EXACT_WORDS,
+) -> DataFrame:
     """(id, n_words, log_prob, mean_log_prob) for every document."""
     counts = materialise(word_counts(docs, text_col), "words")
-    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    rank = {w: i for i, w in enumerate(top)}
-    tokens = materialise(encoded(docs, top, id_col, text_col), "ids")
-    # frequencies of all vocabulary numbers, and how many words share a hash class: one row for each number
-    other = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in top], "word long")), "word", "left_anti")
+    listed = counts.orderBy(F.desc("n"), "word").limit(max(FREQUENT, exact_words)).toArrow()
+    top = sorted(zip(listed["word"].to_pylist(), listed["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    unigrams, types = np.zeros(VOCABULARY), np.zeros(OTHERS)
     # a hash class is the unsigned hash's low bits, so the signed value's too
-    classes = {r["c"]: (r["n"], r["types"]) for r in other.groupBy(F.col("word").bitwiseAND(OTHERS - 1).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
-    known = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
-    unigrams = np.zeros(VOCABULARY)
-    for w, n in known.items():
-        unigrams[rank[w]] = n
-    for c, (n, _) in classes.items():
-        unigrams[FREQUENT + c] = n
-    extra = np.zeros(VOCABULARY)
-    for c, (_, types) in classes.items():
-        extra[FREQUENT + c] = -np.log(types)
+    for r in counts.groupBy(F.col("word").bitwiseAND(OTHERS - 1).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+        unigrams[FREQUENT + r["c"]], types[r["c"]] = r["n"], r["types"]
+    total = unigrams.sum()
+    for rank, (word, n) in enumerate(top[:FREQUENT]):
+        unigrams[rank] = n
+        unigrams[FREQUENT + word % OTHERS] -= n
+        types[word % OTHERS] -= 1
+    shards = max(1, -(-int(total) // (rounds * SHARD_WORDS)))
+    tokens = materialise(encoded(docs, Lexicon.of(top, unigrams[FREQUENT:], types), shards, id_col, text_col), "ids")
     net = WindowNetwork.fresh(unigrams)
     for r in range(rounds):
-        net = _train_round(tokens.where(F.col("round") == r % ROUNDS), net)
+        net = _train_round(tokens.where(F.col("round") == r % ROUNDS), net, shards)
     trained = docs.sparkSession.sparkContext.broadcast(net.values)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +291,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for ids, first in _streams(batch.column(1), BATCH):
                 around = neighbours(ids, first)
                 log = [own.forward(around[:, a : a + BATCH], ids[a : a + BATCH]).astype(np.float64) for a in range(0, len(ids), BATCH)]
-                total = np.append(0, np.cumsum(np.concatenate(log) + extra[ids])) if log else np.zeros(1)
+                total = np.append(0, np.cumsum(np.concatenate(log))) if log else np.zeros(1)
                 sums.append(total[first[1:]] - total[first[:-1]])
                 sizes.append(np.diff(first))
-            n, s = np.concatenate([*sizes, np.zeros(0, int)]), np.concatenate([*sums, np.zeros(0)])
+            n = np.concatenate([*sizes, np.zeros(0, int)])
+            s = np.concatenate([*sums, np.zeros(0)]) + np.asarray(batch.column(2))
             mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), mean], names=[id_col, "n_words", "log_prob", "mean_log_prob"])
+            columns = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), mean]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_words", "log_prob", "mean_log_prob"])
 
-    return tokens.select("id", "ids").mapInArrow(score, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, log_prob double, mean_log_prob double")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return tokens.select("id", "ids", "extra").mapInArrow(score, f"`{id_col}` {kind}, n_words long, log_prob double, mean_log_prob double")

@@ -357,7 +357,8 @@ def test_lm_gradient():
     r = np.random.default_rng(3)
     ids = r.integers(0, masked_lm.VOCABULARY, 60)
     around = masked_lm.neighbours(ids, np.array([0, 20, 20, 60]))
-    assert around[0, 0] == around[1, 20] == masked_lm.PAD and around[2, 0] == ids[1]
+    reach = masked_lm.REACH
+    assert around[0, 0] == around[reach - 1, 20] == masked_lm.PAD and around[reach, 0] == ids[1]
     net = masked_lm.WindowNetwork(r.standard_normal(masked_lm.SIZE) * 0.3)
     gradient = masked_lm.WindowNetwork(np.zeros(masked_lm.SIZE))
     net.forward(around, ids, gradient)
@@ -372,10 +373,63 @@ def test_lm_gradient():
 
 def test_lm_probabilities_sum_to_one():
     net = masked_lm.WindowNetwork(np.random.default_rng(1).standard_normal(masked_lm.SIZE))
-    around = np.tile(np.array([[3], [9], [700], [masked_lm.PAD]]), (1, masked_lm.VOCABULARY))
+    sides = [3, 9, 700, masked_lm.PAD, 5, 5, 8, 9][: masked_lm.PLACES]
+    around = np.tile(np.array(sides)[:, None], (1, masked_lm.VOCABULARY))
     assert np.exp(net.forward(around, np.arange(masked_lm.VOCABULARY))).sum() == pytest.approx(1)
 
 
+def test_lm_scores_equal_the_definition(spark, monkeypatch):
+    """Documents' sums, word by word: the softmax over all numbers times the share of the word's class."""
+    r = random.Random(8)
+    texts = [*(babble(r, r.randrange(60)) for _ in range(12)), "only once", "", None]
+    docs = frame(spark, texts)
+    nets = []
+    plain = masked_lm._train_round
+    monkeypatch.setattr(masked_lm, "_train_round", lambda *a: nets.append(plain(*a)) or nets[-1])
+    got = {x["doc_id"]: x for x in masked_lm.score_documents(docs, exact_words=0).collect()}
+    net = nets[-1]
+    words = [re.findall(WORD, lower(t)) for t in texts]
+    counts = {}
+    for w in (w for ws in words for w in ws):
+        counts[w] = counts.get(w, 0) + 1
+    hashes = {w: int(_words.WordTable(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), _words.ALPHANUMERIC, True).hash[0]) for w in counts}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    number = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], signed(hashes[w]))))}
+    for k, ws in enumerate(words):
+        total = 0.0
+        for i, w in enumerate(ws):
+            side = [number[ws[j]] if 0 <= (j := i + d) < len(ws) else masked_lm.PAD for d in range(-masked_lm.REACH, masked_lm.REACH + 1) if d]
+            h = np.tanh(sum(net.places[p][n] for p, n in enumerate(side)) + net.bias)
+            g, x = divmod(number[w], masked_lm.GROUP)
+            a, b = h @ net.group + net.group_bias, net.word[g] @ h + net.word_bias[g]
+            total += a[g] - np.log(np.exp(a).sum()) + b[x] - np.log(np.exp(b).sum())
+        assert got[k]["log_prob"] == pytest.approx(total, abs=1e-3)
+
+
+def test_lm_shares_of_rare_words():
+    n = masked_lm.FREQUENT + 3 * masked_lm.OTHERS
+    top = [((1 << 40) + i * 64 if i < masked_lm.FREQUENT else i, n + 5 - i) for i in range(n)]
+    later = top[masked_lm.FREQUENT :]
+    counts, types = np.zeros(masked_lm.OTHERS), np.zeros(masked_lm.OTHERS)
+    for w, c in later:
+        counts[w % masked_lm.OTHERS] += c
+        types[w % masked_lm.OTHERS] += 1
+    for most in (n, n - 2 * masked_lm.OTHERS):
+        lexicon = masked_lm.Lexicon.of(top[:most], counts, types)
+        ids, share = lexicon.look_up(np.array([w for w, _ in top], np.uint64))
+        assert ids[: masked_lm.FREQUENT].tolist() == list(range(masked_lm.FREQUENT)) and not share[: masked_lm.FREQUENT].any()
+        for c in range(masked_lm.OTHERS):
+            of = [i for i, (w, _) in enumerate(top) if i >= masked_lm.FREQUENT and w % masked_lm.OTHERS == c]
+            assert np.exp(share[of]).sum() == pytest.approx(1) and set(ids[of]) == {masked_lm.FREQUENT + c}
+
+
+def test_lm_ignores_partitions(spark):
+    r = random.Random(3)
+    docs = frame(spark, [babble(r, r.randrange(80)) for _ in range(40)])
+    one, two = (sorted((x["doc_id"], x["log_prob"]) for x in masked_lm.score_documents(docs.repartition(n)).collect()) for n in (1, 7))
+    assert [x[0] for x in one] == [x[0] for x in two] and np.allclose([x[1] for x in one], [x[1] for x in two], rtol=1e-6)
+
+
 def test_lm_learns_and_scores(spark):
     r = random.Random(6)
     texts = [" ".join(["red green blue yellow"] * r.randrange(20, 40)) for _ in range(60)] + [" ".join(r.sample("red green blue yellow".split() * 30, 100)) for _ in range(8)]
