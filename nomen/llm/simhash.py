@@ -49,7 +49,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  #: first bit and size
 BLOCK = 1000  #: stored rows of a key that meet probing rows in one piece of work
 
 # the wide fingerprint of documents that are alike by their shingle sets
-WORDS, SEGMENT_COUNT, TABLES = 5, 12, 48
+WORDS, SEGMENT_COUNT, TABLES = 5, 12, 20
 WORD_BITS = 20  #: bits that the first words of two candidates differ in at most (expected at a similarity of 0.8: under 10)
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
