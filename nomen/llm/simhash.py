@@ -49,7 +49,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  #: first bit and size
 BLOCK = 1000  #: stored rows of a key that meet probing rows in one piece of work
 
 # the wide fingerprint of documents that are alike by their shingle sets
-WORDS, SEGMENT_COUNT, TABLES = 5, 12, 20
+WORDS, SEGMENT_COUNT = 5, 12
+NEARBY, TABLES = 16, 52  #: keys that are probed by all nearby indices, and all keys
 WORD_BITS = 20  #: bits that the first words of two candidates differ in at most (expected at a similarity of 0.8: under 10)
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -250,7 +251,8 @@ def wide_keys(nodes: DataFrame, probing: bool) -> DataFrame:
     """(key, node, word, part) of nodes (node, fp, part).
 
     The fingerprint is cut into segments of 23 bits.  Each of TABLES keys joins the Golay index of one segment and 12
-    bits of another as they are; with ``probing`` the segment takes all its nearby indices in turn.
+    bits of another as they are; with ``probing`` the segment takes all its nearby indices in turn in the first NEARBY
+    keys.  The others take its own index alone, at a quarter of the rows.
     """
     schema = "key long, node long, word long, part long"
 
@@ -262,6 +264,7 @@ def wide_keys(nodes: DataFrame, probing: bool) -> DataFrame:
                 fp = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(len(rows), 8 * WORDS)
                 bits = np.unpackbits(fp, axis=1)
                 parts = [bits[:, 23 * i : 23 * i + 23].astype(np.int64) @ power for i in range(SEGMENT_COUNT)]
+                own = [code.index[part].astype(np.int64) for part in parts]
                 near, owner = [], []
                 for part in parts:
                     reach = part[:, None] ^ np.append(0, power)[None, :] if probing else part[:, None]
@@ -276,8 +279,9 @@ def wide_keys(nodes: DataFrame, probing: bool) -> DataFrame:
                     i = t % SEGMENT_COUNT
                     other = (i + 1 + t // SEGMENT_COUNT) % SEGMENT_COUNT
                     exact = (parts[other] >> (3 * t % 12)) & 0xFFF
-                    out_key.append((np.int64(t) << 24) | (near[i] << 12) | exact[owner[i]])
-                    out_row.append(owner[i])
+                    index, at = (near[i], owner[i]) if t < NEARBY else (own[i], np.arange(len(rows)))
+                    out_key.append((np.int64(t) << 24) | (index << 12) | exact[at])
+                    out_row.append(at)
                 at = np.concatenate(out_row)
                 word = np.ascontiguousarray(fp[:, :8]).view(np.int64)[:, 0]
                 take = pa.array(at)
