@@ -310,7 +310,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
     names = pairs.columns
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # written, so that its size is known when the join is planned: texts are only shuffled if it is too large to broadcast
+    need = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need")
     sets = materialise(texts.join(need, "node", "left_semi").mapInArrow(hashes, "node long, hashes binary"), "shingles")
     # a node of very many pairs is given to several tasks
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))
@@ -365,8 +366,10 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
 def _keep_least(rows: DataFrame, row: str, groups: DataFrame, id_col: str) -> DataFrame:
     """One row of each group (row, group): that with the least id (null last), then the least number."""
     named = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col(row).alias("n")).alias("rank"))
-    stay = named.join(groups, "row").groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.n").alias("_stay"))
-    return rows.join(stay, rows[row] == stay["_stay"], "left_semi").drop(row)
+    judged = materialise(named.join(groups, "row"), "judged")
+    several = judged.groupBy("group").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = judged.join(several.select("group", "best"), "group").where("rank.n <> best.n").select(F.col("row").alias(row))
+    return rows.join(materialise(gone, "gone"), row, "left_anti").drop(row)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
