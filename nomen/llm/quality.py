@@ -263,7 +263,8 @@ def train(
             return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(rows)], pa.int64()), "values": pa.array([own.vector().tobytes()], pa.binary())})
 
         state_step = state.step
-        return sample.groupBy("shard").applyInArrow(run, "shard int, n long, values binary").collect()
+        # by range, so that each shard is a task of its own however small the sample is
+        return sample.repartitionByRange(SHARDS, "shard").groupBy("shard").applyInArrow(run, "shard int, n long, values binary").collect()
 
     state = Training.fresh()
     for number in range(rounds):
