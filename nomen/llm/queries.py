@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from nomen.llm import decontaminate, license_scan, masked_lm, packing, pii, quality, repeats, simhash, topk, warc
+from nomen.llm import byte_bpe, decontaminate, license_scan, masked_lm, packing, pii, quality, repeats, simhash, topk, warc
 from nomen.llm._shared import documents, new_path
 
 
@@ -61,6 +61,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(spark, path)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": op8_repeats,
         "op9_license_scan": op9_license_scan,
         "op10_warc": op10_warc,
+        "op12_byte_bpe": op12_byte_bpe,
     }
 
 
