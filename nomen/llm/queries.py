@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from nomen.llm import byte_bpe, decontaminate, license_scan, masked_lm, packing, pii, quality, repeats, simhash, topk, warc
+from nomen.llm import byte_bpe, collocations, decontaminate, license_scan, masked_lm, packing, periodic_runs, pii, quality, repeats, simhash, topk, warc
 from nomen.llm._shared import documents, new_path
 
 
@@ -61,10 +61,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(spark, path)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -77,9 +85,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": op8_repeats,
         "op9_license_scan": op9_license_scan,
         "op10_warc": op10_warc,
+        "op11_collocations": op11_collocations,
         "op12_byte_bpe": op12_byte_bpe,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_maxscore": topk.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op8_repeats": repeats.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op5_maxscore": topk.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op8_repeats": repeats.ORACLE, "op10_warc": warc.ORACLE, "op11_collocations": collocations.ORACLE}
