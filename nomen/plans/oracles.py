@@ -127,7 +127,7 @@ up AS (SELECT CASE grouping(app, package) WHEN 0 THEN 'package' WHEN 1 THEN 'app
 rates AS (SELECT 'class' AS level, app, package, cls, obfuscated, total FROM crate UNION ALL SELECT * FROM up)"""
 
 _HIER = """
-inh AS (SELECT 'app' || (p_partkey % 20) AS app, 'C' || p_partkey AS child, 'C' || (p_partkey - 20 * (1 + p_partkey % 2)) AS parent FROM part WHERE p_partkey >= 60),
+inh AS (SELECT 'app' || (p_partkey % 20) AS app, 'C' || p_partkey AS child, 'C' || (p_partkey % 20 + 20 * ((p_partkey // 20 - 1) // 3)) AS parent FROM part WHERE p_partkey >= 20),
 hm AS (SELECT 'app' || (p_partkey % 20) AS app, 'C' || p_partkey AS cls, 'M' || p_partkey || 'a' AS method, 'void f' || (p_size % 5) || '()' AS sub_sig FROM part
   UNION ALL SELECT 'app' || (p_partkey % 20), 'C' || p_partkey, 'M' || p_partkey || 'b', CASE WHEN p_partkey % 3 = 0 THEN 'void <init>()' ELSE 'int g' || (p_size % 3) || '()' END FROM part),
 calls AS (SELECT 'app' || (p_partkey % 20) AS app, 'M' || p_partkey || 'a' AS caller, 'M' || (p_partkey - 40) || CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'b' END AS callee FROM part WHERE p_partkey >= 40

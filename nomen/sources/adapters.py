@@ -139,7 +139,8 @@ def feature_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """inherits(app, child, parent), methods(app, cls, method, sub_sig), calls(app, caller, callee) from parts."""
     p = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "concat('app', p_partkey % 20) AS app", "p_size AS s", "p_type AS t")
-    inherits = p.where("k >= 60").selectExpr("app", "concat('C', k) AS child", "concat('C', k - 20 * (1 + k % 2)) AS parent")
+    # a tree per app whose width grows with the parts: the i-th class extends the one at (i - 1) / 3
+    inherits = p.where("k >= 20").selectExpr("app", "concat('C', k) AS child", "concat('C', k % 20 + 20 * ((k div 20 - 1) div 3)) AS parent")
     methods = p.selectExpr("app", "concat('C', k) AS cls", "explode(array(struct(concat('M', k, 'a') AS method, concat('void f', s % 5, '()') AS sub_sig), struct(concat('M', k, 'b') AS method, CASE WHEN k % 3 = 0 THEN 'void <init>()' ELSE concat('int g', s % 3, '()') END AS sub_sig))) AS m").select("app", "cls", "m.*")
     calls = p.where("k >= 40").selectExpr("app", "concat('M', k, 'a') AS caller", "concat('M', k - 40, CASE WHEN k % 3 = 0 THEN 'a' ELSE 'b' END) AS callee")
     back = p.where("k % 7 = 0").selectExpr("app", "concat('M', k, 'b') AS caller", "concat('M', k, 'a') AS callee")
