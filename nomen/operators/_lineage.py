@@ -39,6 +39,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Log:
+    """A written table that rows are added to: what a loop has found so far, without a rewrite per round."""
+
+    def __init__(self, rows: DataFrame):
+        self._spark, self._schema, self._path = rows.sparkSession, rows.schema, new_folder(rows.sparkSession, "log")
+        rows.write.parquet(self._path)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*self._schema.names).write.mode("append").parquet(self._path)
+
+    def read(self) -> DataFrame:
+        """All rows added so far; later ones are not in this table."""
+        return self._spark.read.schema(self._schema).parquet(self._path)
+
+
 def stored(spark: SparkSession, folder: str) -> bool:
     """Is there a finished table in this folder?"""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")

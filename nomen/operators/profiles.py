@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,47 +136,6 @@ def recover_by_profiles(methods: DataFrame, library: DataFrame, paths: DataFrame
     return best, prefix_match(named, library)
 
 
-KINDS = ("para", "ret", "refer")
-
-
-def propagate_relations(sets: DataFrame) -> DataFrame:
-    """(app, node, name): names of unresolved neighbours, by rounds of joins until nothing changes.
-
-    ``sets(app, ord, relations: array<string>, neighbours: array<struct<node, relation>>)``: what a recovered method is
-    expected to relate to (``para:``, ``ret:``, ``refer:`` and a name), and its unresolved neighbours.  A kind with one
-    relation and one neighbour resolves both; otherwise a neighbour whose sets share one relation.  In a round all sets
-    are judged as it finds them.  Of proposals that take the same relation from one set, the first goes (by the two rules, then
-    set, kind and node); what is resolved leaves all sets.  The first proposal of all always goes, so that this ends.
-    """
-    kind = lambda c: F.coalesce(*[F.when(F.col(c).startswith(k), F.lit(i)) for i, k in enumerate(KINDS)])
-    rel = cut(sets.select("app", "ord", F.explode("relations").alias("r")).distinct().withColumn("kind", kind("r")))
-    near = sets.select("app", "ord", F.explode("neighbours").alias("x")).select("app", "ord", "x.node", "x.relation")
-    near = cut(near.groupBy("app", "ord", "node").agg(F.max("relation").alias("k")).select("app", "ord", "node", kind("k").alias("kind")))
-    found = []
-    while True:
-        one = lambda df, c: df.where("kind IS NOT NULL").groupBy("app", "ord", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(c).alias(c)).where("n = 1").drop("n")
-        rank = lambda *c: F.struct(*[F.col(x).cast("long").alias(f"c{i}") if isinstance(x, str) else x.alias(f"c{i}") for i, x in enumerate(c)])
-        zero = F.lit(0).cast("long")
-        single = one(rel, "r").join(one(near, "node"), ["app", "ord", "kind"]).select("app", "node", "r", rank(zero, "ord", "kind", "node").alias("rank"))
-        size = near.groupBy("app", "node").agg(F.count(F.lit(1)).alias("sets"))
-        common = near.select("app", "ord", "node").join(rel.select("app", "ord", "r"), ["app", "ord"]).groupBy("app", "node", "r").agg(F.count(F.lit(1)).alias("sets"))
-        shared = common.join(size, ["app", "node", "sets"]).groupBy("app", "node").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r")).where("n = 1")
-        shared = shared.select("app", "node", "r", rank(zero + 1, zero, zero, "node").alias("rank"))
-        asked = single.unionByName(shared).groupBy("app", "node").agg(F.min(F.struct("rank", "r")).alias("p")).select("app", "node", "p.r", "p.rank")
-        touched = cut(asked.join(near.select("app", "ord", "node"), ["app", "node"]))
-        if touched.isEmpty():
-            break
-        first = touched.groupBy("app", "ord", "r").agg(F.min("rank").alias("first"))
-        lost = touched.join(first, ["app", "ord", "r"]).where("rank <> first").select("app", "node").distinct()
-        goes = cut(touched.join(lost, ["app", "node"], "left_anti"))
-        found.append(goes.select("app", "node", "r").distinct())
-        rel = cut(rel.join(goes.select("app", "ord", "r").distinct(), ["app", "ord", "r"], "left_anti"))
-        near = cut(near.join(goes.select("app", "node").distinct(), ["app", "node"], "left_anti"))
-    if not found:
-        return sets.select("app", F.lit(None).cast("long").alias("node"), F.lit(None).cast("string").alias("name")).where("false")
-    return reduce(DataFrame.union, found).select("app", "node", F.regexp_extract("r", "^[^:]*:?(.*)$", 1).alias("name"))
-
-
 class Exhausted(Exception):
     """A search took more steps than its budget."""
 

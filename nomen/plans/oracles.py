@@ -217,6 +217,7 @@ SELECT app, id, ancestor, CAST(depth AS INTEGER) AS depth FROM walk""",
 named AS (SELECT app, package, d, array_to_string(string_split(package, '.')[1:d], '.') AS prefix, string_split(package, '.')[d] AS segment FROM each)
 SELECT app, package, string_agg(CASE WHEN length(prefix) % 3 <> 0 THEN upper(segment) ELSE '<unknown>' END, '.' ORDER BY d) AS predicted FROM named GROUP BY ALL""",
     "inherit_closure": f"WITH RECURSIVE {_HIER} SELECT app, child, ancestor FROM clos",
+    "subtree_sizes": f"WITH RECURSIVE {_HIER}, ends AS (SELECT app, child AS node FROM inh UNION SELECT app, parent FROM inh) SELECT e.app, e.node, count(c.child) AS descendants FROM ends e LEFT JOIN clos c ON c.app = e.app AND c.ancestor = e.node GROUP BY ALL",
     "override_edges": f"WITH RECURSIVE {_HIER} SELECT DISTINCT a.app, a.method, b.method AS overridden FROM hm a JOIN clos c ON c.app = a.app AND c.child = a.cls JOIN hm b ON b.app = a.app AND b.cls = c.ancestor AND b.sub_sig = a.sub_sig WHERE a.sub_sig NOT LIKE '%<init>%'",
     "reachable_methods": f"WITH RECURSIVE {_HIER} SELECT app, root, method FROM reach",
     "async_reach": f"""WITH RECURSIVE {_HIER}, r AS (SELECT reach.app, root, hm.cls, reach.method FROM reach JOIN hm ON hm.app = reach.app AND hm.method = reach.method),

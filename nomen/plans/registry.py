@@ -11,7 +11,7 @@ from nomen import model
 from nomen.functions import columns as C
 from nomen.functions.similarity import with_name_similarity, with_ratio
 from nomen.operators._lineage import cut, new_folder
-from nomen.operators import corpus, evaluate, features, graph, kg, library, mapping, profiles, vocab
+from nomen.operators import corpus, evaluate, features, graph, hierarchy, kg, library, mapping, profiles, propagation, vocab
 from nomen.plans import oracles
 from nomen.sources import adapters, graphs, text
 from nomen.streaming import profiles as stream_profiles
@@ -180,6 +180,13 @@ def inherit_closure(spark: SparkSession, sf: str) -> DataFrame:
     return graph.closure(adapters.hierarchy(spark, sf)[0], ["app"])
 
 
+@query
+def subtree_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Descendants of each class, read from its interval label."""
+    labels = hierarchy.forest_intervals(adapters.hierarchy(spark, sf)[0], ["app"])
+    return labels.select("app", "node", F.expr("(hi - lo - 1) div 2").alias("descendants"))
+
+
 @query
 def override_edges(spark: SparkSession, sf: str) -> DataFrame:
     inherits, methods, _ = adapters.hierarchy(spark, sf)
@@ -520,10 +527,8 @@ def extended_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def propagate_relations(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours resolved by what recovered methods relate to."""
-    p = adapters.table(spark, sf, "part").selectExpr("concat('app', p_partkey % 20) AS app", "p_partkey AS k", "cast(p_size % 9 AS long) AS s")
-    sets = p.selectExpr("app", "k AS ord", "array(concat('para:P', s), concat('refer:R', s), concat('refer:R', (s + 1) % 9)) AS relations", "array(struct(s * 10 AS node, 'para' AS relation), struct(s * 10 + 1 AS node, 'refer' AS relation), struct((s + 1) % 9 * 10 + 1 AS node, 'refer' AS relation)) AS neighbours")
-    return profiles.propagate_relations(sets)
+    """Neighbours resolved by what recovered methods relate to, and by the profiles of the methods so resolved."""
+    return propagation.propagate_relations(*adapters.relation_tables(spark, sf))
 
 
 @query

@@ -147,6 +147,23 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return inherits, methods, calls.union(back)
 
 
+def relation_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """sets, methods, near and stored of ``propagate_relations``: a method per part, which relates to the next ones of its
+    app; small parts are recovered methods."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS node", "p_partkey % 20 AS a", "p_size AS size", "p_type AS sig", "concat('com.', lower(replace(p_brand, '#', ''))) AS owner")
+    steps = p.selectExpr("node", "stack(3, 'para', node + 20, 'refer', node + 40, 'refer', node + 60) AS (kind, neighbour)")
+    theirs = p.selectExpr("node AS neighbour", "concat('run', size) AS truth")
+    each = steps.join(theirs, "neighbour").join(p, "node").selectExpr("concat('app', a) AS app", "*")
+    whole = each.groupBy("app", "node", "size", "sig", "owner").agg(
+        F.array_sort(F.collect_set(F.concat("kind", F.lit(":"), "truth"))).alias("relations"),
+        F.array_sort(F.collect_list(F.struct(F.col("neighbour").alias("node"), F.col("kind").alias("relation")))).alias("neighbours"),
+    )
+    sets = whole.where("size <= 10").select("app", F.col("node").alias("ord"), "relations", "neighbours")
+    methods = p.selectExpr("concat('app', a) AS app", "node", "sig", "owner")
+    near = each.selectExpr("app", "node", "neighbour", "concat(kind, ':a') AS relation")
+    return sets, methods, near, whole.selectExpr("concat(owner, '.run', size) AS id", "sig", "relations")
+
+
 def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(app, line, value): a log per user with running sums and counts."""
     e = table(spark, sf_dir, "events")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nomen import model
-from nomen.operators import evaluate, features, graph, kg, library, mapping, profiles, vocab
+from nomen.operators import evaluate, features, graph, kg, library, mapping, profiles, propagation, vocab
 from nomen.sources import graphs, text
 
 
@@ -266,13 +266,13 @@ def test_propagate_relations(spark):
         [("a", 0, ["para:x", "ret:y"], [(1, "para"), (2, "ret")]), ("a", 1, ["refer:u", "refer:v"], [(3, "refer"), (4, "refer")]), ("a", 2, ["refer:u", "refer:w"], [(3, "refer"), (5, "refer")])],
         "app string, ord int, relations array<string>, neighbours array<struct<node:long,relation:string>>",
     )
-    assert rows(profiles.propagate_relations(sets).select("node", "name")) == [(1, "x"), (2, "y"), (3, "u"), (4, "v"), (5, "w")]
+    assert rows(propagation.propagate_relations(sets).select("node", "name")) == [(1, "x"), (2, "y"), (3, "u"), (4, "v"), (5, "w")]
 
 
 def test_propagate_relations_of_a_large_app(spark):
     n = 10_050
     sets = spark.range(n).selectExpr("'a' AS app", "id AS ord", "array(concat('para:x', id)) AS relations", "array(struct(id AS node, 'para' AS relation)) AS neighbours")
-    got = profiles.propagate_relations(sets)
+    got = propagation.propagate_relations(sets)
     assert got.count() == n and got.where("name <> concat('x', node)").count() == 0
 
 
