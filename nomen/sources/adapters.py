@@ -148,10 +148,10 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def relation_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """sets, methods, near and stored of ``propagate_relations``: a method per part, which relates to the next ones of its
-    app; small parts are recovered methods."""
+    """sets, methods, near and stored of ``propagate_relations``: a method per part; the i-th of an app
+    relates to those at 3 i + 1 and after; small parts are recovered methods."""
     p = table(spark, sf_dir, "part").selectExpr("p_partkey AS node", "p_partkey % 20 AS a", "p_size AS size", "p_type AS sig", "concat('com.', lower(replace(p_brand, '#', ''))) AS owner")
-    steps = p.selectExpr("node", "stack(3, 'para', node + 20, 'refer', node + 40, 'refer', node + 60) AS (kind, neighbour)")
+    steps = p.selectExpr("node", "a", "stack(4, 'para', 1, 'ret', 2, 'refer', 3, 'refer', 4) AS (kind, j)").selectExpr("node", "kind", "a + 20 * (3 * (node div 20) + j) AS neighbour")
     theirs = p.selectExpr("node AS neighbour", "concat('run', size) AS truth")
     each = steps.join(theirs, "neighbour").join(p, "node").selectExpr("concat('app', a) AS app", "*")
     whole = each.groupBy("app", "node", "size", "sig", "owner").agg(
