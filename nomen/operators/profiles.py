@@ -5,9 +5,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,112 +131,3 @@ def recover_by_profiles(methods: DataFrame, library: DataFrame, paths: DataFrame
     package = placed.where("level = deep - 1").select("app", "node", F.col("choice").alias("package_sig"))
     named = methods.join(cls.join(package, ["app", "node"], "full_outer"), ["app", "node"])
     return best, prefix_match(named, library)
-
-
-class Exhausted(Exception):
-    """A search took more steps than its budget."""
-
-
-def _embed(small: dict, large: dict, budget: int) -> dict[int, int] | None:
-    """An injective map of the small graph's nodes into the large one's that keeps types, hashes and edges both ways."""
-    shown = {small["sigs"][n] for n in small["types"] if small["static"][n]}
-
-    def fixed(g: dict, n: int) -> frozenset:
-        """A node's edges with static nodes, which are told by their signature alone."""
-        return frozenset((side, r, g["sigs"][k]) for side in ("out", "in") for k, r in g[side][n].items() if g["static"][k] and g["sigs"][k] in shown)
-
-    def fit(n: int, m: int) -> bool:
-        if not large["types"][m].startswith(small["types"][n]):
-            return False
-        if small["static"][n]:
-            return large["sigs"][m] == small["sigs"][n]
-        return (small["hashes"][n] is None or large["hashes"][m] is None or small["hashes"][n] == large["hashes"][m]) and around[n] == around_large[m]
-
-    around = {n: fixed(small, n) for n in small["types"]}
-    around_large = {m: fixed(large, m) for m in large["types"]}
-    fits = {n: [m for m in large["types"] if fit(n, m)] for n in small["types"]}
-    alike = Counter(map(tuple, fits.values()))
-    if any(n > len(choices) for choices, n in alike.items()):  # more nodes than places for them: no need to search
-        return None
-    order = sorted(small["types"], key=lambda n: (len(fits[n]), n))
-    used: dict[int, int] = {}
-    taken: set[int] = set()
-    steps = 0
-
-    def same(n: int, m: int) -> bool:
-        for side in ("out", "in"):
-            for k, m2 in used.items():
-                if small[side][n].get(k) != large[side][m].get(m2):
-                    return False
-        return True
-
-    stack: list[Iterator[int]] = [iter(fits[order[0]])] if order else []
-    while stack:
-        n = order[len(stack) - 1]
-        if n in used:
-            taken.discard(used.pop(n))
-        for m in stack[-1]:
-            steps += 1
-            if steps > budget:
-                raise Exhausted
-            if m not in taken and same(n, m):
-                used[n] = m
-                taken.add(m)
-                break
-        else:
-            stack.pop()
-            continue
-        if len(used) == len(order):
-            return used
-        stack.append(iter(fits[order[len(stack)]]))
-    return {} if not order else None
-
-
-def recover_library_names(candidates: DataFrame, package_nodes: DataFrame, package_edges: DataFrame, lib_nodes: DataFrame, lib_edges: DataFrame, budget: int = 200_000) -> DataFrame:
-    """(app, package, id, recovered_name, recovered_sig, decided): names copied from the first candidate library whose graph
-    has the package's graph as a typed induced subgraph.
-
-    ``candidates(app, package, lib_id)``; nodes (key, id, type, name, sig, hash, static) and edges (key, source, target,
-    relation) where the key is (app, package) or lib_id.  Each pair is one small task with a budget of steps instead of a
-    time limit, so that results do not depend on the machine.  A package whose search runs out of it before a library
-    fits has one row without id, with ``decided`` false: run it again with a larger ``budget``.
-    """
-
-    def graph(nodes: list, edges: list) -> dict:
-        g = {"types": {}, "sigs": {}, "names": {}, "hashes": {}, "static": {}, "out": {}, "in": {}}
-        for n in nodes:
-            for c in ("types", "sigs", "names", "hashes"):
-                g[c][n["id"]] = n[c.rstrip("s") if c != "hashes" else "hash"]
-            g["static"][n["id"]] = n["static"]
-            g["out"][n["id"]], g["in"][n["id"]] = {}, {}
-        for e in edges:
-            if e["source"] in g["out"] and e["target"] in g["out"]:
-                g["out"][e["source"]][e["target"]] = e["relation"]
-                g["in"][e["target"]][e["source"]] = e["relation"]
-        return g
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                small, large = graph(r.nodes, r.edges if r.edges is not None else []), graph(r.lib_nodes, r.lib_edges if r.lib_edges is not None else [])
-                try:
-                    map_ = _embed(small, large, budget) or {}
-                except Exhausted:
-                    out.append((r.app, r.package, r.lib_id, None, None, None, False))
-                    continue
-                for n, m in map_.items():
-                    if not small["static"][n]:
-                        out.append((r.app, r.package, r.lib_id, n, large["names"][m], large["sigs"][m], True))
-            columns = ["app", "package", "lib_id", "id", "recovered_name", "recovered_sig", "decided"]
-            yield pd.DataFrame(out, columns=columns).astype({"id": "Int64"})
-
-    nest_n = F.collect_list(F.struct("id", "type", "name", "sig", "hash", "static"))
-    nest_e = F.collect_list(F.struct("source", "target", "relation"))
-    key = ["app", "package"]
-    pn, pe = package_nodes.groupBy(*key).agg(nest_n.alias("nodes")), package_edges.groupBy(*key).agg(nest_e.alias("edges"))
-    ln, le = lib_nodes.groupBy("lib_id").agg(nest_n.alias("lib_nodes")), lib_edges.groupBy("lib_id").agg(nest_e.alias("lib_edges"))
-    pairs = candidates.join(pn, key).join(pe, key, "left").join(ln, "lib_id").join(le, "lib_id", "left")
-    found = pairs.mapInPandas(solve, "app string, package string, lib_id string, id long, recovered_name string, recovered_sig string, decided boolean")
-    first = F.rank().over(Window.partitionBy(*key).orderBy("lib_id"))
-    return found.withColumn("_r", first).where("_r = 1").drop("_r", "lib_id")

@@ -11,7 +11,7 @@ from nomen import model
 from nomen.functions import columns as C
 from nomen.functions.similarity import with_name_similarity, with_ratio
 from nomen.operators._lineage import cut, new_folder
-from nomen.operators import corpus, evaluate, features, graph, hierarchy, kg, library, mapping, profiles, propagation, vocab
+from nomen.operators import corpus, evaluate, features, graph, hierarchy, kg, library, mapping, matching, profiles, propagation, vocab
 from nomen.plans import oracles
 from nomen.sources import adapters, graphs, text
 from nomen.streaming import profiles as stream_profiles
@@ -94,7 +94,7 @@ def recover_library_names(spark: SparkSession, sf: str) -> DataFrame:
     lib_nodes = package_nodes.join(stands, ["app", "package"]).drop("app", "package")
     lib_edges = package_edges.join(stands, ["app", "package"]).drop("app", "package")
     candidates = library.superset_candidates(sets, hashes)
-    return profiles.recover_library_names(candidates, package_nodes, package_edges, lib_nodes, lib_edges)
+    return matching.recover_library_names(candidates, package_nodes, package_edges, lib_nodes, lib_edges)
 
 
 @query
