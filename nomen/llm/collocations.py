@@ -107,7 +107,8 @@ def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return out
 
 
-def _has(map_: np.ndarray, h: np.ndarray) -> np.ndarray:
+def has(map_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a ``bitmap``."""
     cell = h >> np.uint64(64 - (len(map_) * 64).bit_length() + 1)
     return ((map_[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1)).astype(bool)
 
@@ -141,7 +142,7 @@ def frequent_pairs(docs: DataFrame, words: np.ndarray, least: int, buckets: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, g in _groups(batch):
-                known = _has(shared.value, g.symbol)
+                known = has(shared.value, g.symbol)
                 good = g.joint.copy()
                 good[:-1] &= known[:-1] & known[1:]
                 at = np.flatnonzero(good)
@@ -164,12 +165,12 @@ def frequent_pairs(docs: DataFrame, words: np.ndarray, least: int, buckets: int)
 
 def suffixes(group: Group, words: np.ndarray, pairs: np.ndarray, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct suffixes of three words or more, as a column for each word (0: none), and their weights."""
-    known = _has(words, group.symbol)
+    known = has(words, group.symbol)
     good = group.joint.copy()
     if len(good):
         good[:-1] &= known[:-1] & known[1:]
         at = np.flatnonzero(good)
-        good[at] = _has(pairs, _pair_hash(group.symbol[at], group.symbol[at + 1]))
+        good[at] = has(pairs, _pair_hash(group.symbol[at], group.symbol[at + 1]))
     n = len(good)
     start = np.flatnonzero(good[: n - 1] & good[1:]) if n > 1 else np.zeros(0, np.int64)
     columns, alive = [group.symbol[start], group.symbol[start + 1], group.symbol[start + 2]], np.ones(len(start), bool)

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from nomen.llm._components import components
 from nomen.llm._shared import materialise, numbered
 from nomen.llm._words import LOWER, mix
+from nomen.llm.collocations import bitmap, has
 
 SHINGLE, BITS, SEED = 3, 3, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  #: first bit and size
@@ -50,8 +51,9 @@ BLOCK = 1000  #: stored rows of a key that meet probing rows in one piece of wor
 
 # the wide fingerprint of documents that are alike by their shingle sets
 WORDS, SEGMENT_COUNT = 5, 12
-NEARBY, TABLES = 16, 52  #: keys that are probed by all nearby indices, and all keys
-WORD_BITS = 20  #: bits that the first words of two candidates differ in at most (expected at a similarity of 0.8: under 10)
+FEATURE = 2  #: words of the shingles that the wide fingerprint is made of: few of them change with a word
+NEARBY, TABLES = 6, 42  #: keys that are probed by all nearby indices, and all keys
+WORD_BITS = 18  #: bits that the first words of two candidates differ in at most (expected at a similarity of 0.8: 6, 32 by chance)
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _TO_LOWER = bytes(LOWER)
@@ -232,15 +234,18 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes)).view(np.uint64)
 
 
-def shingle_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row, d1, d2, fp: binary) of docs (row, text): a digest of the shingle set, and its wide fingerprint."""
+def shingle_prints(docs: DataFrame, shingle: int, feature: int = FEATURE) -> DataFrame:
+    """(row, d1, d2, fp: binary) of docs (row, text): a digest of the shingle set, and the wide fingerprint of the set of
+    shorter shingles.  A changed word breaks ``shingle`` of the long ones and ``feature`` of the short ones, so that
+    documents whose long shingles are alike differ in fewer bits of the short ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 512):
-                sets = [_sets(t, shingle) for t in batch.column(1).slice(a, 512).to_pylist()]
+                texts = batch.column(1).slice(a, 512).to_pylist()
+                sets = [_sets(t, shingle) for t in texts]
                 digest = np.array([[xxhash.xxh64_intdigest(x.tobytes(), k) for k in (1, 2)] for x in sets], np.uint64).view(np.int64)
-                prints = [wide_print(x).tobytes() for x in sets]
+                prints = [wide_print(_sets(t, feature)).tobytes() for t in texts]
                 columns = [batch.column(0).slice(a, 512), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(prints, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "d1", "d2", "fp"])
 
@@ -292,13 +297,21 @@ def wide_keys(nodes: DataFrame, probing: bool) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b, ...) whose shingle sets reach the similarity; ``texts``: (node, text).  Only texts of pairs are read."""
+    """The pairs (a, b, ...) whose shingle sets reach the similarity; ``texts``: (node, text).  Texts stay where they are: the
+    nodes of pairs are known to all tasks as a bitmap of fixed size, and a false positive costs time and no result."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                sets = [_sets(t, shingle).tobytes() for t in batch.column(1).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(sets, pa.binary())], names=["node", "hashes"])
+            number = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            kept = batch.filter(pa.array(has(shared.value, number)))
+            for at in range(0, len(kept), 256):
+                sets = [_sets(t, shingle).tobytes() for t in kept.column(1).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([kept.column(0).slice(at, 256), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(number.view(np.int64))], names=["h"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,9 +323,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
     names = pairs.columns
-    # written, so that its size is known when the join is planned: texts are only shuffled if it is too large to broadcast
-    need = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need")
-    sets = materialise(texts.join(need, "node", "left_semi").mapInArrow(hashes, "node long, hashes binary"), "shingles")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    shared = pairs.sparkSession.sparkContext.broadcast(bitmap(need.mapInArrow(mixed, "h long")))
+    sets = materialise(texts.select("node", "text").mapInArrow(hashes, "node long, hashes binary"), "shingles")
     # a node of very many pairs is given to several tasks
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))
     dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")

@@ -252,3 +252,33 @@ def test_phrases_tables(spark, sf_dir):
     cursor = con.execute(collocations.ORACLE)
     assert [d[0] for d in cursor.description] == found.columns
     assert sorted(tuple(r) for r in found.collect()) == sorted(cursor.fetchall())
+
+
+# -- near copies of the pipeline
+
+
+def test_recall_of_near_copies(spark):
+    """At least nine tenths of the pairs of unequal texts with a similarity of 0.8 or more fall into one group."""
+    from nomen.llm import simhash
+    from nomen.llm._shared import numbered
+
+    docs, row = numbered(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), "all")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    sets = [simhash._sets(texts[i], 5) for i in ids]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    hashes = np.concatenate(sets)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    size = np.diff(np.append(first, len(hashes)))
+    # shingles of more than 60 documents are left to the others of a pair, to keep this list short
+    met = {(a, b) for f, n in zip(first.tolist(), size.tolist()) if 1 < n <= 60 for i, b in enumerate(owner[f : f + n].tolist()) for a in owner[f : f + i].tolist()}
+    pairs = []
+    for a, b in met:
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if 0.8 <= both / (len(sets[a]) + len(sets[b]) - both) < 1:
+            pairs.append((ids[a], ids[b]))
+    group = {r.doc_id: r.group for r in simhash.similar_groups(docs, row).withColumnRenamed("row", row).join(docs, row).select("doc_id", "group").collect()}
+    found = sum(group[a] == group[b] for a, b in pairs)
+    assert len(pairs) > 40 and found >= 0.9 * len(pairs), (found, len(pairs))
