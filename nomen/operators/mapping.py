@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomen.functions import columns as C
+from nomen.operators.lines import carry_down
 
 # Line patterns (fixed values)
 CLASS_LINE = r"([^ ]+) -> ([^ ]+):$"
@@ -20,15 +21,16 @@ def _members(lines: DataFrame, header: str, own_group: int, new: int, old_is_lef
     is_class, is_field, is_method = v.rlike(header), v.rlike(FIELD_LINE), v.rlike(METHOD_LINE)
     kind = F.when(is_class, "c").when(is_field, "f").when(is_method, "m")
     g = lambda p, i: F.trim(F.regexp_extract(v, p, i))
-    w = Window.partitionBy("app").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.when(is_class, F.struct(F.regexp_extract(v, header, own_group).alias("cls"), F.regexp_extract(v, header, new).alias("origin_cls")))
+    lines = carry_down(lines.select("app", "line", "value"), found, "header")
     field_names = (g(FIELD_LINE, 2), g(FIELD_LINE, 3)) if old_is_left else (g(FIELD_LINE, 3), g(FIELD_LINE, 2))
     method_names = (g(METHOD_LINE, 2), g(METHOD_LINE, 4)) if old_is_left else (g(METHOD_LINE, 4), g(METHOD_LINE, 2))
     return lines.select(
         "app",
         "line",
         kind.alias("kind"),
-        F.last(F.when(is_class, F.regexp_extract(v, header, own_group)), ignorenulls=True).over(w).alias("cls"),
-        F.last(F.when(is_class, F.regexp_extract(v, header, new)), ignorenulls=True).over(w).alias("origin_cls"),
+        F.col("header.cls").alias("cls"),
+        F.col("header.origin_cls").alias("origin_cls"),
         F.when(kind == "f", g(FIELD_LINE, 1)).when(kind == "m", g(METHOD_LINE, 1)).alias("type"),
         F.when(kind == "f", field_names[0]).when(kind == "m", method_names[0]).alias("origin"),
         F.when(kind == "f", field_names[1]).when(kind == "m", method_names[1]).alias("obfus"),
