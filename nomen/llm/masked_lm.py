@@ -7,7 +7,7 @@ outside the vocabulary also pays for its share of its class: its count over the
 frequent of them; the rest of a class is shared evenly by the types that are left.  A document's score is the sum of the
 log-probabilities of all its words, each given its true neighbours.
 
-Training covers every word of the corpus once.  Documents are dealt by a hash of id and text into ``ROUNDS`` rounds and, in a
+Training covers every word of the corpus once.  Documents are dealt by a hash of id and text into ``rounds`` rounds and, in a
 round, into as many shards as the counted words ask for (``SHARD_WORDS``).  A task per shard trains its own copy in numpy
 (Adagrad), and the copies are averaged, weighted by their words, in a tree of fan-in ``FAN``; only the averaged network, of
 fixed size, reaches the driver.  So the scores don't depend on how the input is partitioned.
@@ -184,7 +184,7 @@ class Lexicon:
         return np.where(known, self.numbers[at], FREQUENT + classes), np.where(known, self.shares[at], self.rest[classes])
 
 
-def encoded(docs: DataFrame, lexicon: Lexicon, shards: int, id_col: str, text_col: str) -> DataFrame:
+def encoded(docs: DataFrame, lexicon: Lexicon, shards: int, rounds: int, id_col: str, text_col: str) -> DataFrame:
     """(id, deal, round, shard, ids: 16-bit word numbers, extra: sum of the log shares)."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -202,7 +202,7 @@ def encoded(docs: DataFrame, lexicon: Lexicon, shards: int, id_col: str, text_co
     dealt = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("deal"))
     found = dealt.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, deal long, ids binary, extra double")
     in_turn = F.shiftright("deal", 8)
-    return found.withColumn("round", F.pmod("deal", F.lit(ROUNDS))).withColumn("shard", F.pmod(in_turn, F.lit(shards)).cast("int"))
+    return found.withColumn("round", F.pmod("deal", F.lit(rounds))).withColumn("shard", F.pmod(in_turn, F.lit(shards)).cast("int"))
 
 
 def _streams(column: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -264,7 +264,9 @@ def score_documents(
     rounds: int = ROUNDS,
     exact_words: int = EXACT_WORDS,
 ) -> DataFrame:
-    """(id, n_words, log_prob, mean_log_prob) for every document."""
+    """(id, n_words, log_prob, mean_log_prob) for every document; each is trained on in one of ``rounds`` rounds."""
+    if rounds < 1:
+        raise ValueError("there must be a round")
     counts = materialise(word_counts(docs, text_col), "words")
     listed = counts.orderBy(F.desc("n"), "word").limit(max(FREQUENT, exact_words)).toArrow()
     top = sorted(zip(listed["word"].to_pylist(), listed["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
@@ -278,10 +280,10 @@ def score_documents(
         unigrams[FREQUENT + word % OTHERS] -= n
         types[word % OTHERS] -= 1
     shards = max(1, -(-int(total) // (rounds * SHARD_WORDS)))
-    tokens = materialise(encoded(docs, Lexicon.of(top, unigrams[FREQUENT:], types), shards, id_col, text_col), "ids")
+    tokens = materialise(encoded(docs, Lexicon.of(top, unigrams[FREQUENT:], types), shards, rounds, id_col, text_col), "ids")
     net = WindowNetwork.fresh(unigrams)
     for r in range(rounds):
-        net = _train_round(tokens.where(F.col("round") == r % ROUNDS), net, shards)
+        net = _train_round(tokens.where(F.col("round") == r), net, shards)
     trained = docs.sparkSession.sparkContext.broadcast(net.values)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

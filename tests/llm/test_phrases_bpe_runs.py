@@ -282,3 +282,20 @@ def test_recall_of_near_copies(spark):
     group = {r.doc_id: r.group for r in simhash.similar_groups(docs, row).withColumnRenamed("row", row).join(docs, row).select("doc_id", "group").collect()}
     found = sum(group[a] == group[b] for a, b in pairs)
     assert len(pairs) > 40 and found >= 0.9 * len(pairs), (found, len(pairs))
+
+
+# -- rounds of the masked model
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_every_document_trains_once(spark, documents, monkeypatch, rounds):
+    from nomen.llm import masked_lm
+
+    seen = []
+    monkeypatch.setattr(masked_lm, "_train_round", lambda tokens, net, shards: seen.append([r.id for r in tokens.select("id").collect()]) or net)
+    scored = masked_lm.score_documents(documents, rounds=rounds)
+    assert len(seen) == rounds and all(seen)
+    assert sorted(x for part in seen for x in part) == sorted(r.doc_id for r in documents.select("doc_id").collect())
+    assert scored.count() == documents.count()
+    with pytest.raises(ValueError):
+        masked_lm.score_documents(documents, rounds=0)
