@@ -9,11 +9,18 @@ anywhere else (in the same document too).
    are kept as a bitmap of fixed size (``BITMAP_BITS``); on very large inputs it fills up and rules out less,
    and costs time but no result.
 2. Confirming.  Documents with windows left are written in groups of a few megabytes.  A group sends each distinct
-   96-bit window hash once to the hash's bucket, with a flag if it has it twice, so that a passage of a third of
-   all documents is one entry per group; buckets answer with one bit for each.
-3. Locating.  The confirmed windows of a group are joined to passages, the distinct passages are compiled
-   into automata over word numbers (several shards of at most ``SHARD_WORDS`` words), and the group's documents are streamed
-   through them; leftmost-longest matches are what is removed.
+   96-bit window hash once to the bucket of its anchor, with a flag if it has it twice, so that a passage of a third of
+   all documents is one entry per group and window.  Of the groups that hold a recurring window the first lends it: only
+   that one is told (a bit per window), and the bucket lists which groups want what from which lender.
+3. Passages.  A lender joins the windows that it lends to passages, in pieces of about ``SPAN`` window starts, and each
+   piece goes once to each group that wants it, as text.
+4. Locating.  A group knows nothing of where passages stand in it.  The passages it was sent are cut into tiles of
+   ``TILE`` words, so that any window of a passage holds a whole tile; the tiles are compiled into Aho-Corasick automata
+   over word numbers (shards of at most ``SHARD_WORDS`` words), all documents of the group are streamed through them, and
+   each tile found is extended word by word on both sides.  Matches of a window or more are what is removed.
+
+A place that matches a passage elsewhere is a repetition by its words, not only by hashes.  At the passage's own place
+the match covers what its windows cover.
 
 Null texts have no words; repeated rows and repeated ids are documents of their own, so rows with equal texts of a
 window or more lose all words; an empty table gives no rows; other columns are ignored.
@@ -27,6 +34,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +48,9 @@ BITMAP_BITS = 1 << 27
 GROUP_BYTES = 4 << 20
 BUCKET_WINDOWS = 1 << 20
 SHARD_WORDS = 400_000
+TILE = (WINDOW + 1) // 2
+SPAN = 64
+MATCHES_AT_ONCE = 1 << 19
 _SECOND = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -74,15 +85,15 @@ def _distinct(values: np.ndarray, second: np.ndarray | None = None) -> tuple[np.
     return first, np.bincount(number, minlength=len(first)), number
 
 
-def _repeated(blobs: list[bytes], flags: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over the entries of all blobs: first hash, blob, and whether the hash occurs twice at least."""
+def _repeated(blobs: list[bytes], flags: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over the entries of all blobs: first hash, blob, the first entry of the same hash, and whether the hash occurs twice."""
     sizes = np.array([len(b) // width for b in blobs])
     first = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, sizes)])
     second = np.concatenate([np.frombuffer(b, np.uint32, n, 8 * n) for b, n in zip(blobs, sizes)]) if width == 12 else None
     twice = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(flags, sizes)])
-    _, _, number = _distinct(first, second)
+    lead, _, number = _distinct(first, second)
     total = np.bincount(number, weights=1 + twice)
-    return first, np.repeat(np.arange(len(blobs)), sizes), total[number] >= 2
+    return first, np.repeat(np.arange(len(blobs)), sizes), lead[number], total[number] >= 2
 
 
 def recurring_anchors(docs: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -106,7 +117,7 @@ def recurring_anchors(docs: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array([values[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for a, b in spans], pa.binary())], names=["bucket", "hashes", "twice"])
 
     def slice_of(table: pa.Table) -> pa.Table:
-        first, _, again = _repeated(table["hashes"].to_pylist(), table["twice"].to_pylist(), 8)
+        first, _, _, again = _repeated(table["hashes"].to_pylist(), table["twice"].to_pylist(), 8)
         own = np.zeros(1 << (size - power), bool)
         own[((first[again] >> np.uint64(64 - size)) & np.uint64((1 << (size - power)) - 1)).astype(np.int64)] = True
         return pa.table({"bucket": table["bucket"].slice(0, 1), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
@@ -155,41 +166,99 @@ def _group_table(texts: list[bytes]) -> _words.WordTable:
     return _words.WordTable(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), _words.SPACE_SEPARATED, False)
 
 
-def passages(starts: np.ndarray) -> np.ndarray:
-    """Word ranges (start, end) covered by windows at these sorted words."""
-    if not len(starts):
-        return np.zeros((0, 2), np.int64)
-    new = np.append(True, starts[1:] > starts[:-1] + WINDOW)
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)
-    return np.stack([starts[new], starts[last] + WINDOW], axis=1)
-
-
-def locate(table: _words.WordTable, found: np.ndarray, shard_words: int = SHARD_WORDS) -> np.ndarray:
-    """Words of the table that lie in an occurrence of one of its passages (word ranges ``found``)."""
-    hit = np.zeros(len(table), bool)
-    if not len(found):
-        return hit
-    _, _, number = _distinct(table.hash)
-    number = number.tolist()
-    phrases = {tuple(number[a:b]) for a, b in found.tolist()}
-    docs = np.unique(table.doc[found[:, 0]]).tolist()
-    shard: list[tuple] = []
-    size = 0
-    ordered = sorted(phrases)
-    for i, phrase in enumerate(ordered):
-        shard.append(phrase)
-        size += len(phrase)
-        if size >= shard_words or i == len(ordered) - 1:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-            for p in shard:
-                automaton.add_word(p)
-            automaton.make_automaton()
-            for doc in docs:
-                a, b = int(table.first[doc]), int(table.first[doc + 1])
-                for end, length in automaton.iter_long(tuple(number[a:b])):
-                    hit[a + end + 1 - length : a + end + 1] = True
-            shard, size = [], 0
-    return hit
+def _texts(packed: bytes, sizes: list[int]) -> list[bytes]:
+    data = zstandard.decompress(packed)
+    ends = np.cumsum([0, *sizes]).tolist()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+class Questions:
+    """The distinct windows of a group in the order in which they are asked: by bucket, then by hash."""
+
+    def __init__(self, table: _words.WordTable, bitmap: np.ndarray, buckets: int):
+        at = _left(table, bitmap)
+        first, second = _windows(table, at)
+        one, counts, _ = _distinct(first, second)
+        bucket = _bucket(table.grams(GRAM)[anchors(table)[at[one]]], buckets) if len(at) else np.zeros(0, np.int64)
+        order = np.argsort(bucket, kind="stable")
+        one = one[order]
+        self.bucket, self.first, self.second, self.start = bucket[order], first[one], second[one], at[one]
+        self.twice = counts[order] > 1
+        # pieces are numbered in 16 bits, whatever the length of the group
+        self.piece = self.start // max(SPAN, -(-len(table) // 65_535))
+        edge = np.append(np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])), len(one)).tolist()
+        self.spans = [(i, j) for i, j in zip(edge[:-1], edge[1:]) if j > i]
+
+
+def passages(starts: np.ndarray, doc: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece and word range (start, end) of the passages that windows at these sorted words make up; a passage
+    lies in one document and in one piece."""
+    apart = (starts[1:] > starts[:-1] + WINDOW) | (doc[1:] != doc[:-1]) | (piece[1:] != piece[:-1])
+    new = np.append(np.ones(min(1, len(starts)), bool), apart)
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(starts))[: len(head)] - 1
+    return piece[head], starts[head], starts[last] + WINDOW
+
+
+def locate(docs: list[list[bytes]], phrases: list[bytes], shard_words: int = SHARD_WORDS) -> list[np.ndarray]:
+    """For each document (a list of words) which words lie in ``WINDOW`` or more consecutive words that also stand in one
+    of the phrases (words joined by a space)."""
+    number: dict[bytes, int] = {}
+    known: list[int] = [-1]
+    places: dict[tuple, list[int]] = {}
+    for phrase in sorted(set(phrases)):
+        ids = [number.setdefault(w, len(number) + 1) for w in phrase.split(b" ")]
+        for j in range(0, len(ids) - TILE + 1, TILE):
+            places.setdefault(tuple(ids[j : j + TILE]), []).append(len(known) + j)
+        known += ids
+        known.append(-1)
+    stream = [0]  # foreign words and the bounds of documents
+    for words in docs:
+        stream += [number.get(w, 0) for w in words]
+        stream.append(0)
+    edges = np.zeros(len(stream) + 1, np.int64)
+    p, d, whole = np.array(known), np.array(stream), tuple(stream)
+    tiles = list(places.items())
+    per_shard = max(1, shard_words // TILE)
+    for a in range(0, len(tiles), per_shard):
+        shard = tiles[a : a + per_shard]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, (tile, _) in enumerate(shard):
+            automaton.add_word(tile, i)
+        automaton.make_automaton()
+        found = np.array(list(automaton.iter(whole)), np.int64).reshape(-1, 2)
+        counts = np.array([len(at) for _, at in shard])
+        flat = np.array([y for _, at in shard for y in at], np.int64)
+        begin = np.cumsum(counts) - counts
+        total = np.cumsum(counts[found[:, 1]])
+        lo = 0
+        while lo < len(found):  # in blocks, as a tile may stand in many passages
+            done = int(total[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(total, done + MATCHES_AT_ONCE, side="right")))
+            tile, n = found[lo:hi, 1], counts[found[lo:hi, 1]]
+            x = np.repeat(found[lo:hi, 0] - TILE + 1, n)
+            y = np.repeat(begin[tile] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            _extend(d, p, x, flat[y], edges)
+            lo = hi
+    hit = np.cumsum(edges[:-1]) > 0
+    ends = np.cumsum([1, *(len(words) + 1 for words in docs)]).tolist()
+    return [hit[i : j - 1] for i, j in zip(ends[:-1], ends[1:])]
+
+
+def _extend(d: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> None:
+    """Grows matches of a tile (at words x of the stream and y of the passages) both ways and marks the bounds of the long
+    ones.  No bound of a document equals a word or bound of a passage, so matches end there."""
+    lo, hi = x.copy(), x + TILE
+    for step, reach in ((-1, lo), (1, hi)):
+        alive = np.arange(len(x))
+        at, of = (x - 1, y - 1) if step < 0 else (x + TILE, y + TILE)
+        while len(alive):
+            same = d[at] == p[of]
+            alive, at, of = alive[same], at[same] + step, of[same] + step
+            reach[alive] += step
+    long = hi - lo >= WINDOW
+    np.add.at(edges, lo[long], 1)
+    np.add.at(edges, hi[long], -1)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -207,9 +276,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def rows(done: list[tuple], packed: tuple | None) -> pa.RecordBatch:
             n = len(done) + (packed is not None)
             columns = [[r[i] for r in done] + [None] * (n - len(done)) for i in range(3)]
-            grouped = [[None] * len(done) + ([] if packed is None else [packed[i]]) for i in range(4)]
+            grouped = [[None] * len(done) + ([] if packed is None else [packed[i]]) for i in range(5)]
             ids = batch.schema.field(0).type
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], ids), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(grouped[0], pa.int64()), pa.array(grouped[1], pa.list_(ids)), pa.array(grouped[2], pa.list_(pa.binary())), pa.array(grouped[3], pa.int64())], names=["id", "n_words", "kept", "gid", "ids", "texts", "windows"])
+            kinds = [ids, pa.int64(), pa.string(), pa.int64(), pa.list_(ids), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+            arrays = [pa.array(c, k) for c, k in zip([*columns, *grouped], kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names=["id", "n_words", "kept", "gid", "ids", "texts", "sizes", "windows"])
+
+        def pack() -> tuple:
+            data = zstandard.compress(b"".join([g[1] for g in group]))
+            return (part << 32) + number, [g[0] for g in group], data, [len(g[1]) for g in group], windows
 
         batch = None
         for batch in batches:
@@ -229,63 +304,111 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         done.append((ids[k], *_whole_text(text, digest)))
                 packed = None
                 if size >= GROUP_BYTES:
-                    packed = ((part << 32) + number, [g[0] for g in group], [g[1] for g in group], windows)
+                    packed = pack()
                     number, group, size, windows = number + 1, [], 0, 0
                 yield rows(done, packed)
         if group:
-            yield rows([], ((part << 32) + number, [g[0] for g in group], [g[1] for g in group], windows))
+            yield rows([], pack())
 
-    out = materialise(docs.mapInArrow(split, f"id {kind}, n_words long, kept string, gid long, ids array<{kind}>, texts array<binary>, windows long"), "groups")
+    fields = f"id {kind}, n_words long, kept string, gid long, ids array<{kind}>, texts binary, sizes array<long>, windows long"
+    out = materialise(docs.mapInArrow(split, fields), "groups")
     done = out.where("gid IS NULL").select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
-    groups = out.where("gid IS NOT NULL").select("gid", "ids", "texts")
+    groups = out.where("gid IS NOT NULL")
     buckets = max(1, -(-(out.agg(F.sum("windows")).first()[0] or 0) // BUCKET_WINDOWS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
-            for gid, texts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                t = _group_table(texts)
-                first, second = _windows(t, _left(t, bitmap))
-                one, counts, _ = _distinct(first, second)
-                first, second, twice = first[one], second[one], counts > 1
-                bucket = _bucket(first, buckets)  # sorted, as the hashes are
-                edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
-                spans = list(zip(edge[:-1], edge[1:]))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array([gid] * len(spans), pa.int64()), pa.array([first[a:b].tobytes() + second[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for a, b in spans], pa.binary())], names=["bucket", "gid", "hashes", "twice"])
+            for gid, texts, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                q = Questions(_group_table(_texts(texts, sizes)), bitmap, buckets)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(q.bucket[a]) for a, _ in q.spans], pa.int32()),
+                        pa.array([gid] * len(q.spans), pa.int64()),
+                        pa.array([q.first[a:b].tobytes() + q.second[a:b].tobytes() for a, b in q.spans], pa.binary()),
+                        pa.array([np.packbits(q.twice[a:b]).tobytes() for a, b in q.spans], pa.binary()),
+                        pa.array([q.piece[a:b].astype(np.uint16).tobytes() for a, b in q.spans], pa.binary()),
+                    ],
+                    names=["bucket", "gid", "hashes", "twice", "pieces"],
+                )
 
     def answer(table: pa.Table) -> pa.Table:
-        _, blob, again = _repeated(table["hashes"].to_pylist(), table["twice"].to_pylist(), 12)
-        edge = np.searchsorted(blob, np.arange(len(table) + 1))
-        bits = [np.packbits(again[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:])]
-        return pa.table({"gid": table["gid"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
-
-    answers = groups.mapInArrow(ask, "bucket int, gid long, hashes binary, twice binary").groupBy("bucket").applyInArrow(answer, "gid long, bucket int, bits binary")
-    per_group = answers.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("bits"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To lenders which windows they lend, and (lender, holder, pieces) of all groups that hold such windows."""
+        table = table.sort_by("gid")
+        _, blob, lead, again = _repeated(table["hashes"].to_pylist(), table["twice"].to_pylist(), 12)
+        piece = np.concatenate([np.frombuffer(x, np.uint16) for x in table["pieces"].to_pylist()]).astype(np.int64)
+        gids, bucket, n = table["gid"].to_numpy(), table["bucket"][0].as_py(), len(table)
+        lent = again & (lead == np.arange(len(lead)))
+        edge = np.searchsorted(blob, np.arange(n + 1))
+        lenders = [k for k in range(n) if lent[edge[k] : edge[k + 1]].any()]
+        lead = lead[again]
+        key = np.unique(((blob[lead] * n + blob[again]) << 16) + piece[lead])
+        pair = key >> 16
+        cut = np.append(np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), pair[1:] != pair[:-1])), len(key))
+        heads, wanted = pair[cut[:-1]], [(key[a:b] & 65_535).tolist() for a, b in zip(cut[:-1], cut[1:])]
+        rows = len(lenders) + len(heads)
+        return pa.table(
+            {
+                "gid": pa.array(np.concatenate([gids[lenders], gids[heads // n]]).astype(np.int64), pa.int64()),
+                "bucket": pa.array([bucket] * rows, pa.int32()),
+                "bits": pa.array([np.packbits(lent[edge[k] : edge[k + 1]]).tobytes() for k in lenders] + [None] * len(heads), pa.binary()),
+                "holder": pa.array([None] * len(lenders) + gids[heads % n].tolist(), pa.int64()),
+                "pieces": pa.array([None] * len(lenders) + wanted, pa.list_(pa.int32())),
+            }
+        )
+
+    asked = groups.select("gid", "texts", "sizes").mapInArrow(ask, "bucket int, gid long, hashes binary, twice binary, pieces binary")
+    answers = materialise(asked.groupBy("bucket").applyInArrow(answer, "gid long, bucket int, bits binary, holder long, pieces array<int>"), "answers")
+    lent = answers.where("bits IS NOT NULL").groupBy("gid").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
+    wanted = answers.where("holder IS NOT NULL").select("gid", "holder", F.explode("pieces").alias("piece")).distinct()
+
+    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
-            for ids, texts, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for gid, packed, sizes, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                texts = _texts(packed, sizes)
                 t = _group_table(texts)
-                at = _left(t, bitmap)
-                first, second = _windows(t, at)
-                one, _, number = _distinct(first, second)
-                counts = np.bincount(_bucket(first[one], buckets), minlength=buckets)
-                flags = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(counts[x["bucket"]])) for x in bits])
-                starts = at[flags[number].astype(bool)]
-                # a passage ends where its document ends
-                found = [passages(starts[t.doc[starts] == d]) for d in np.unique(t.doc[starts])]
-                hit = locate(t, np.concatenate(found) if found else np.zeros((0, 2), np.int64))
-                n_words, n_removed, kept = [], [], []
-                for k, text in enumerate(texts):
-                    a, b = int(t.first[k]), int(t.first[k + 1])
-                    words, gone = text.split(), hit[a:b]
-                    n_words.append(b - a)
-                    n_removed.append(int(gone.sum()))
-                    kept.append(_kept(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]), digest))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type.value_type), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
-
-    rest = groups.join(per_group, "gid").select("ids", "texts", "bits").mapInArrow(finish, f"`{id_col}` {kind}, n_words long, n_removed long, kept string")
+                q = Questions(t, bitmap, buckets)
+                chosen = np.zeros(len(q.start), bool)
+                at = {int(q.bucket[a]): (a, b) for a, b in q.spans}
+                for x in bits:
+                    a, b = at[x["bucket"]]
+                    chosen[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
+                order = np.argsort(q.start[chosen])
+                starts, piece = q.start[chosen][order], q.piece[chosen][order]
+                words = [w for text in texts for w in text.split()]
+                phrases: dict[int, list[bytes]] = {}
+                for k, a, b in zip(*(x.tolist() for x in passages(starts, t.doc[starts], piece))):
+                    phrases.setdefault(k, []).append(b" ".join(words[a:b]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([gid] * len(phrases), pa.int64()),
+                        pa.array(list(phrases), pa.int32()),
+                        pa.array([b"\n".join(x) for x in phrases.values()], pa.binary()),
+                    ],
+                    names=["gid", "piece", "phrases"],
+                )
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, packed, sizes, pieces in zip(*(c.to_pylist() for c in batch.columns)):
+                docs = [text.split() for text in _texts(packed, sizes)]
+                hits = locate(docs, [phrase for piece in pieces or [] for phrase in piece.split(b"\n")])
+                kept = [_kept(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]), digest) for words, gone in zip(docs, hits)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, batch.schema.field(0).type.value_type),
+                        pa.array([len(words) for words in docs], pa.int64()),
+                        pa.array([int(gone.sum()) for gone in hits], pa.int64()),
+                        pa.array(kept, pa.string()),
+                    ],
+                    names=[id_col, "n_words", "n_removed", "kept"],
+                )
+
+    lenders = groups.join(lent, "gid").select("gid", "texts", "sizes", "bits")
+    pieces = lenders.mapInArrow(lend, "gid long, piece int, phrases binary")
+    sent = wanted.join(pieces, ["gid", "piece"]).groupBy(F.col("holder").alias("gid")).agg(F.collect_list("phrases").alias("pieces"))
+    rest = groups.join(sent, "gid", "left").select("ids", "texts", "sizes", "pieces").mapInArrow(finish, f"`{id_col}` {kind}, n_words long, n_removed long, kept string")
     return done.unionByName(rest)
 
 

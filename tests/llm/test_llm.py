@@ -643,13 +643,32 @@ def test_repeats_same_ids(spark):
     assert rows(repeats.remove_repeats(docs).select("doc_id", "n_removed")) == [(5, 50), (5, 50), (None, 0)]
 
 
-def test_locate_in_small_shards():
-    words = [f"a{i}" for i in range(120)]
-    text = " ".join([*words, "x", *words[10:80], "y"]).encode()
-    t = _words.WordTable(np.frombuffer(text, np.uint8), np.array([0, len(text)]), _words.SPACE_SEPARATED, False)
-    ranges = np.array([[10, 80], [121, 191]])
-    for most in (10, 10_000):
-        assert np.flatnonzero(repeats.locate(t, ranges, most)).tolist() == [*range(10, 80), *range(121, 191)]
+def test_locate_finds_what_only_the_phrases_tell():
+    r = random.Random(13)
+    for trial in range(60):
+        letters = [b"w%d" % i for i in range(r.choice([2, 3, 400]))]
+        phrases = [[r.choice(letters) for _ in range(r.randrange(35, 120))] for _ in range(r.randrange(1, 6))]
+        docs = []
+        for _ in range(r.randrange(1, 6)):
+            words = [r.choice(letters) for _ in range(r.randrange(30))]
+            for _ in range(r.randrange(4)):
+                p = r.choice(phrases)
+                a = r.randrange(len(p))
+                words += p[a : a + r.randrange(20, 90)] + [r.choice([b"x", letters[0]])]
+            docs.append(words)
+        windows = {tuple(p[i : i + 35]) for p in phrases for i in range(len(p) - 34)}
+        expected = [{j for i in range(len(d) - 34) if tuple(d[i : i + 35]) in windows for j in range(i, i + 35)} for d in docs]
+        joined = [b" ".join(p) for p in phrases]
+        for most in (1, 60, 400_000):
+            assert [set(np.flatnonzero(h).tolist()) for h in repeats.locate(docs, joined, most)] == expected
+        assert not any(h.any() for h in repeats.locate(docs, []))
+
+
+def test_passages_end_with_documents_and_pieces():
+    starts, doc = np.array([0, 1, 36, 72, 80, 81, 200]), np.array([0, 0, 0, 0, 0, 1, 1])
+    found = repeats.passages(starts, doc, starts // 64)
+    assert [x.tolist() for x in found] == [[0, 1, 1, 3], [0, 72, 81, 200], [71, 115, 116, 235]]
+    assert [len(x) for x in repeats.passages(starts[:0], doc[:0], doc[:0])] == [0, 0, 0]
 
 
 # -- 9 licences
