@@ -12,7 +12,7 @@ anywhere else (in the same document too).
    96-bit window hash once to the bucket of its anchor, with a flag if it has it twice, so that a passage of a third of
    all documents is one entry per group and window.  Of the groups that hold a recurring window the first lends it: only
    that one is told (a bit per window), and the bucket lists which groups want what from which lender.
-3. Passages.  A lender joins the windows that it lends to passages, in pieces of about ``SPAN`` window starts, and each
+3. Passages.  A lender joins the windows that it lends to passages, in pieces of a document or ``SPAN`` window starts, and each
    piece goes once to each group that wants it, as text.
 4. Locating.  A group knows nothing of where passages stand in it.  The passages it was sent are cut into tiles of
    ``TILE`` words, so that any window of a passage holds a whole tile; the tiles are compiled into Aho-Corasick automata
@@ -49,7 +49,7 @@ GROUP_BYTES = 4 << 20
 BUCKET_WINDOWS = 1 << 20
 SHARD_WORDS = 400_000
 TILE = (WINDOW + 1) // 2
-SPAN = 64
+SPAN = 512
 MATCHES_AT_ONCE = 1 << 19
 _SECOND = np.uint64(0x9FB21C651E98DF25)
 
@@ -184,8 +184,10 @@ class Questions:
         one = one[order]
         self.bucket, self.first, self.second, self.start = bucket[order], first[one], second[one], at[one]
         self.twice = counts[order] > 1
-        # pieces are numbered in 16 bits, whatever the length of the group
-        self.piece = self.start // max(SPAN, -(-len(table) // 65_535))
+        # pieces are numbered in 16 bits: a group has less than 65,535 documents with a window, as its bytes are bounded
+        size = max(SPAN, -(-len(table) // max(1, 65_535 - len(table.counts))))
+        doc, base = table.doc[self.start], np.cumsum(-(-table.counts // size))
+        self.piece = base[doc] - -(-table.counts[doc] // size) + (self.start - table.first[doc]) // size
         edge = np.append(np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])), len(one)).tolist()
         self.spans = [(i, j) for i, j in zip(edge[:-1], edge[1:]) if j > i]
 
@@ -248,10 +250,15 @@ def locate(docs: list[list[bytes]], phrases: list[bytes], shard_words: int = SHA
 def _extend(d: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> None:
     """Grows matches of a tile (at words x of the stream and y of the passages) both ways and marks the bounds of the long
     ones.  No bound of a document equals a word or bound of a passage, so matches end there."""
-    lo, hi = x.copy(), x + TILE
+    order = np.lexsort((x, y - x))
+    x, y = x[order], y[order]
+    apart = (x[1:] != x[:-1] + TILE) | (y[1:] != y[:-1] + TILE)
+    head = np.flatnonzero(np.append(np.ones(min(1, len(x)), bool), apart))  # tiles in a row are one match
+    tail = np.append(head[1:], len(x))[: len(head)] - 1
+    lo, hi = x[head].copy(), x[tail] + TILE
     for step, reach in ((-1, lo), (1, hi)):
-        alive = np.arange(len(x))
-        at, of = (x - 1, y - 1) if step < 0 else (x + TILE, y + TILE)
+        alive = np.arange(len(head))
+        at, of = (x[head] - 1, y[head] - 1) if step < 0 else (x[tail] + TILE, y[tail] + TILE)
         while len(alive):
             same = d[at] == p[of]
             alive, at, of = alive[same], at[same] + step, of[same] + step
@@ -360,7 +367,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = groups.select("gid", "texts", "sizes").mapInArrow(ask, "bucket int, gid long, hashes binary, twice binary, pieces binary")
     answers = materialise(asked.groupBy("bucket").applyInArrow(answer, "gid long, bucket int, bits binary, holder long, pieces array<int>"), "answers")
     lent = answers.where("bits IS NOT NULL").groupBy("gid").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
-    wanted = answers.where("holder IS NOT NULL").select("gid", "holder", F.explode("pieces").alias("piece")).distinct()
+    every = F.array_distinct(F.flatten(F.collect_list("pieces")))  # at most a lender's pieces a bucket
+    wanted = answers.where("holder IS NOT NULL").groupBy("gid", "holder").agg(every.alias("pieces"))
+    wanted = wanted.select("gid", "holder", F.explode("pieces").alias("piece"))
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
