@@ -175,6 +175,11 @@ _STATES = """
 c AS (SELECT 'com.c' || conv_id AS package, role, turn, text FROM conversations),
 st AS (SELECT DISTINCT package, package || '.' || role AS activity, text || '/id' || (turn % 3) || '/TextView' AS view FROM c WHERE role <> 'system' AND EXISTS (SELECT 1))"""
 
+_STRICT = """e AS (SELECT 'u' || user_id AS app, event_id AS line, CASE event_type WHEN 'signup' THEN 'pass' WHEN 'view' THEN 'predict_start' WHEN 'purchase' THEN 'predict_stop' WHEN 'click' THEN 'train_start' ELSE 'train_end' END AS event, CASE WHEN event_type = 'signup' THEN CAST(event_id % 10 AS VARCHAR) END AS named, CAST(event_id AS DOUBLE) AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+m(s, event, after) AS (VALUES (1, 'train_start', 2), (2, 'train_end', 3), (3, 'predict_start', 4), (3, 'pass', 1), (4, 'predict_stop', 3)),
+r AS (SELECT app, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS line, CAST(NULL AS VARCHAR) AS event, 3 AS s, 3 AS state, true AS accepted, CAST(NULL AS DOUBLE) AS since, CAST(NULL AS DOUBLE) AS seconds, CAST(NULL AS VARCHAR) AS pass, CAST(NULL AS BIGINT) AS pass_line FROM (SELECT DISTINCT app FROM e)
+UNION ALL SELECT e.app, e.i, e.line, e.event, coalesce(m.after, r.s), r.s, m.after IS NOT NULL, CASE WHEN m.after IN (2, 4) THEN e.moment ELSE r.since END, CASE WHEN m.after = 3 THEN e.moment - r.since END, CASE WHEN m.after = 1 THEN e.named ELSE r.pass END, CASE WHEN m.after = 1 THEN e.line ELSE r.pass_line END FROM r JOIN e ON e.app = r.app AND e.i = r.i + 1 LEFT JOIN m ON m.s = r.s AND m.event = e.event)"""
+
 SQL: dict[str, str] = {
     "library_tagging": f"WITH {_SETS} SELECT m.app, m.package, m.lib_name, count(*) AS n_nodes, count(*) FILTER (WHERE n.type = 'method') AS n_methods FROM matched m JOIN (SELECT app, package, 'method' AS type FROM own JOIN hashes USING (app, id) WHERE type = 'method' UNION ALL SELECT o.app, o.package, 'other' FROM own o JOIN nodes n USING (app, id) WHERE n.type <> 'method') n ON n.app = m.app AND n.package = m.package GROUP BY ALL",
     "node_hash": f"WITH {_SETS} SELECT app, id, hash FROM hashes",
@@ -323,6 +328,12 @@ d AS (SELECT app, line, event, moment, last_value(pass IGNORE NULLS) OVER (PARTI
 g AS (SELECT *, lag(event) OVER w AS was, lag(moment) OVER w AS since FROM d WHERE event <> 'pass' WINDOW w AS (PARTITION BY app ORDER BY line)),
 s AS (SELECT app, pass, CASE WHEN event = 'train_end' AND was = 'train_start' THEN moment - since END AS t, CASE WHEN event = 'predict_stop' AND was = 'predict_start' THEN moment - since END AS p FROM g)
 SELECT app, pass, sum(t) AS train_seconds, count(p) AS predict_count, sum(p) AS predict_total, max(p) AS predict_max, CASE WHEN count(p) <= 0 THEN 1.0 ELSE sum(p) / count(p) END AS predict_mean FROM s GROUP BY app, pass""",
+    "strict_log_phases": f"""WITH RECURSIVE {_STRICT},
+v AS (SELECT *, CASE WHEN accepted AND event = 'train_end' THEN seconds END AS t, CASE WHEN accepted AND event = 'predict_stop' THEN seconds END AS p FROM r WHERE i > 0),
+g AS (SELECT app, pass, pass_line, max(t) AS train_seconds, count(p) AS predict_count, sum(p) AS predict_total, max(p) AS predict_max, count(*) FILTER (NOT accepted) AS ignored FROM v GROUP BY ALL)
+SELECT app, pass, train_seconds, predict_count, predict_total, predict_max, ignored, CASE WHEN predict_count <= 0 THEN 1.0 ELSE predict_total / predict_count END AS predict_mean
+FROM g QUALIFY row_number() OVER (PARTITION BY app, pass ORDER BY pass_line DESC NULLS LAST) = 1""",
+    "ill_formed_events": f"WITH RECURSIVE {_STRICT} SELECT app, line, event, state FROM r WHERE NOT accepted",
     "score_table": """WITH e AS (SELECT 'u' || user_id AS app, round(value, 2) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), l AS (SELECT app, arg_max(v, i) AS end_score, max(i) AS edge_count FROM e GROUP BY app)
 SELECT app, end_score, edge_count, round(end_score / edge_count, 9) AS score FROM l""",
     "score_regression": f"WITH {_POINTS} SELECT mode, count(*) AS n, round(regr_slope(y, x), 8) AS slope, round(regr_intercept(y, x), 8) AS intercept, round(corr(x, y), 8) AS r FROM pts GROUP BY mode",

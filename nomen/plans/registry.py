@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from nomen import model
 from nomen.functions import columns as C
-from nomen.functions.similarity import with_name_similarity, with_ratio
+from nomen.functions.similarity import with_name_similarity, with_similar_ratio
 from nomen.operators._lineage import cut, new_folder
-from nomen.operators import corpus, evaluate, features, graph, hierarchy, kg, library, mapping, matching, profiles, propagation, vocab
+from nomen.operators import corpus, evaluate, features, graph, hierarchy, kg, library, mapping, matching, profiles, propagation, replay, vocab
 from nomen.plans import oracles
 from nomen.sources import adapters, graphs, text
 from nomen.streaming import profiles as stream_profiles
@@ -380,7 +380,7 @@ def report_flag_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def similar_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of the ``similar`` mode."""
-    compared = with_ratio(adapters.compared_parts(spark, sf), "truth", "pred")
+    compared = with_similar_ratio(adapters.compared_parts(spark, sf), "truth", "pred")
     return evaluate.report_metrics(compared, ["similar"])
 
 
@@ -622,10 +622,25 @@ def phase_timings(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", "n", *[F.round(c, 3).alias(c) for c in ("total", "longest", "mean")])
 
 
+def _test_log(spark: SparkSession, sf: str) -> DataFrame:
+    return adapters.table(spark, sf, "events").selectExpr("concat('u', user_id) AS app", "event_id AS line", "CASE event_type WHEN 'signup' THEN 'pass' WHEN 'view' THEN 'predict_start' WHEN 'purchase' THEN 'predict_stop' WHEN 'click' THEN 'train_start' ELSE 'train_end' END AS event", "CASE WHEN event_type = 'signup' THEN cast(event_id % 10 AS string) END AS pass", "cast(event_id AS double) AS at")
+
+
 @query
 def test_log_phases(spark: SparkSession, sf: str) -> DataFrame:
-    e = adapters.table(spark, sf, "events").selectExpr("concat('u', user_id) AS app", "event_id AS line", "CASE event_type WHEN 'signup' THEN 'pass' WHEN 'view' THEN 'predict_start' WHEN 'purchase' THEN 'predict_stop' WHEN 'click' THEN 'train_start' ELSE 'train_end' END AS event", "CASE WHEN event_type = 'signup' THEN cast(event_id % 10 AS string) END AS pass", "cast(event_id AS double) AS at")
-    return evaluate.replay_log(e)
+    return evaluate.replay_log(_test_log(spark, sf))
+
+
+@query
+def strict_log_phases(spark: SparkSession, sf: str) -> DataFrame:
+    """Phases of logs in which each event must be one that its state expects."""
+    return replay.strict_replay(_test_log(spark, sf))
+
+
+@query
+def ill_formed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of logs that come in a state which does not expect them."""
+    return replay.ill_formed(_test_log(spark, sf))
 
 
 @query
