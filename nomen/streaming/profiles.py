@@ -53,11 +53,17 @@ def read_totals(spark: SparkSession, path: str, before: int | None = None) -> Da
     return add_counts(found, found.limit(0))
 
 
-def score_blocks(lines: DataFrame) -> DataFrame:
+def score_blocks(lines: DataFrame, silent_ms: int | None = None) -> DataFrame:
     """(log, end_score, edge_count), once per ``End score`` line of ``lines(log, value)``: the state holds the last edge
-    count that a log showed.  With a column ``line``, the lines of a batch are taken in its order."""
+    count that a log showed.  With a column ``line``, the lines of a batch are taken in its order.
+
+    A block that has ended leaves no state.  With ``silent_ms``, neither does a log that shows nothing for so many milliseconds: what it
+    shows later starts a new block, whose edge count is null until it shows one."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count = state.get[0] if state.exists else None
         out = []
         ordered = pd.concat(list(batches), ignore_index=True)
@@ -70,10 +76,16 @@ def score_blocks(lines: DataFrame) -> DataFrame:
                 elif value.startswith("End score "):
                     out.append((key[0], float(value.split()[-1]), count))
                     count = None
-        state.update((count,))
+        if count is not None:
+            state.update((count,))
+            if silent_ms is not None:
+                state.setTimeoutDuration(silent_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["log", "end_score", "edge_count"]).astype({"edge_count": "Int64"})
 
-    return lines.groupBy("log").applyInPandasWithState(step, "log string, end_score double, edge_count long", "count long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if silent_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return lines.groupBy("log").applyInPandasWithState(step, "log string, end_score double, edge_count long", "count long", "append", timeout)
 
 
 def edge_count_lines(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -329,3 +329,33 @@ def test_streamed_score_blocks(spark, tmp_path):
     q = sp.score_blocks(lines).writeStream.format("memory").queryName("score_blocks").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("score_blocks")) == [("l", 1.5, 3), ("l", 2.0, None)]
+
+
+def test_silent_logs_leave_the_state(spark, tmp_path):
+    import time
+
+    from nomen.streaming import profiles as sp
+
+    def write(*found):
+        spark.createDataFrame(list(found), "log string, value string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+
+    def held(q):
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    def wait(done):
+        until = time.time() + 60
+        while not done():
+            assert time.time() < until and q.isActive
+            time.sleep(0.5)
+
+    write(("silent", "Edge count 3"), ("ended", "Edge count 4"), ("ended", "End score 1.0"))
+    lines = spark.readStream.schema("log string, value string").json(str(tmp_path / "in"))
+    blocks = sp.score_blocks(lines, 500).writeStream.format("memory").queryName("silent_logs").outputMode("append")
+    q = blocks.option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        wait(lambda: spark.table("silent_logs").count() == 1 and held(q) == 0)  # the silent log alone was held, until its time was up
+        write(("silent", "End score 2.0"))
+        wait(lambda: spark.table("silent_logs").count() == 2)
+    finally:
+        q.stop()
+    assert rows(spark.table("silent_logs")) == [("ended", 1.0, 4), ("silent", 2.0, None)]
