@@ -43,15 +43,19 @@ class Log:
     """A written table that rows are added to: what a loop has found so far, without a rewrite per round."""
 
     def __init__(self, rows: DataFrame):
-        self._spark, self._schema, self._path = rows.sparkSession, rows.schema, new_folder(rows.sparkSession, "log")
-        rows.write.parquet(self._path)
+        self._spark, self._schema, self._paths = rows.sparkSession, rows.schema, []
+        self.add(rows)
 
-    def add(self, rows: DataFrame) -> None:
-        rows.select(*self._schema.names).write.mode("append").parquet(self._path)
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows`` too; what comes back reads them alone."""
+        path = new_folder(self._spark, "log")
+        rows.select(*self._schema.names).write.parquet(path)
+        self._paths.append(path)
+        return self._spark.read.schema(self._schema).parquet(path)
 
     def read(self) -> DataFrame:
         """All rows added so far; later ones are not in this table."""
-        return self._spark.read.schema(self._schema).parquet(self._path)
+        return self._spark.read.schema(self._schema).parquet(*self._paths)
 
 
 def stored(spark: SparkSession, folder: str) -> bool:

@@ -135,19 +135,26 @@ calls AS (SELECT 'app' || (p_partkey % 20) AS app, 'M' || p_partkey || 'a' AS ca
 clos AS (SELECT app, child, parent AS ancestor FROM inh UNION SELECT c.app, c.child, i.parent FROM clos c JOIN inh i ON i.app = c.app AND i.child = c.ancestor),
 reach AS (SELECT app, cls AS root, method FROM hm WHERE cls LIKE '%9' UNION SELECT r.app, r.root, c.callee FROM reach r JOIN calls c ON c.app = r.app AND c.caller = r.method)"""
 
+_RINGS = f"""
+{_HIER},
+rings AS (SELECT * FROM calls UNION SELECT 'app' || (p_partkey % 20), 'M' || p_partkey || 'b', 'M' || (p_partkey % 20 + 20 * (p_partkey // 20 - p_partkey // 20 % 5 + (p_partkey // 20 + 1) % 5)) || 'b' FROM part),
+meets AS (SELECT app, caller, callee FROM rings UNION SELECT m.app, m.caller, r.callee FROM meets m JOIN rings r ON r.app = m.app AND r.caller = m.callee),
+rung AS (SELECT app, cls AS root, method FROM hm WHERE cls LIKE '%9' UNION SELECT r.app, r.root, c.callee FROM rung r JOIN rings c ON c.app = r.app AND c.caller = r.method)"""
+
 _TREE = f"""
 {_EL},
 pk AS (SELECT DISTINCT app, pkg AS package FROM el),
 tree AS (SELECT DISTINCT app, array_to_string(string_split(package, '.')[1:d], '.') AS prefix, string_split(package, '.')[d] AS segment, CASE WHEN d > 1 THEN array_to_string(string_split(package, '.')[1:d - 1], '.') END AS parent, CAST(d AS INTEGER) AS depth FROM (SELECT app, package, unnest(range(1, len(string_split(package, '.')) + 1)) AS d FROM pk))"""
 
 _DU = """
-u AS (SELECT DISTINCT 'app' || (p_partkey % 20) AS app, 'm' || (p_partkey % 50) AS method, 'v' || p_size AS d, 'v' || (p_size + 1 + p_partkey % 3) AS x, ['field', 'local', 'parameter', 'return'][p_size % 4 + 1] AS dk, ['field', 'local', 'parameter', 'return'][(p_size + 1 + p_partkey % 3) % 4 + 1] AS xk FROM part),
+us0 AS (SELECT 'app' || (p_partkey % 20) AS app, 'm' || (p_partkey // 1000) AS method, p_size AS d0, CASE WHEN p_partkey % 37 = 0 THEN p_size - 7 ELSE p_size + 1 + p_partkey % 3 END AS x0 FROM part),
+u AS (SELECT DISTINCT app, method, 'v' || d0 AS d, 'v' || x0 AS x, ['field', 'local', 'parameter', 'return'][d0 % 4 + 1] AS dk, ['field', 'local', 'parameter', 'return'][(x0 + 8) % 4 + 1] AS xk FROM us0),
 uk AS (SELECT app, method, d AS v, dk AS kind FROM u UNION SELECT app, method, x, xk FROM u),
 uc AS (SELECT app, method, d, x FROM u UNION SELECT uc.app, uc.method, uc.d, u.x FROM uc JOIN u ON u.app = uc.app AND u.method = uc.method AND u.d = uc.x)"""
 
 _ORDER = """
-us AS (SELECT DISTINCT 'app' || (p_partkey % 20) AS app, 'm' || (p_partkey % 50) AS method, p_size AS stmt, 'x' || (p_partkey % 13) AS member FROM part),
-fl AS (SELECT DISTINCT 'app' || (p_partkey % 20) AS app, 'm' || (p_partkey % 50) AS method, p_size AS stmt, p_size + 1 + p_partkey % 4 AS nxt FROM part),
+us AS (SELECT DISTINCT 'app' || (p_partkey % 20) AS app, 'm' || (p_partkey // 1000) AS method, p_size AS stmt, 'x' || (p_partkey // 1000 // 2) || '_' || (p_partkey % 13) AS member FROM part),
+fl AS (SELECT DISTINCT 'app' || (p_partkey % 20) AS app, 'm' || (p_partkey // 1000) AS method, p_size AS stmt, CASE WHEN p_partkey % 37 = 0 THEN p_size - 7 ELSE p_size + 1 + p_partkey % 4 END AS nxt FROM part),
 af AS (SELECT app, method, stmt, nxt FROM fl UNION SELECT af.app, af.method, af.stmt, fl.nxt FROM af JOIN fl ON fl.app = af.app AND fl.method = af.method AND fl.stmt = af.nxt),
 pairs AS (SELECT DISTINCT af.app, a.member AS earlier, b.member AS later FROM af JOIN us a ON a.app = af.app AND a.method = af.method AND a.stmt = af.stmt JOIN us b ON b.app = af.app AND b.method = af.method AND b.stmt = af.nxt WHERE a.member <> b.member)"""
 
@@ -225,6 +232,9 @@ SELECT app, package, string_agg(CASE WHEN length(prefix) % 3 <> 0 THEN upper(seg
     "subtree_sizes": f"WITH RECURSIVE {_HIER}, ends AS (SELECT app, child AS node FROM inh UNION SELECT app, parent FROM inh) SELECT e.app, e.node, count(c.child) AS descendants FROM ends e LEFT JOIN clos c ON c.app = e.app AND c.ancestor = e.node GROUP BY ALL",
     "override_edges": f"WITH RECURSIVE {_HIER} SELECT DISTINCT a.app, a.method, b.method AS overridden FROM hm a JOIN clos c ON c.app = a.app AND c.child = a.cls JOIN hm b ON b.app = a.app AND b.cls = c.ancestor AND b.sub_sig = a.sub_sig WHERE a.sub_sig NOT LIKE '%<init>%'",
     "reachable_methods": f"WITH RECURSIVE {_HIER} SELECT app, root, method FROM reach",
+    "ring_reach": f"WITH RECURSIVE {_RINGS} SELECT app, root, method FROM rung",
+    "call_circles": f"""WITH RECURSIVE {_RINGS}
+SELECT a.app, a.caller AS method, min(a.callee) AS circle FROM meets a JOIN meets b ON b.app = a.app AND b.caller = a.callee AND b.callee = a.caller GROUP BY a.app, a.caller HAVING count(DISTINCT a.callee) > 1""",
     "async_reach": f"""WITH RECURSIVE {_HIER}, r AS (SELECT reach.app, root, hm.cls, reach.method FROM reach JOIN hm ON hm.app = reach.app AND hm.method = reach.method),
 d AS (SELECT DISTINCT app, child AS cls FROM clos WHERE ancestor IN ('C0', 'C1', 'C2', 'C3')),
 m AS (SELECT DISTINCT r.app, r.root, r.cls, hm.method FROM r JOIN d ON d.app = r.app AND d.cls = r.cls JOIN hm ON hm.app = r.app AND hm.cls = r.cls),

@@ -11,7 +11,7 @@ from nomen import model
 from nomen.functions import columns as C
 from nomen.functions.similarity import with_name_similarity, with_similar_ratio
 from nomen.operators._lineage import cut, new_folder
-from nomen.operators import corpus, evaluate, features, graph, hierarchy, kg, library, mapping, matching, profiles, propagation, replay, vocab
+from nomen.operators import corpus, evaluate, features, flow, graph, hierarchy, kg, library, mapping, matching, profiles, propagation, replay, vocab
 from nomen.plans import oracles
 from nomen.sources import adapters, graphs, text
 from nomen.streaming import profiles as stream_profiles
@@ -197,14 +197,27 @@ def override_edges(spark: SparkSession, sf: str) -> DataFrame:
 def reachable_methods(spark: SparkSession, sf: str) -> DataFrame:
     _, methods, calls = adapters.hierarchy(spark, sf)
     roots = methods.where("cls LIKE '%9'").select("app", F.col("cls").alias("root"), "method")
-    return graph.reach_from(roots, calls)
+    return flow.reach_from(roots, calls)
+
+
+@query
+def call_circles(spark: SparkSession, sf: str) -> DataFrame:
+    return flow.call_circles(adapters.ring_calls(spark, sf))
+
+
+@query
+def ring_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """What roots reach where methods also call one another in rings."""
+    _, methods, _ = adapters.hierarchy(spark, sf)
+    roots = methods.where("cls LIKE '%9'").select("app", F.col("cls").alias("root"), "method")
+    return flow.reach_from(roots, adapters.ring_calls(spark, sf))
 
 
 @query
 def async_reach(spark: SparkSession, sf: str) -> DataFrame:
     inherits, methods, calls = adapters.hierarchy(spark, sf)
     roots = methods.where("cls LIKE '%9'").select("app", F.col("cls").alias("root"), "method")
-    found = graph.reachable_with_async(roots, calls, methods, inherits, ["C0", "C1", "C2", "C3"])
+    found = flow.reachable_with_async(roots, calls, methods, inherits, ["C0", "C1", "C2", "C3"])
     return found.select("app", "root", F.array_join("classes", ",").alias("classes"), F.array_join("methods", ",").alias("methods"))
 
 
@@ -220,17 +233,12 @@ def structural_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def def_use_edges(spark: SparkSession, sf: str) -> DataFrame:
-    p = adapters.table(spark, sf, "part")
-    uses = p.selectExpr("concat('app', p_partkey % 20) AS app", "concat('m', p_partkey % 50) AS method", "concat('v', p_size) AS def", "concat('v', p_size + 1 + p_partkey % 3) AS use", "element_at(array('field', 'local', 'parameter', 'return'), cast(p_size % 4 AS int) + 1) AS def_kind", "element_at(array('field', 'local', 'parameter', 'return'), cast((p_size + 1 + p_partkey % 3) % 4 AS int) + 1) AS use_kind").distinct()
-    return graph.def_use_edges(uses)
+    return flow.def_use_edges(adapters.definitions(spark, sf))
 
 
 @query
 def usage_order_edges(spark: SparkSession, sf: str) -> DataFrame:
-    p = adapters.table(spark, sf, "part")
-    uses = p.selectExpr("concat('app', p_partkey % 20) AS app", "concat('m', p_partkey % 50) AS method", "p_size AS stmt", "concat('x', p_partkey % 13) AS member").distinct()
-    flow = p.selectExpr("concat('app', p_partkey % 20) AS app", "concat('m', p_partkey % 50) AS method", "p_size AS stmt", "p_size + 1 + p_partkey % 4 AS next").distinct()
-    return graph.usage_order_edges(uses, flow)
+    return flow.usage_order_edges(*adapters.statements(spark, sf))
 
 
 # -- knowledge graph

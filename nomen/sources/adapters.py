@@ -147,6 +147,30 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return inherits, methods, calls.union(back)
 
 
+def ring_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """calls(app, caller, callee) of ``hierarchy``, and rings: the second methods of five classes that follow one another in an app."""
+    _, _, calls = hierarchy(spark, sf_dir)
+    i = "p_partkey div 20"
+    next_ = f"p_partkey % 20 + 20 * ({i} - {i} % 5 + ({i} + 1) % 5)"
+    rings = table(spark, sf_dir, "part").selectExpr("concat('app', p_partkey % 20) AS app", "concat('M', p_partkey, 'b') AS caller", f"concat('M', {next_}, 'b') AS callee")
+    return calls.union(rings)
+
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uses(app, method, def, use, def_kind, use_kind): a def-use step per part, 50 parts a method; every 37th leads back."""
+    use = "CASE WHEN p_partkey % 37 = 0 THEN p_size - 7 ELSE p_size + 1 + p_partkey % 3 END"
+    kind = "element_at(array('field', 'local', 'parameter', 'return'), cast(pmod({x}, 4) AS int) + 1)"
+    p = table(spark, sf_dir, "part").selectExpr("concat('app', p_partkey % 20) AS app", "concat('m', p_partkey div 1000) AS method", "p_size AS d", f"{use} AS u")
+    return p.selectExpr("app", "method", "concat('v', d) AS def", "concat('v', u) AS use", f"{kind.format(x='d')} AS def_kind", f"{kind.format(x='u')} AS use_kind").distinct()
+
+
+def statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """uses(app, method, stmt, member) and flow(app, method, stmt, next): a statement per part, 50 parts a method; every 37th leads back."""
+    next_ = "CASE WHEN p_partkey % 37 = 0 THEN p_size - 7 ELSE p_size + 1 + p_partkey % 4 END"
+    p = table(spark, sf_dir, "part").selectExpr("concat('app', p_partkey % 20) AS app", "concat('m', p_partkey div 1000) AS method", "p_size AS stmt", f"{next_} AS next", "concat('x', p_partkey div 1000 div 2, '_', p_partkey % 13) AS member")
+    return p.select("app", "method", "stmt", "member").distinct(), p.select("app", "method", "stmt", "next").distinct()
+
+
 def relation_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """sets, methods, near and stored of ``propagate_relations``: a method per part; the i-th of an app
     relates to those at 3 i + 1 and after; small parts are recovered methods."""

@@ -91,12 +91,6 @@ def test_closure_with_circle(spark):
     assert graph.closure(empty, ["app"]).count() == 0
 
 
-def test_reach(spark):
-    calls = spark.createDataFrame([("a", "f", "g"), ("a", "g", "f"), ("a", "g", "h"), ("b", "h", "x")], "app string, caller string, callee string")
-    roots = spark.createDataFrame([("a", "R", "f")], "app string, root string, method string")
-    assert rows(graph.reach_from(roots, calls).select("method")) == [("f",), ("g",), ("h",)]
-
-
 def test_order_edges(spark):
     e = spark.createDataFrame([("a", 1, 2, "UO_MF_MF"), ("a", 2, 1, "UO_MF_MF"), ("a", 1, 3, "UO_MF_MF"), ("a", 1, 2, "UO_MF_MF_LIB"), ("a", 2, 1, "UO_MF_MF_LIB")], "app string, a int, b int, kind string")
     assert rows(features.drop_mutual_order(e)) == [("a", 1, 2, "UO_MF_MF_LIB"), ("a", 1, 3, "UO_MF_MF"), ("a", 2, 1, "UO_MF_MF_LIB")]
