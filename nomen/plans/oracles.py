@@ -390,6 +390,7 @@ SQL["embedding_files"] = """SELECT vec_id AS id, CAST(len(embedding) AS INTEGER)
 SQL["library_files"] = f"""WITH {_SETS}
 SELECT lib_name, n_members, n_hashes, first FROM libs JOIN lib_names USING (lib_id)
 JOIN (SELECT lib_id, count(*) AS n_hashes, min(hash) AS first FROM lib_hashes GROUP BY lib_id) USING (lib_id)"""
+SQL["stored_library_matches"] = SQL["library_matches"]
 SQL["activity_files"] = """SELECT DISTINCT 'com.c' || conv_id AS package, 'com.c' || conv_id || '.' || role AS activity
 FROM conversations WHERE role <> 'system'"""
 SQL["streamed_profiles"] = SQL["profile_counts"]

@@ -827,11 +827,22 @@ def library_files(spark: SparkSession, sf: str) -> DataFrame:
     libs = library.collect_libraries(sets)
     path = _files(spark, "libraries")
     graphs.save_libraries(libs, library.library_hashes(sets, libs), path)
-    libs, hashes = graphs.load_libraries(spark, path)
+    libs, hashes, _ = graphs.load_libraries(spark, path)
     n = hashes.groupBy("lib_id").agg(F.count(F.lit(1)).alias("n_hashes"), F.min("hash").alias("first"))
     return libs.join(n, "lib_id").select("lib_name", "n_members", "n_hashes", "first")
 
 
+@query
+def stored_library_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """``library_matches`` against a library store, whose buckets are joined where they lie."""
+    sets = _sets(spark, sf)[2]
+    libs = library.collect_libraries(sets)
+    path = _files(spark, "store")
+    graphs.save_libraries(libs, library.library_hashes(sets, libs), path)
+    _, hashes, members = graphs.load_libraries(spark, path)
+    return library.match_libraries(sets, hashes, members=members).select("app", "package", "lib_name", "n_common")
+
+
 @query
 def activity_files(spark: SparkSession, sf: str) -> DataFrame:
     """Declared activities as read back from activity maps, a file for each thousand conversations."""
