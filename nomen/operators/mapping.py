@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomen.functions import columns as C
+from nomen.operators._lineage import cut
 from nomen.operators.lines import carry_down
 
 # Line patterns (fixed values)
@@ -21,21 +22,24 @@ def _members(lines: DataFrame, header: str, own_group: int, new: int, old_is_lef
     is_class, is_field, is_method = v.rlike(header), v.rlike(FIELD_LINE), v.rlike(METHOD_LINE)
     kind = F.when(is_class, "c").when(is_field, "f").when(is_method, "m")
     g = lambda p, i: F.trim(F.regexp_extract(v, p, i))
-    found = F.when(is_class, F.struct(F.regexp_extract(v, header, own_group).alias("cls"), F.regexp_extract(v, header, new).alias("origin_cls")))
-    lines = carry_down(lines.select("app", "line", "value"), found, "header")
     field_names = (g(FIELD_LINE, 2), g(FIELD_LINE, 3)) if old_is_left else (g(FIELD_LINE, 3), g(FIELD_LINE, 2))
     method_names = (g(METHOD_LINE, 2), g(METHOD_LINE, 4)) if old_is_left else (g(METHOD_LINE, 4), g(METHOD_LINE, 2))
-    return lines.select(
+    # the patterns are dear: each line meets them once, in a task of as many as there are, and what they found is written
+    spread = lines.select("app", "line", "value").repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = cut(spread.withColumn("kind", kind)).where("kind IS NOT NULL")
+    is_kind = lambda k: F.col("kind") == k
+    parts = kinds.select(
         "app",
         "line",
-        kind.alias("kind"),
-        F.col("header.cls").alias("cls"),
-        F.col("header.origin_cls").alias("origin_cls"),
-        F.when(kind == "f", g(FIELD_LINE, 1)).when(kind == "m", g(METHOD_LINE, 1)).alias("type"),
-        F.when(kind == "f", field_names[0]).when(kind == "m", method_names[0]).alias("origin"),
-        F.when(kind == "f", field_names[1]).when(kind == "m", method_names[1]).alias("obfus"),
-        F.when(kind == "m", g(METHOD_LINE, 3)).alias("params"),
-    ).where("kind IS NOT NULL")
+        "kind",
+        F.when(is_kind("c"), F.struct(F.regexp_extract(v, header, own_group).alias("cls"), F.regexp_extract(v, header, new).alias("origin_cls"))).alias("own"),
+        F.when(is_kind("f"), g(FIELD_LINE, 1)).when(is_kind("m"), g(METHOD_LINE, 1)).alias("type"),
+        F.when(is_kind("f"), field_names[0]).when(is_kind("m"), method_names[0]).alias("origin"),
+        F.when(is_kind("f"), field_names[1]).when(is_kind("m"), method_names[1]).alias("obfus"),
+        F.when(is_kind("m"), g(METHOD_LINE, 3)).alias("params"),
+    )
+    carried = carry_down(cut(parts), F.col("own"), "header")
+    return cut(carried.select("app", "line", "kind", F.col("header.cls").alias("cls"), F.col("header.origin_cls").alias("origin_cls"), "type", "origin", "obfus", "params"))
 
 
 def _last(x: Column) -> str:
