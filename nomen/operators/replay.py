@@ -7,11 +7,14 @@ start in); such tables compose, so only they are chained over the blocks of a lo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomen.functions import columns as C
+from nomen.operators._lineage import cut
 
 #: (state, event) to the next state
 MOVES = {(1, "train_start"): 2, (2, "train_end"): 3, (3, "predict_start"): 4, (3, "pass"): 1, (4, "predict_stop"): 3}
@@ -20,27 +23,89 @@ BLOCK_LINES = 1 << 16
 _STEPS = "app string, line long, event string, pass string, pass_line long, state int, accepted boolean, seconds double"
 
 
-def steps(lines: pd.DataFrame, state: int, since: float | None, name: str | None, name_line: int | None) -> tuple[list[tuple], tuple]:
-    """The lines of a block in order, from a state on: (line, event, pass, its line, state, accepted, seconds), and where they end."""
-    out = []
-    for line, event, named, at in lines.itertuples(index=False):
-        after = MOVES.get((state, event))
-        seconds = None
-        if after is not None:
-            if event == "pass":
-                name, name_line = named, line
-            elif after in (2, 4):
-                since = at
-            elif since is not None and at is not None:
-                seconds = at - since
-        out.append((line, event, name, name_line, state, after is not None, seconds))
-        state = after or state
-    return out, (state, since, name, name_line)
-
+def step(held: tuple, line: int, event: str | None, named: str | None, at: float | None) -> tuple[tuple, bool, float | None]:
+    """What holds after a line, whether its event was expected, and the seconds that it ends.
 
-def _ordered(block: pd.DataFrame) -> pd.DataFrame:
-    lines = block[["line", "event", "pass", "at"]].sort_values(["line", "event", "at"], kind="stable")
-    return lines.astype(object).where(lines.notna(), None)
+    What holds is (state, since when, pass, the pass's line).
+    """
+    state, since, name, name_line = held
+    after = MOVES.get((state, event))
+    if after is None:
+        return held, False, None
+    seconds = None
+    if event == "pass":
+        name, name_line = named, line
+    elif after in (2, 4):
+        since = at
+    elif since is not None and at is not None:
+        seconds = at - since
+    return (after, since, name, name_line), True, seconds
+
+
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[Iterator[tuple]]:
+    """Each batch's rows as tuples, with None for what is missing."""
+    for batch in batches:
+        yield batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    columns = [c.split(" ") for c in schema.split(", ")]
+    frame = pd.DataFrame(rows, columns=[c for c, _ in columns], dtype=object)
+    return frame.astype({c: {"long": "Int64", "int": "Int32", "double": "float64"}[t] for c, t in columns if t in ("long", "int", "double")})
+
+
+_TABLE = "app string, block long, state int, after int, since double, kept boolean, pass string, pass_line long"
+_BEFORE = "app string, block long, state int, since double, pass string, pass_line long"
+_UNSET = float("nan")  # a mark for "as it was before the block"
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The table of each block; the lines of a block follow one another, over as many batches as they take."""
+    block, held = None, []
+
+    def table() -> list[tuple]:
+        return [(*block, i + 1, end, None if since is _UNSET else since, since is _UNSET, name, at) for i, (end, since, name, at) in enumerate(held)]
+
+    for rows in _rows(batches):
+        out = []
+        for app, of, line, event, named, at in rows:
+            if (app, of) != block:
+                out += table() if block else []
+                block, held = (app, of), [(state, _UNSET, None, None) for state in (1, 2, 3, 4)]
+            held = [step(h, line, event, named, at)[0] for h in held]
+        yield _frame(out, _TABLE)
+    if block:
+        yield _frame(table(), _TABLE)
+
+
+def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What holds before the first line of each block; the blocks of a log follow one another, in order."""
+    log, block, held, before = None, None, None, None
+    for rows in _rows(batches):
+        out = []
+        for app, of, state, after, since, kept, name, name_line in rows:
+            if app != log:
+                log, block, held = app, None, (START, None, None, None)
+            if of != block:
+                block, before = of, held
+                out.append((app, of, *before))
+            if state == before[0]:
+                held = (after, before[1] if kept else since, *((name, name_line) if name_line is not None else before[2:]))
+        yield _frame(out, _BEFORE)
+
+
+def _replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The steps of the lines, whose first columns are what holds before their block."""
+    block, held = None, None
+    for rows in _rows(batches):
+        out = []
+        for app, of, line, event, named, at, *start in rows:
+            if (app, of) != block:
+                block, held = (app, of), tuple(start)
+            state = held[0]
+            held, accepted, seconds = step(held, line, event, named, at)
+            out.append((app, line, event, held[2], held[3], state, accepted, seconds))
+        yield _frame(out, _STEPS)
 
 
 def replay_steps(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -49,49 +114,17 @@ def replay_steps(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     ``pass`` and ``pass_line`` are the pass that the event belongs to (null before the first); ``state`` is the one in which it
     was read; ``seconds`` is how long a training or prediction took that it ends (null where a time is missing).  Rows with a
     null app or line are dropped, other events than the five count as not accepted, rows of one line go by event and time, and
-    further columns are ignored.
+    further columns are ignored.  Blocks are dealt to tasks, sorted and read as a stream: a task holds one state, no block and no log.
     """
     lines = lines.selectExpr("cast(app AS string) AS app", "cast(line AS long) AS line", "event", "cast(pass AS string) AS pass", "cast(at AS double) AS at")
     lines = lines.where("app IS NOT NULL AND line IS NOT NULL").withColumn("block", F.floor(F.col("line") / block_lines).cast("long"))
-
-    def summarise(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        ordered = _ordered(block)
-        unset = float("nan")  # a mark for "as it was before the block"
-        rows = []
-        for state in (1, 2, 3, 4):
-            _, (end, since, name, name_line) = steps(ordered, state, unset, None, None)
-            kept = since is unset
-            rows.append((*key, state, end, None if kept else since, kept, name, name_line))
-        return pd.DataFrame(rows, columns=["app", "block", "state", "after", "since", "kept", "pass", "pass_line"]).astype({"pass_line": "Int64"})
-
-    tables = lines.groupBy("app", "block").applyInPandas(summarise, "app string, block long, state int, after int, since double, kept boolean, pass string, pass_line long")
-
-    def chain(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        """One row per block: what holds before its first line."""
-        table = table.astype(object).where(table.notna(), None)
-        rule = {(r.block, r.state): r for r in table.itertuples()}
-        state, since, name, name_line = START, None, None, None
-        rows = []
-        for block in sorted({b for b, _ in rule}):
-            rows.append((key[0], block, state, since, name, name_line))
-            r = rule[block, state]
-            state = r.after
-            since = since if r.kept else r.since
-            name, name_line = (name, name_line) if r.pass_line is None else (r[7], r.pass_line)
-        return pd.DataFrame(rows, columns=["app", "block", "state", "since", "pass", "pass_line"]).astype({"pass_line": "Int64"})
-
-    before = tables.groupBy("app").applyInPandas(chain, "app string, block long, state int, since double, pass string, pass_line long")
-
-    def replay(key: tuple, block: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        start = start.astype(object).where(start.notna(), None)
-        _, _, state, since, name, name_line = next(start.itertuples(index=False, name=None))
-        rows, _ = steps(_ordered(block), state, since, name, name_line)
-        names = ["line", "event", "pass", "pass_line", "state", "accepted", "seconds"]
-        out = pd.DataFrame(rows, columns=names).astype({"pass_line": "Int64", "seconds": "float64"})
-        out.insert(0, "app", key[0])
-        return out
-
-    return lines.groupBy("app", "block").cogroup(before.groupBy("app", "block")).applyInPandas(replay, _STEPS)
+    lines = lines.select("app", "block", "line", "event", "pass", F.when(~F.isnan("at"), F.col("at")).alias("at"))
+    order = ["app", "block", "line", *[F.col(c).asc_nulls_last() for c in ("event", "at", "pass")]]
+    tables = lines.repartition("app", "block").sortWithinPartitions(*order).mapInPandas(_summaries, _TABLE)
+    before = tables.repartition("app").sortWithinPartitions("app", "block", "state").mapInPandas(_chained, _BEFORE)
+    before = cut(before).select("app", "block", *[F.col(c).alias(f"_{c}") for c in ("state", "since", "pass", "pass_line")])
+    started = lines.join(before, ["app", "block"]).select(*lines.columns, "_state", "_since", "_pass", "_pass_line")
+    return started.repartition("app", "block").sortWithinPartitions(*order).mapInPandas(_replayed, _STEPS)
 
 
 def strict_replay(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
