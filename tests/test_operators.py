@@ -62,6 +62,42 @@ def test_library_groups_and_match(spark):
     assert rows(library.superset_candidates(sets, library.library_hashes(sets, libs)).select("app", "package")) == [("1", "L"), ("2", "L"), ("3", "a.b")]
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_hash_sets_move_edges_twice(spark):
+    n, e = library_corpus(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # edges by target and by source, static nodes and own nodes to meet them, the sets, and two for the packages
+        assert exchanges(library.package_hash_sets(n, e)) <= 7
+        assert exchanges(library.node_hash(n, e, model.LIBRARY_RELATIONS)) <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hash_sets_of_several_relations(spark):
+    """The last of several relations counts, also if it is not listed; static children without a name are marked."""
+    n = spark.createDataFrame([("a", 0, "class", "K", "p.K"), ("a", 1, "type", "int", "int"), ("a", 2, "type", None, "x"), ("a", 3, "class", "L", "q.L")], "app string, id long, type string, name string, sig string")
+    e = spark.createDataFrame([("a", 0, 0, 1, "M_T_return"), ("a", 1, 0, 1, "other"), ("a", 2, 3, 2, "M_T_return")], "app string, ord long, source long, target long, relation string")
+    empty = "d41d8cd98f00b204e9800998ecf8427e"
+    assert rows(library.package_hash_sets(n, e)) == [("a", "p", empty), ("a", "q", empty), ("a", "q", library.NO_HASH)]
+
+
+def test_structural_edges_move_once(spark):
+    none = "CAST(array() AS array<string>)"
+    classes = spark.sql(f"SELECT 'a' AS app, 'K' AS cls, 'p' AS package, 'S' AS super, CAST(NULL AS string) AS outer, {none} AS interfaces, array('public', 'public') AS modifiers UNION ALL SELECT 'a', NULL, 'p', 'S', 'K', {none}, {none}")
+    fields = spark.sql(f"SELECT 'a' AS app, 'K' AS cls, 'K.f' AS field, 'int' AS type, {none} AS modifiers")
+    methods = spark.sql(f"SELECT 'a' AS app, 'K' AS cls, 'K.m' AS method, 'K.m' AS ret, array('int', NULL, 'int') AS params, CAST(NULL AS array<string>) AS exceptions, array('K.f', 'K.f') AS uses_fields, {none} AS uses_methods, {none} AS modifiers, CAST(NULL AS boolean) AS is_constructor")
+    found = graph.structural_edges(classes, fields.union(fields), methods)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(found) == 1 and plan.index("Generate explode(to") < plan.index("Exchange")  # lists move, not their entries
+    want = [("K", "K.f", "has_field"), ("K", "K.m", "has_method"), ("K", "S", "inherit"), ("K", "p", "belongs_to"), ("K", "public", "modifier"), ("K.f", "int", "type"), ("K.m", "K.f", "use_field"), ("K.m", "int", "parameter_0"), ("K.m", "int", "parameter_2")]
+    assert rows(found.select("source", "target", "kind")) == want
+
+
 def test_prefix_filter_equals_plain_join(spark):
     import random
 
