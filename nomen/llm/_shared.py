@@ -49,6 +49,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written into the shared folder in buckets by ``key``: joins on it move the other side only."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"nomen_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay: the table's place is not the catalog's
+    return found
+
+
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df``, written, with a number of its own for each row; and that column's name, which no column of ``df`` has."""
     column = "_row"

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomen.llm import _words
-from nomen.llm._shared import materialise
+from nomen.llm._shared import bucketed, materialise
 
 WINDOW, GRAM = 35, 16
 GUARD = WINDOW - GRAM + 1
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(recurring_anchors(docs))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents without windows left are finished; the others go into groups."""
+        """Documents without windows left are finished, and have a negative gid, one per task; the others go into groups."""
         bitmap, part, number = shared.value, TaskContext.get().partitionId(), 0
         group: list[tuple] = []
         size = windows = 0
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def rows(done: list[tuple], packed: tuple | None) -> pa.RecordBatch:
             n = len(done) + (packed is not None)
             columns = [[r[i] for r in done] + [None] * (n - len(done)) for i in range(3)]
-            grouped = [[None] * len(done) + ([] if packed is None else [packed[i]]) for i in range(5)]
+            grouped = [[-1 - part if i == 0 else None] * len(done) + ([] if packed is None else [packed[i]]) for i in range(5)]
             ids = batch.schema.field(0).type
             kinds = [ids, pa.int64(), pa.string(), pa.int64(), pa.list_(ids), pa.binary(), pa.list_(pa.int64()), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip([*columns, *grouped], kinds)]
@@ -318,9 +318,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield rows([], pack())
 
     fields = f"id {kind}, n_words long, kept string, gid long, ids array<{kind}>, texts binary, sizes array<long>, windows long"
-    out = materialise(docs.mapInArrow(split, fields), "groups")
-    done = out.where("gid IS NULL").select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
-    groups = out.where("gid IS NOT NULL")
+    # the groups' texts stay in their buckets: at least as many as a join would deal, and in proportion to the input
+    stay = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * docs.rdd.getNumPartitions())
+    out = bucketed(docs.mapInArrow(split, fields), "groups", "gid", stay)
+    done = out.where("gid < 0").select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
+    groups = out.where("gid >= 0")
     buckets = max(1, -(-(out.agg(F.sum("windows")).first()[0] or 0) // BUCKET_WINDOWS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -637,6 +637,21 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_repeats_leave_texts_in_their_buckets(spark):
+    line = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(i, f"{line} x{i}") for i in range(40)] + [(99, "short")], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = repeats.remove_repeats(docs, digest=True)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.split("\n") if "FileScan" in line and "texts" in line]
+        assert len(scans) == 2 and all("Bucketed: true" in line for line in scans)
+        assert rows(found.select("doc_id", "n_removed")) == sorted([(i, 50) for i in range(40)] + [(99, 0)], key=str)
+        assert [x["tableName"] for x in spark.sql("SHOW TABLES").collect() if x["tableName"].startswith("nomen_groups")] == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_repeats_same_ids(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = frame(spark, [text, text, "other words"], [5, 5, None])
