@@ -389,3 +389,15 @@ def test_silent_logs_leave_the_state(spark, tmp_path):
     finally:
         q.stop()
     assert rows(spark.table("silent_logs")) == [("ended", 1.0, 4), ("silent", 2.0, None)]
+
+
+def test_edges_meet_either_end_once(spark):
+    n = spark.createDataFrame([("a", 0, "class", "K", "p.K"), ("a", 1, "type", "int[]", "int[]"), ("a", 2, "method", "m", "m")], "app string, id long, type string, name string, sig string")
+    e = spark.createDataFrame([("a", 0, 2, 1, "MT_return"), ("a", 1, 0, 2, "XX_contains"), ("a", 2, 2, 9, "MT_return")], "app string, ord long, source long, target long, relation string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = graph.resolve_arrays(n, graph.latest_edges(e))[1]
+        assert edges._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 12  # 14 when types and arrays were joined apart
+        assert rows(edges) == [("a", 0, 2, 3, "M_[T_return"), ("a", 1, 0, 2, "C_M_contains")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
