@@ -37,8 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from nomen.llm._components import components
 from nomen.llm._shared import materialise, numbered
@@ -52,8 +54,10 @@ BLOCK = 1000  #: stored rows of a key that meet probing rows in one piece of wor
 # the wide fingerprint of documents that are alike by their shingle sets
 WORDS, SEGMENT_COUNT = 5, 12
 FEATURE = 2  #: words of the shingles that the wide fingerprint is made of: few of them change with a word
-NEARBY, TABLES = 6, 42  #: keys that are probed by all nearby indices, and all keys
+TABLES = 42  #: keys of a wide fingerprint
+SIZES = "struct<n:int,m:int,hub:bigint,o:int>"  #: of a set: its shingles, those of other sets too, and those of the node ``hub`` too
 WORD_BITS = 18  #: bits that the first words of two candidates differ in at most (expected at a similarity of 0.8: 6, 32 by chance)
+GROUP_BYTES, BUCKET_HASHES = 4 << 20, 1 << 19  #: text of a group that counts its shingles, hashes of a bucket
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _TO_LOWER = bytes(LOWER)
@@ -253,13 +257,12 @@ def shingle_prints(docs: DataFrame, shingle: int, feature: int = FEATURE) -> Dat
 
 
 def wide_keys(nodes: DataFrame, probing: bool) -> DataFrame:
-    """(key, node, word, part) of nodes (node, fp, part).
+    """(key, node, word, part, at) of nodes (node, fp, part, at: sizes).
 
     The fingerprint is cut into segments of 23 bits.  Each of TABLES keys joins the Golay index of one segment and 12
-    bits of another as they are; with ``probing`` the segment takes all its nearby indices in turn in the first NEARBY
-    keys.  The others take its own index alone, at a quarter of the rows.
+    bits of another as they are; with ``probing`` the segment takes all its nearby indices in turn.
     """
-    schema = "key long, node long, word long, part long"
+    schema = f"key long, node long, word long, part long, at {SIZES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, power = Golay(), 1 << np.arange(23)
@@ -269,7 +272,6 @@ def wide_keys(nodes: DataFrame, probing: bool) -> DataFrame:
                 fp = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(len(rows), 8 * WORDS)
                 bits = np.unpackbits(fp, axis=1)
                 parts = [bits[:, 23 * i : 23 * i + 23].astype(np.int64) @ power for i in range(SEGMENT_COUNT)]
-                own = [code.index[part].astype(np.int64) for part in parts]
                 near, owner = [], []
                 for part in parts:
                     reach = part[:, None] ^ np.append(0, power)[None, :] if probing else part[:, None]
@@ -284,21 +286,111 @@ def wide_keys(nodes: DataFrame, probing: bool) -> DataFrame:
                     i = t % SEGMENT_COUNT
                     other = (i + 1 + t // SEGMENT_COUNT) % SEGMENT_COUNT
                     exact = (parts[other] >> (3 * t % 12)) & 0xFFF
-                    index, at = (near[i], owner[i]) if t < NEARBY else (own[i], np.arange(len(rows)))
-                    out_key.append((np.int64(t) << 24) | (index << 12) | exact[at])
-                    out_row.append(at)
+                    out_key.append((np.int64(t) << 24) | (near[i] << 12) | exact[owner[i]])
+                    out_row.append(owner[i])
                 at = np.concatenate(out_row)
                 word = np.ascontiguousarray(fp[:, :8]).view(np.int64)[:, 0]
                 take = pa.array(at)
-                columns = [pa.array(np.concatenate(out_key)), rows.column(0).take(take), pa.array(word[at]), rows.column(2).take(take)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "word", "part"])
+                columns = [pa.array(np.concatenate(out_key)), rows.column(0).take(take), pa.array(word[at]), *(rows.column(i).take(take) for i in (2, 3))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "word", "part", "at"])
 
-    return nodes.select("node", "fp", "part").mapInArrow(run, schema)
+    return nodes.select("node", "fp", "part", "at").mapInArrow(run, schema)
+
+
+def shared_counts(texts: DataFrame, shingle: int, group_bytes: int = GROUP_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
+    """(row, n, m) of texts (row, text): the size of the shingle set, and how many of its shingles another set holds too.
+
+    Each group of a few megabytes of text sends every hash once, to its bucket, with the first set that has it, or marked if two
+    different sets have it.  Buckets tell groups how many shingles of a set no other set holds.  Hashes count by the bits of
+    their bucket and 32 more: two that are taken for one make ``m`` larger.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, (size // 6 // bucket_hashes).bit_length())
+    fields = "bucket long, gid long, hashes binary, sets binary, twice binary, places binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            lengths = np.array([len(t or "") for t in batch.column(1).to_pylist()])
+            total, a = np.cumsum(lengths), 0
+            while a < len(batch):
+                b = max(a + 1, min(a + 30_000, int(np.searchsorted(total, total[a] - lengths[a] + group_bytes, side="right"))))
+                yield group((part << 32) + number, batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(1).slice(a, b - a).to_pylist())
+                number, a = number + 1, b
+
+    def group(gid: int, row: np.ndarray, column: list[str | None]) -> pa.RecordBatch:
+        place, at, sets, own = np.zeros(len(row), np.uint16), {}, [], []
+        n = np.zeros(len(row), np.uint32)
+        for k, text in enumerate(column):
+            found = _sets(text, shingle)
+            digest = xxhash.xxh64_intdigest(found.tobytes(), 1)
+            if digest not in at:  # equal sets of a group are one
+                at[digest] = len(sets)
+                sets.append(found)
+                own.append(digest & 0xFFFFFFFF)
+            place[k], n[k] = at[digest], len(found)
+        hashes = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+        twice = np.diff(np.append(first, len(hashes))) > 1
+        hashes, owner = hashes[first], owner[first]
+        digest, low = np.array(own, np.uint32)[owner], ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist() if len(bucket) else [0]
+        spans = list(zip(edge[:-1], edge[1:]))
+        cut = lambda x: [x[i:j].tobytes() for i, j in spans]
+        columns = [
+            [*(int(bucket[i]) for i, _ in spans), -1 - gid],  # the last row is for the group itself, and no bucket's
+            [gid] * (len(spans) + 1),
+            [*cut(low), row.astype(np.int64).tobytes()],
+            [*cut(digest), n.tobytes()],
+            [*cut(twice), b""],
+            [*cut(owner), place.tobytes()],
+        ]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "gid", "hashes", "sets", "twice", "places"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return table.select(["gid", "hashes", "sets", "places"])
+        blobs = table["hashes"].to_pylist()
+        read = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        low, own, twice, place = np.frombuffer(b"".join(blobs), np.uint32), read("sets", np.uint32), read("twice", bool), read("places", np.uint16)
+        order = np.argsort(low, kind="stable")
+        new = np.append(True, low[order][1:] != low[order][:-1])
+        head, own = np.flatnonzero(new), own[order]
+        alone = (np.minimum.reduceat(own, head) == np.maximum.reduceat(own, head)) & ~np.logical_or.reduceat(twice[order], head)
+        single = np.empty(len(low), bool)
+        single[order] = alone[np.cumsum(new) - 1]
+        ends = np.cumsum([0, *(len(x) // 4 for x in blobs)]).tolist()
+        out: tuple[list, list] = ([], [])
+        for i, j in zip(ends[:-1], ends[1:]):
+            many = np.bincount(place[i:j][single[i:j]])
+            have = np.flatnonzero(many)
+            out[0].append(have.astype(np.uint16).tobytes())
+            out[1].append(many[have].astype(np.uint32).tobytes())
+        return pa.table({"gid": table["gid"], "hashes": pa.nulls(len(blobs), pa.binary()), "sets": pa.array(out[1], pa.binary()), "places": pa.array(out[0], pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        single, me = np.zeros(1 << 16, np.int64), None
+        for rows, sets, places in zip(*(table[c].to_pylist() for c in ("hashes", "sets", "places"))):
+            if rows is None:
+                single[np.frombuffer(places, np.uint16)] += np.frombuffer(sets, np.uint32)
+            else:
+                me = np.frombuffer(rows, np.int64), np.frombuffer(sets, np.uint32).astype(np.int64), np.frombuffer(places, np.uint16)
+        row, n, place = me
+        return pa.table({"row": row, "n": n.astype(np.int32), "m": (n - single[place]).astype(np.int32)})
+
+    asked = texts.select("row", "text").mapInArrow(ask, fields)
+    told = asked.groupBy("bucket").applyInArrow(answer, "gid long, hashes binary, sets binary, places binary")
+    return told.groupBy("gid").applyInArrow(total, "row long, n int, m int")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b, ...) whose shingle sets reach the similarity; ``texts``: (node, text).  Texts stay where they are: the
-    nodes of pairs are known to all tasks as a bitmap of fixed size, and a false positive costs time and no result."""
+    """The pairs (a, b, ...) with the number of shingles that ``both`` sets have and whether they are ``linked`` by the similarity;
+    without those whose sizes rule it out.  ``texts``: (node, text).  Texts stay where they are: the nodes of pairs are known to all tasks as a bitmap of fixed size, and a false positive costs time and no result."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,12 +407,15 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            sized, linked, common = [], [], []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+                sized.append(min(len(x), len(y)) >= similarity * max(len(x), len(y)))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if sized[-1] else 0
+                linked.append(both >= similarity * (len(x) + len(y) - both))
+                common.append(both)
+            columns = [*batch.select(names).columns, pa.array(common, pa.int32()), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "both", "linked"]).filter(pa.array(sized, pa.bool_()))
 
     names = pairs.columns
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -332,7 +427,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     mine = sets.select(F.col("node").alias("a"), F.col("hashes").alias("sa"))
     theirs = sets.select(F.col("node").alias("b"), F.col("hashes").alias("sb")).join(salts, "b").select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     met = dealt.join(mine, "a").join(theirs, ["b", "salt"]).select(*names, "sa", "sb")
-    return met.mapInArrow(test, pairs.schema)
+    return met.mapInArrow(test, StructType([*pairs.schema.fields, StructField("both", IntegerType()), StructField("linked", BooleanType())]))
 
 
 def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -340,8 +435,13 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
 
     Candidates come from the keys of wide fingerprints, and every link is verified by the shingle sets themselves, so no
     group is wrong; a pair is missed if it shares no key (README: measured recall).  Rows with equal sets are one node.  As
-    in ``near_duplicates``, nodes are linked to the least one of each key first, and other candidates only count
+    in ``near_duplicates``, nodes are linked to one of each key first, and other candidates only count
     between parts: the nearest few of each node and part, then those that are left.
+
+    Copies of one base with changes of their own, too many to be linked, would be candidates in all pairs.  What rules
+    most of them out loses no link: shingles that no other set has are in no intersection (``shared_counts``); of two
+    nodes that were compared with one lead, what they can have in common is bounded (``_may_reach``); and nodes that
+    cannot be more similar to any node than the lead that they are linked to leave the search to that one.
     """
     texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     prints = materialise(shingle_prints(texts, shingle), "prints")
@@ -349,33 +449,65 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
     nodes = materialise(same, "nodes")
     member = prints.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("row", "node")
     text_of = texts.withColumnRenamed("row", "node")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-    stored = materialise(wide_keys(nodes.withColumn("part", F.col("node")), False), "stored")
-    lead = stored.groupBy("key").agg(F.min(F.struct("node", "word")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = stored.join(lead.select("key", F.col("l.node").alias("b"), F.col("l.word").alias("y")), "key")
-    stars = stars.where((near("word", "y") <= WORD_BITS) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b").distinct()
-    links = _similar(materialise(stars, "stars"), text_of, shingle, similarity)
-    part = components(links).select("node", F.col("component").alias("part"))
-    parted = materialise(nodes.join(part, "node", "left").select("node", "fp", F.coalesce("part", "node").alias("part")), "parted")
-
-    mine = wide_keys(parted, False).select("key", F.col("node").alias("a"), F.col("word").alias("x"), "part")
-    theirs = wide_keys(parted, True).select("key", F.col("node").alias("b"), F.col("word").alias("y"), F.col("part").alias("part2"))
-    met = meet_across(mine, theirs).withColumn("d", near("x", "y")).where(F.col("d") <= WORD_BITS)
-    pairs = materialise(met.select("a", "b", "part", "part2", "d").distinct(), "pairs")
-    first = F.row_number().over(Window.partitionBy("b", "part").orderBy("d", "a"))
-    ranked = materialise(pairs.withColumn("nth", first), "ranked")
-    merged = parted.select("node", "part")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= WORD_BITS
+
+    # sets of which too few shingles are shared with any other set have no link
+    counts = shared_counts(texts, shingle).withColumnRenamed("row", "node")
+    linkable = nodes.join(counts, "node").where((F.col("n") > 0) & (F.col("m") >= similarity * F.col("n") - 1e-6)).select("node", "fp", "n", "m")
+    linkable = materialise(linkable, "linkable")
+    sizes = lambda hub, o: F.struct("n", "m", hub.alias("hub"), o.alias("o")).cast(SIZES)
+
+    # links to the node of each key with the least share of shingles of its own: of copies with changes, the base
+    alone = linkable.select("node", "fp", F.col("node").alias("part"), sizes(F.col("node"), F.col("m")).alias("at"))
+    stored = materialise(wide_keys(alone, False), "stored")
+    first = F.struct((1 - F.col("at.m") / F.col("at.n")).alias("own"), F.col("node").alias("b"), F.col("word").alias("y"), F.col("at").alias("at2"))
+    lead = stored.groupBy("key").agg(F.min(first).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l.*")
+    stars = stored.join(lead, "key").where(near("word", "y") & (F.col("node") != F.col("b")) & _may_reach("at", "at2", similarity))
+    stars = stars.select(F.col("node").alias("a"), "b", "at.n", "at.m", F.col("at2.n").alias("n2"), F.col("at2.m").alias("m2")).distinct()
+    led = materialise(_similar(materialise(stars, "stars"), text_of, shingle, similarity), "led")
+    first = F.struct((1 - F.col("m2") / F.col("n2")).alias("own"), F.col("b").alias("hub"), "both", "n2", "m2")
+    hubs = led.groupBy(F.col("a").alias("node")).agg(F.min(first).alias("h"))
+    # one step more: with the lead of the lead, so that more nodes of a group are compared with the same
+    above = hubs.select(F.col("node").alias("b"), F.col("h.hub").alias("top"), F.col("h.n2").alias("n3"), F.col("h.m2").alias("m3"))
+    more = led.select("a", "b", "n", "m").join(above, "b").where("top <> a").select("a", F.col("top").alias("b"), "n", "m", F.col("n3").alias("n2"), F.col("m3").alias("m2"))
+    more = materialise(more.distinct().join(led.select("a", "b"), ["a", "b"], "left_anti"), "stars")
+    led = materialise(led.unionByName(_similar(more, text_of, shingle, similarity)), "led")
+    part = components(led.where("linked").select("a", "b")).select("node", F.col("component").alias("part"))
+    merged = materialise(nodes.select("node").join(part, "node", "left").select("node", F.coalesce("part", "node").alias("part")), "merged")
+
+    # a node whose shared shingles its lead has all, and that is no smaller, is no more similar to any other than its lead
+    done = led.where("linked AND m <= both AND n >= n2 AND struct(1 - m2 / n2, b) < struct(1 - m / n, a)").select(F.col("a").alias("node")).distinct()
+    # what each has in common with a lead, the first of its leads by the same order, bounds what two of that lead have in common
+    hubs = led.groupBy(F.col("a").alias("node")).agg(F.min(first).alias("h"))
+    at = sizes(F.coalesce("h.hub", "node"), F.coalesce("h.both", "m")).alias("at")
+    parted = materialise(linkable.join(done, "node", "left_anti").join(hubs, "node", "left").join(merged, "node").select("node", "fp", "part", at), "parted")
+    mine = wide_keys(parted, False).select("key", F.col("node").alias("a"), F.struct("word", "at").alias("x"), "part")
+    theirs = wide_keys(parted, True).select("key", F.col("node").alias("b"), F.struct("word", "at").alias("y"), F.col("part").alias("part2"))
+    met = meet_across(mine, theirs).where(near("x.word", "y.word") & _may_reach("x.at", "y.at", similarity))
+    far = F.bit_count(F.col("x.word").bitwiseXOR(F.col("y.word"))).alias("d")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("part")).otherwise(F.col("part2")).alias("part"), far)
+    pairs = materialise(met.distinct(), "pairs")
+    nth = F.row_number().over(Window.partitionBy("b", "part").orderBy("d", "a"))
+    ranked = materialise(pairs.withColumn("nth", nth), "ranked")
     for some in (F.col("nth") <= 4, F.col("nth") > 4):
         now = merged.select(F.col("node"), F.col("part").alias("p"))
         left = ranked.where(some).join(now.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").join(now.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
         left = materialise(left.where("pa <> pb").select("a", "b", "pa", "pb"), "left")
-        found = components(_similar(left, text_of, shingle, similarity).select("pa", "pb"))
+        found = components(_similar(left, text_of, shingle, similarity).where("linked").select("pa", "pb"))
         found = found.select(F.col("node").alias("part"), "component")
         merged = materialise(merged.join(found, "part", "left").select("node", F.coalesce("component", "part").alias("part")), "merged")
     return member.join(merged, "node").select("row", F.col("part").alias("group"))
 
 
+def _may_reach(x: str, y: str, similarity: float) -> Column:
+    """Whether two sets (SIZES) can be that similar: they have in common at most what each shares with any other set; and if they
+    were compared with one hub, what both have of it and what both share beyond it."""
+    of = lambda name: (F.col(f"{x}.{name}"), F.col(f"{y}.{name}"))
+    (n, n2), (m, m2), (hub, hub2), (o, o2) = map(of, ("n", "m", "hub", "o"))
+    common = F.when(hub == hub2, F.least(o, o2) + F.least(m - o, m2 - o2)).otherwise(F.least(m, m2))
+    return (1 + similarity) * common >= similarity * (n + n2) - 1e-6
+
+
 def _keep_least(rows: DataFrame, row: str, groups: DataFrame, id_col: str) -> DataFrame:
     """One row of each group (row, group): that with the least id (null last), then the least number."""
     named = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col(row).alias("n")).alias("rank"))

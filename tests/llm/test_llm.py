@@ -250,6 +250,35 @@ def test_similar_groups(spark):
     assert rows(simhash.keep_dissimilar(nulls).select("doc_id", "text")) == sorted([(4, "a b c d"), (None, "q w e"), (8, "")], key=str)
 
 
+def test_shared_counts_equal_brute_force(spark):
+    r = random.Random(3)
+    texts = [babble(r, r.randrange(4, 40), "a b c d e") for _ in range(60)] + ["a b c d e f g"] * 3 + [None, "", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    sets = [frozenset(simhash._sets(t, 3).tolist()) for t in texts]
+    many = {x: sum(x in s for s in set(sets)) for s in sets for x in s}
+    want = sorted((k, len(s), sum(many[x] > 1 for x in s)) for k, s in enumerate(sets))
+    assert sorted(map(tuple, simhash.shared_counts(docs, 3, 300, 64).collect())) == want
+
+
+def test_changed_copies_are_no_pairs(spark, monkeypatch):
+    """Copies of one base with too many changes of their own to be linked are no candidates of each other or of linked ones."""
+    r = random.Random(17)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(160):
+        edit = list(base)
+        for k, at in enumerate(r.sample(range(150), 1 if i % 2 else 6)):
+            edit[at] = f"x{i}_{k}"
+        texts.append(" ".join(edit))
+    written, write = {}, simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: written.setdefault(name, write(df, name)) if name == "pairs" else write(df, name))
+    kept = {x["doc_id"] for x in simhash.keep_dissimilar(frame(spark, texts)).collect()}
+    sets = [set(simhash._sets(t, 5).tolist()) for t in texts]
+    linked = {k for k, s in enumerate(sets) if len(s & sets[0]) >= 0.8 * len(s | sets[0])}
+    assert len(linked) > 60 and kept == {0} | set(range(161)) - linked
+    assert written["pairs"].count() < 100
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     assert rows(_components.components(links)) == sorted([(i, 0) for i in range(201)] + [(500, 500), (501, 500)], key=str)
