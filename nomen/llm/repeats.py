@@ -46,7 +46,7 @@ WINDOW, GRAM = 35, 16
 GUARD = WINDOW - GRAM + 1
 BITMAP_BITS = 1 << 27
 GROUP_BYTES = 4 << 20
-BUCKET_WINDOWS = 1 << 20
+BUCKET_WINDOWS = 1 << 18  #: a bucket is held by one task
 SHARD_WORDS = 400_000
 TILE = (WINDOW + 1) // 2
 SPAN = 512

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -681,6 +682,17 @@ def test_repeats_leave_texts_in_their_buckets(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_full_bucket_of_windows_takes_little_memory():
+    r = np.random.default_rng(3)
+    blobs = [r.integers(1 << 62, size=12 * (1 << 12) // 8).astype(np.int64).tobytes() for _ in range(repeats.BUCKET_WINDOWS >> 12)]
+    flags = [bytes((1 << 12) // 8)] * len(blobs)
+    tracemalloc.start()
+    repeats._repeated(blobs, flags, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
 def test_repeats_same_ids(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = frame(spark, [text, text, "other words"], [5, 5, None])
