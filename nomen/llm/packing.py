@@ -13,7 +13,9 @@ are cut like any other's.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import json
 import re
 import zlib
@@ -29,6 +31,7 @@ from nomen.llm._shared import materialise
 
 LENGTH = 2048
 END_ID = 1
+KEPT_WORDS = 1 << 19  #: words that a process may remember from one task to the next (some 100 MB)
 
 
 class Encoder:
@@ -36,8 +39,8 @@ class Encoder:
 
     Byte-level vocabularies cut a text before a space and around a line end that stands between two other characters, and
     before a point or comma after a letter: no token reaches over such a cut.  So each distinct word is encoded once
-    per process and remembered (``most_words`` bounds the memory: the store is emptied when it is full, which costs time
-    only).  Other vocabularies encode text by text.  Ids are little-endian numbers of ``type``.
+    and remembered (``most_words`` bounds the memory: the store is emptied when it is full, which costs time
+    only; ``forget`` empties it).  Other vocabularies encode text by text.  Ids are little-endian numbers of ``type``.
     """
 
     _LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
@@ -108,12 +111,16 @@ class Encoder:
         pieces = iter(self._pieces([head, *(" " + w for w in words if not self._sound(w))]))
         return next(pieces) + b"".join([self.known[w] if self._sound(w) else next(pieces) for w in words])
 
+    def forget(self, beyond: int = 0) -> None:
+        """Empty the store if it holds more words than that."""
+        if len(self.known) + len(self.starts) > beyond:
+            self.known.clear()
+            self.starts.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.known) + len(self.starts) > self.most_words:
-            self.known.clear()
-            self.starts.clear()
+        self.forget(self.most_words)
         known, starts, sound = self.known, self.starts, self._sound
         lines = [[line.partition(" ") for line in self._lines(t)] for t in texts]
         words = [[rest.split(" ") if space else [] for _, space, rest in p] for p in lines]
@@ -134,9 +141,17 @@ class Encoder:
         return out
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder per process, so that tasks of the same worker share what it remembers."""
+    """One encoder per process, so that tasks of the same worker share the vocabulary."""
     return Encoder(path)
 
 
@@ -147,19 +162,24 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
         wide = np.dtype("<u4") if end_id > 65535 else encode.type
         end = np.array([end_id], wide).tobytes()
-        for batch in batches:
-            texts = batch.column(1)
-            for a in range(0, len(batch), 256):
-                ids = encode.encode([t or "" for t in texts.slice(a, 256).to_pylist()])
-                if wide != encode.type:
-                    ids = [np.frombuffer(x, encode.type).astype(wide).tobytes() for x in ids]
-                ids = [x + end for x in ids]
-                sizes = np.array([len(x) // wide.itemsize for x in ids], np.int64)
-                starts = before + np.cumsum(sizes) - sizes
-                before += int(sizes.sum())
-                parts = pa.array(np.full(len(ids), part, np.int32))
-                columns = [batch.column(0).slice(a, 256), parts, pa.array(starts), pa.array(sizes), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "part", "before", "n_ids", "ids"])
+        try:
+            for batch in batches:
+                texts = batch.column(1)
+                for a in range(0, len(batch), 256):
+                    ids = encode.encode([t or "" for t in texts.slice(a, 256).to_pylist()])
+                    if wide != encode.type:
+                        ids = [np.frombuffer(x, encode.type).astype(wide).tobytes() for x in ids]
+                    ids = [x + end for x in ids]
+                    sizes = np.array([len(x) // wide.itemsize for x in ids], np.int64)
+                    starts = before + np.cumsum(sizes) - sizes
+                    before += int(sizes.sum())
+                    parts = pa.array(np.full(len(ids), part, np.int32))
+                    columns = [batch.column(0).slice(a, 256), parts, pa.array(starts), pa.array(sizes), pa.array(ids, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "part", "before", "n_ids", "ids"])
+        finally:
+            encode.forget(KEPT_WORDS)  # workers live on through other stages, which need the memory
+            batch = texts = ids = columns = None
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, part int, before long, n_ids long, ids binary")
@@ -181,22 +201,26 @@ def pack(
     placed = tokens.join(F.broadcast(base), "part").select("id", (F.col("base") + F.col("before")).alias("place"), "n_ids", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for doc, place, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
-                start = 0
-                while start < n:
-                    sequence, offset = divmod(place + start, length)
-                    size = min(length - offset, n - start)
-                    piece = ids[start : start + size].tobytes()
-                    for column, value in zip(rows, (doc, start, size, zlib.crc32(piece), n, sequence, offset, piece)):
-                        column.append(value)
-                    start += size
-            names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-            numbers = [pa.array(c, pa.int64()) for c in rows[1:7]]
-            columns = [pa.array(rows[0], batch.schema.field(0).type), *numbers, pa.array(rows[7], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        try:
+            for batch in (whole.slice(a, 512) for whole in batches for a in range(0, len(whole), 512)):
+                rows: list[list] = [[] for _ in range(8)]
+                for doc, place, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                    ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
+                    start = 0
+                    while start < n:
+                        sequence, offset = divmod(place + start, length)
+                        size = min(length - offset, n - start)
+                        piece = ids[start : start + size].tobytes()
+                        for column, value in zip(rows, (doc, start, size, zlib.crc32(piece), n, sequence, offset, piece)):
+                            column.append(value)
+                        start += size
+                names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+                numbers = [pa.array(c, pa.int64()) for c in rows[1:7]]
+                columns = [pa.array(rows[0], batch.schema.field(0).type), *numbers, pa.array(rows[7], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            batch = rows = columns = numbers = None
+            give_back()
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long"
     return placed.mapInArrow(cut, schema + ", doc_tokens long, sequence_id long, offset long, ids binary")

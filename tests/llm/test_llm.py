@@ -619,6 +619,24 @@ def test_encoder_equals_tokenizers():
                     assert np.frombuffer(ids, mine.type).tolist() == t.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def test_packing_leaves_no_words_in_its_workers(spark):
+    """A worker lives on through other stages: more than KEPT_WORDS are not remembered beyond a task."""
+    import public_tokenizers
+
+    path, kept = public_tokenizers.path("byte_bpe_50k.json"), packing.KEPT_WORDS
+    texts = [" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(kept // 2000 + 2)]
+    docs = frame(spark, texts).coalesce(1)
+
+    def left(batches):
+        for _ in batches:
+            e = packing.encoder(path)
+            yield pa.RecordBatch.from_pydict({"n": [len(e.known) + len(e.starts)]})
+
+    packing.tokenised(docs, path).write.format("noop").mode("overwrite").save()
+    rows = spark.range(64, numPartitions=8).mapInArrow(left, "n long").collect()
+    assert rows and max(r["n"] for r in rows) <= kept
+
+
 def test_packing_long_white_space(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
