@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +72,18 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system: Python workers live on through other stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def make_room() -> None:
+    """Drop the words that a packing task before this one has left in the process: for tasks that do not tokenise."""
+    packing = sys.modules.get("nomen.llm.packing")
+    if packing is not None and packing.encoder.cache_info().currsize:
+        packing.encoder.cache_clear()
+        give_back()

@@ -13,9 +13,7 @@ are cut like any other's.
 
 from __future__ import annotations
 
-import ctypes
 import functools
-import gc
 import json
 import re
 import zlib
@@ -27,11 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nomen.llm._shared import materialise
+from nomen.llm._shared import give_back, materialise
 
 LENGTH = 2048
 END_ID = 1
-KEPT_WORDS = 1 << 19  #: words that a process may remember from one task to the next (some 100 MB)
 
 
 class Encoder:
@@ -39,8 +36,8 @@ class Encoder:
 
     Byte-level vocabularies cut a text before a space and around a line end that stands between two other characters, and
     before a point or comma after a letter: no token reaches over such a cut.  So each distinct word is encoded once
-    and remembered (``most_words`` bounds the memory: the store is emptied when it is full, which costs time
-    only; ``forget`` empties it).  Other vocabularies encode text by text.  Ids are little-endian numbers of ``type``.
+    per process and remembered (``most_words`` bounds the memory: the store is emptied when it is full, which costs time
+    only).  Other vocabularies encode text by text.  Ids are little-endian numbers of ``type``.
     """
 
     _LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
@@ -111,16 +108,12 @@ class Encoder:
         pieces = iter(self._pieces([head, *(" " + w for w in words if not self._sound(w))]))
         return next(pieces) + b"".join([self.known[w] if self._sound(w) else next(pieces) for w in words])
 
-    def forget(self, beyond: int = 0) -> None:
-        """Empty the store if it holds more words than that."""
-        if len(self.known) + len(self.starts) > beyond:
-            self.known.clear()
-            self.starts.clear()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        self.forget(self.most_words)
+        if len(self.known) + len(self.starts) > self.most_words:
+            self.known.clear()
+            self.starts.clear()
         known, starts, sound = self.known, self.starts, self._sound
         lines = [[line.partition(" ") for line in self._lines(t)] for t in texts]
         words = [[rest.split(" ") if space else [] for _, space, rest in p] for p in lines]
@@ -141,17 +134,9 @@ class Encoder:
         return out
 
 
-def give_back() -> None:
-    """Return what this process has freed to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder per process, so that tasks of the same worker share the vocabulary."""
+    """One encoder per process, so that tasks of the same worker share what it remembers; ``_shared.make_room`` drops it."""
     return Encoder(path)
 
 
@@ -177,7 +162,6 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     columns = [batch.column(0).slice(a, 256), parts, pa.array(starts), pa.array(sizes), pa.array(ids, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "part", "before", "n_ids", "ids"])
         finally:
-            encode.forget(KEPT_WORDS)  # workers live on through other stages, which need the memory
             batch = texts = ids = columns = None
             give_back()
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from nomen.llm._components import components
-from nomen.llm._shared import materialise, numbered
+from nomen.llm._shared import make_room, materialise, numbered
 from nomen.llm._words import LOWER, mix
 from nomen.llm.collocations import bitmap, has
 
@@ -244,6 +244,7 @@ def shingle_prints(docs: DataFrame, shingle: int, feature: int = FEATURE) -> Dat
     documents whose long shingles are alike differ in fewer bits of the short ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for a in range(0, len(batch), 512):
                 texts = batch.column(1).slice(a, 512).to_pylist()
@@ -309,6 +310,7 @@ def shared_counts(texts: DataFrame, shingle: int, group_bytes: int = GROUP_BYTES
     fields = "bucket long, gid long, hashes binary, sets binary, twice binary, places binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             lengths = np.array([len(t or "") for t in batch.column(1).to_pylist()])
@@ -393,6 +395,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     without those whose sizes rule it out.  ``texts``: (node, text).  Texts stay where they are: the nodes of pairs are known to all tasks as a bitmap of fixed size, and a false positive costs time and no result."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             number = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             kept = batch.filter(pa.array(has(shared.value, number)))

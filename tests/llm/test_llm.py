@@ -619,22 +619,21 @@ def test_encoder_equals_tokenizers():
                     assert np.frombuffer(ids, mine.type).tolist() == t.encode(text, add_special_tokens=False).ids, text[:50]
 
 
-def test_packing_leaves_no_words_in_its_workers(spark):
-    """A worker lives on through other stages: more than KEPT_WORDS are not remembered beyond a task."""
+def test_near_dedup_drops_what_packing_remembers(spark):
+    """Workers are used again by other stages: the encoder's words do not stay while documents are compared."""
     import public_tokenizers
 
-    path, kept = public_tokenizers.path("byte_bpe_50k.json"), packing.KEPT_WORDS
-    texts = [" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(kept // 2000 + 2)]
-    docs = frame(spark, texts).coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = frame(spark, ["a b c d e f g"] * 640).repartition(64)
 
     def left(batches):
         for _ in batches:
-            e = packing.encoder(path)
-            yield pa.RecordBatch.from_pydict({"n": [len(e.known) + len(e.starts)]})
+            yield pa.RecordBatch.from_pydict({"n": [packing.encoder.cache_info().currsize]})
 
     packing.tokenised(docs, path).write.format("noop").mode("overwrite").save()
-    rows = spark.range(64, numPartitions=8).mapInArrow(left, "n long").collect()
-    assert rows and max(r["n"] for r in rows) <= kept
+    assert max(r["n"] for r in spark.range(64, numPartitions=64).mapInArrow(left, "n long").collect()) == 1
+    simhash.shingle_prints(docs.select(F.col("doc_id").alias("row"), "text"), 5).write.format("noop").mode("overwrite").save()
+    assert max(r["n"] for r in spark.range(64, numPartitions=64).mapInArrow(left, "n long").collect()) == 0
 
 
 def test_packing_long_white_space(spark):
