@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomen.llm._shared import materialise, remove_written
+from nomen.llm._shared import materialise, merged, remove_written
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -30,9 +30,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = merged(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        small = merged(large, low, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         after = materialise(small.union(low).distinct(), "links")
         new = _mark(after)
         now, same, mark = after, new == mark, new

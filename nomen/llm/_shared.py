@@ -70,6 +70,15 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialise(df.withColumn(column, F.monotonically_increasing_id()), name), column
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)`` without a broadcast, for sides that grow with the corpus.
+
+    Spark takes written tables for as small as their compressed files, and rows that Python or an explode makes of one row
+    for about as small as that row: it would gather and broadcast gigabytes.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

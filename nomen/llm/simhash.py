@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from nomen.llm._components import components
-from nomen.llm._shared import make_room, materialise, numbered
+from nomen.llm._shared import make_room, materialise, merged, numbered
 from nomen.llm._words import LOWER, mix
 from nomen.llm.collocations import bitmap, has
 
@@ -177,11 +177,11 @@ def meet_across(stored: DataFrame, probing: DataFrame, block: int = BLOCK) -> Da
     meets = lambda flag, many: F.transform(F.sequence(F.lit(0), F.col(many) - 1), lambda i: F.struct(F.lit(flag).alias("of"), i.alias("salt")))
     none = F.array().cast("array<struct<of:boolean,salt:int>>")
     to = F.concat(F.when(F.col("part2") != F.col("major"), meets(True, "b1")).otherwise(none), F.when(F.col("parts") > 1, meets(False, "b0")).otherwise(none))
-    alive = probing.join(keys, "key").select("key", "b", "y", "part2", F.explode(to).alias("t")).select("key", "b", "y", "part2", "t.of", "t.salt")
+    alive = merged(probing, keys, "key").select("key", "b", "y", "part2", F.explode(to).alias("t")).select("key", "b", "y", "part2", "t.of", "t.salt")
     of = F.col("part") == F.col("major")
     salt = F.pmod(F.xxhash64("a"), F.when(of, F.col("b1")).otherwise(F.col("b0"))).cast("int")
-    dealt = stored.join(keys, "key").select("key", "a", "x", "part", of.alias("of"), salt.alias("salt"))
-    return dealt.join(alive, ["key", "of", "salt"]).where("part <> part2").select("a", "x", "b", "y", "part", "part2")
+    dealt = merged(stored, keys, "key").select("key", "a", "x", "part", of.alias("of"), salt.alias("salt"))
+    return merged(dealt, alive, ["key", "of", "salt"]).where("part <> part2").select("a", "x", "b", "y", "part", "part2")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -195,16 +195,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # links to the least fingerprint of each key: at most 7 for each fingerprint
     stored = materialise(keys(distinct.select("fp", F.col("fp").alias("part")), False).drop("part"), "stored")
     lead = stored.groupBy("key").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-    stars = stored.join(lead, "key").where(close("fp", "lead") & (F.col("fp") != F.col("lead"))).select("fp", "lead").distinct()
+    stars = merged(stored, lead, "key").where(close("fp", "lead") & (F.col("fp") != F.col("lead"))).select("fp", "lead").distinct()
     part = components(stars).select(F.col("node").alias("fp"), F.col("component").alias("part"))
-    parted = materialise(distinct.join(part, "fp", "left").select("fp", "least", F.coalesce("part", "fp").alias("part")), "parted")
+    parted = materialise(merged(distinct, part, "fp", "left").select("fp", "least", F.coalesce("part", "fp").alias("part")), "parted")
 
     # all other links: between fingerprints that are not in one part yet
     links = cross_links(parted).where(close("x", "y")).select("part", "part2").distinct()
     joined = components(links).select(F.col("node").alias("part"), "component")
-    of = materialise(parted.join(joined, "part", "left").select("fp", "least", F.coalesce("component", "part").alias("component")), "classes")
+    of = materialise(merged(parted, joined, "part", "left").select("fp", "least", F.coalesce("component", "part").alias("component")), "classes")
     best = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(best, "component").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return merged(prints, merged(of, best, "component").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def cross_links(parted: DataFrame) -> DataFrame:

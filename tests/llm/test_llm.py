@@ -280,6 +280,16 @@ def test_changed_copies_are_no_pairs(spark, monkeypatch):
     assert written["pairs"].count() < 100
 
 
+def test_rows_that_grow_from_few_are_not_broadcast(spark):
+    """A fingerprint has some 180 probing keys, which Spark counts as one row: no join may gather them on the driver."""
+    parted = spark.range(50).select(F.col("id").alias("fp"), F.col("id").alias("part"))
+    sized = parted.select(F.col("fp").alias("node"), F.lit(bytes(40)).alias("fp"), "part", F.struct(F.lit(1).alias("n"), F.lit(1).alias("m"), F.lit(0).cast("long").alias("hub"), F.lit(1).alias("o")).alias("at"))
+    wide = lambda x, y, part, probing: simhash.wide_keys(sized, probing).select("key", F.col("node").alias(x), F.struct("word", "at").alias(y), F.col("part").alias(part))
+    for df in (simhash.cross_links(parted), simhash.meet_across(wide("a", "x", "part", False), wide("b", "y", "part2", True))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     assert rows(_components.components(links)) == sorted([(i, 0) for i in range(201)] + [(500, 500), (501, 500)], key=str)
