@@ -49,6 +49,7 @@ from nomen.llm.collocations import bitmap, has
 
 SHINGLE, BITS, SEED = 3, 3, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  #: first bit and size
+BROADCAST_ROWS = 1_000_000  #: row numbers that tasks are sent at once
 BLOCK = 1000  #: stored rows of a key that meet probing rows in one piece of work
 
 # the wide fingerprint of documents that are alike by their shingle sets
@@ -426,10 +427,10 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     sets = materialise(texts.select("node", "text").mapInArrow(hashes, "node long, hashes binary"), "shingles")
     # a node of very many pairs is given to several tasks
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")
+    dealt = merged(pairs, salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")
     mine = sets.select(F.col("node").alias("a"), F.col("hashes").alias("sa"))
-    theirs = sets.select(F.col("node").alias("b"), F.col("hashes").alias("sb")).join(salts, "b").select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    met = dealt.join(mine, "a").join(theirs, ["b", "salt"]).select(*names, "sa", "sb")
+    theirs = merged(sets.select(F.col("node").alias("b"), F.col("hashes").alias("sb")), salts, "b").select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    met = merged(merged(dealt, mine, "a"), theirs, ["b", "salt"]).select(*names, "sa", "sb")
     return met.mapInArrow(test, StructType([*pairs.schema.fields, StructField("both", IntegerType()), StructField("linked", BooleanType())]))
 
 
@@ -450,13 +451,13 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
     prints = materialise(shingle_prints(texts, shingle), "prints")
     same = prints.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.first("fp").alias("fp"))
     nodes = materialise(same, "nodes")
-    member = prints.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("row", "node")
+    member = merged(prints, nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("row", "node")
     text_of = texts.withColumnRenamed("row", "node")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= WORD_BITS
 
     # sets of which too few shingles are shared with any other set have no link
     counts = shared_counts(texts, shingle).withColumnRenamed("row", "node")
-    linkable = nodes.join(counts, "node").where((F.col("n") > 0) & (F.col("m") >= similarity * F.col("n") - 1e-6)).select("node", "fp", "n", "m")
+    linkable = merged(nodes, counts, "node").where((F.col("n") > 0) & (F.col("m") >= similarity * F.col("n") - 1e-6)).select("node", "fp", "n", "m")
     linkable = materialise(linkable, "linkable")
     sizes = lambda hub, o: F.struct("n", "m", hub.alias("hub"), o.alias("o")).cast(SIZES)
 
@@ -465,25 +466,26 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
     stored = materialise(wide_keys(alone, False), "stored")
     first = F.struct((1 - F.col("at.m") / F.col("at.n")).alias("own"), F.col("node").alias("b"), F.col("word").alias("y"), F.col("at").alias("at2"))
     lead = stored.groupBy("key").agg(F.min(first).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l.*")
-    stars = stored.join(lead, "key").where(near("word", "y") & (F.col("node") != F.col("b")) & _may_reach("at", "at2", similarity))
+    stars = merged(stored, lead, "key").where(near("word", "y") & (F.col("node") != F.col("b")) & _may_reach("at", "at2", similarity))
     stars = stars.select(F.col("node").alias("a"), "b", "at.n", "at.m", F.col("at2.n").alias("n2"), F.col("at2.m").alias("m2")).distinct()
     led = materialise(_similar(materialise(stars, "stars"), text_of, shingle, similarity), "led")
     first = F.struct((1 - F.col("m2") / F.col("n2")).alias("own"), F.col("b").alias("hub"), "both", "n2", "m2")
     hubs = led.groupBy(F.col("a").alias("node")).agg(F.min(first).alias("h"))
     # one step more: with the lead of the lead, so that more nodes of a group are compared with the same
     above = hubs.select(F.col("node").alias("b"), F.col("h.hub").alias("top"), F.col("h.n2").alias("n3"), F.col("h.m2").alias("m3"))
-    more = led.select("a", "b", "n", "m").join(above, "b").where("top <> a").select("a", F.col("top").alias("b"), "n", "m", F.col("n3").alias("n2"), F.col("m3").alias("m2"))
-    more = materialise(more.distinct().join(led.select("a", "b"), ["a", "b"], "left_anti"), "stars")
+    more = merged(led.select("a", "b", "n", "m"), above, "b").where("top <> a").select("a", F.col("top").alias("b"), "n", "m", F.col("n3").alias("n2"), F.col("m3").alias("m2"))
+    more = materialise(merged(more.distinct(), led.select("a", "b"), ["a", "b"], "left_anti"), "stars")
     led = materialise(led.unionByName(_similar(more, text_of, shingle, similarity)), "led")
     part = components(led.where("linked").select("a", "b")).select("node", F.col("component").alias("part"))
-    merged = materialise(nodes.select("node").join(part, "node", "left").select("node", F.coalesce("part", "node").alias("part")), "merged")
+    classes = materialise(merged(nodes.select("node"), part, "node", "left").select("node", F.coalesce("part", "node").alias("part")), "merged")
 
     # a node whose shared shingles its lead has all, and that is no smaller, is no more similar to any other than its lead
     done = led.where("linked AND m <= both AND n >= n2 AND struct(1 - m2 / n2, b) < struct(1 - m / n, a)").select(F.col("a").alias("node")).distinct()
     # what each has in common with a lead, the first of its leads by the same order, bounds what two of that lead have in common
     hubs = led.groupBy(F.col("a").alias("node")).agg(F.min(first).alias("h"))
     at = sizes(F.coalesce("h.hub", "node"), F.coalesce("h.both", "m")).alias("at")
-    parted = materialise(linkable.join(done, "node", "left_anti").join(hubs, "node", "left").join(merged, "node").select("node", "fp", "part", at), "parted")
+    found = merged(merged(merged(linkable, done, "node", "left_anti"), hubs, "node", "left"), classes, "node")
+    parted = materialise(found.select("node", "fp", "part", at), "parted")
     mine = wide_keys(parted, False).select("key", F.col("node").alias("a"), F.struct("word", "at").alias("x"), "part")
     theirs = wide_keys(parted, True).select("key", F.col("node").alias("b"), F.struct("word", "at").alias("y"), F.col("part").alias("part2"))
     met = meet_across(mine, theirs).where(near("x.word", "y.word") & _may_reach("x.at", "y.at", similarity))
@@ -493,13 +495,14 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
     nth = F.row_number().over(Window.partitionBy("b", "part").orderBy("d", "a"))
     ranked = materialise(pairs.withColumn("nth", nth), "ranked")
     for some in (F.col("nth") <= 4, F.col("nth") > 4):
-        now = merged.select(F.col("node"), F.col("part").alias("p"))
-        left = ranked.where(some).join(now.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").join(now.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
+        now = classes.select(F.col("node"), F.col("part").alias("p"))
+        left = merged(ranked.where(some), now.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a")
+        left = merged(left, now.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
         left = materialise(left.where("pa <> pb").select("a", "b", "pa", "pb"), "left")
         found = components(_similar(left, text_of, shingle, similarity).where("linked").select("pa", "pb"))
         found = found.select(F.col("node").alias("part"), "component")
-        merged = materialise(merged.join(found, "part", "left").select("node", F.coalesce("component", "part").alias("part")), "merged")
-    return member.join(merged, "node").select("row", F.col("part").alias("group"))
+        classes = materialise(merged(classes, found, "part", "left").select("node", F.coalesce("component", "part").alias("part")), "merged")
+    return merged(member, classes, "node").select("row", F.col("part").alias("group"))
 
 
 def _may_reach(x: str, y: str, similarity: float) -> Column:
@@ -514,10 +517,12 @@ def _may_reach(x: str, y: str, similarity: float) -> Column:
 def _keep_least(rows: DataFrame, row: str, groups: DataFrame, id_col: str) -> DataFrame:
     """One row of each group (row, group): that with the least id (null last), then the least number."""
     named = rows.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col(row).alias("n")).alias("rank"))
-    judged = materialise(named.join(groups, "row"), "judged")
+    judged = materialise(merged(named, groups, "row"), "judged")
     several = judged.groupBy("group").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = judged.join(several.select("group", "best"), "group").where("rank.n <> best.n").select(F.col("row").alias(row))
-    return rows.join(materialise(gone, "gone"), row, "left_anti").drop(row)
+    gone = merged(judged, several.select("group", "best"), "group").where("rank.n <> best.n").select(F.col("row").alias(row))
+    gone = materialise(gone, "gone")
+    few = gone.count() <= BROADCAST_ROWS  # then the texts stay where they are
+    return (rows.join(F.broadcast(gone), row, "left_anti") if few else merged(rows, gone, row, "left_anti")).drop(row)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
