@@ -401,3 +401,22 @@ def test_edges_meet_either_end_once(spark):
         assert rows(edges) == [("a", 0, 2, 3, "M_[T_return"), ("a", 1, 0, 2, "C_M_contains")]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_normalised_edges_carry_their_ends(spark):
+    n = spark.createDataFrame([("a", 3, "class", "K", "p.K"), ("a", 5, "type", "int[]", "int[]"), ("a", 7, "method", "m", "m"), ("a", 9, "class", "L", "p.L")], "app string, id long, type string, name string, sig string")
+    e = spark.createDataFrame([("a", 0, 7, 5, "MT_return"), ("a", 1, 3, 7, "XX_contains")], "app string, ord long, source long, target long, relation string")
+    nodes, edges = graph.normalise_graph(n, e, columns=("type", "name"))
+    want = [("a", 0, 1, 2, "M_[T_return", "method", "m", "type", "int"), ("a", 1, 0, 1, "C_M_contains", "class", "K", "method", "m")]
+    assert rows(edges.select("app", "ord", "source", "target", "relation", "source_type", "source_name", "target_type", "target_name")) == want
+    assert rows(graph.with_endpoints(edges.select("app", "ord", "source", "target", "relation"), nodes, ("type", "name")).select(*edges.columns)) == rows(edges)
+    assert rows(nodes.select("app", "id", "type", "name", "sig")) == [("a", 0, "class", "K", "p.K"), ("a", 1, "method", "m", "m"), ("a", 2, "type", "int", "int")]
+    assert "BroadcastHashJoin [app" not in edges._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("Scan")[0]
+
+
+def test_dense_ids_shuffle_rows_once(spark):
+    df = spark.createDataFrame([(f"n{i}",) for i in range(40)], "name string")
+    found = kg.dense_ids(df, ["name"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("BroadcastExchange")[0]  # before: the written rows were dealt by part again
+    assert [r["name"] for r in found.orderBy("kg_id").collect()] == sorted(f"n{i}" for i in range(40))
