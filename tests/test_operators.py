@@ -1,6 +1,8 @@
 """Operators on hand-made tables: rules that the derived tables don't show."""
 
+import hashlib
 import json
+import re
 
 import pytest
 
@@ -420,3 +422,22 @@ def test_dense_ids_shuffle_rows_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan.split("BroadcastExchange")[0]  # before: the written rows were dealt by part again
     assert [r["name"] for r in found.orderBy("kg_id").collect()] == sorted(f"n{i}" for i in range(40))
+
+
+def test_package_subgraph_meets_edges_once(spark):
+    n = [(0, "class", "K", "p.K"), (1, "class", "L", "p.q.L"), (2, "method", "m", "<p.K: void m()>"), (3, "type", "int", "int"), (4, "class_lib", "S", "java.S"), (5, "package", "p", "p"), (6, "package", "q", "p.q")]
+    n = spark.createDataFrame([("a", *x) for x in n], "app string, id long, type string, name string, sig string")
+    e = [(0, 0, 2, "C_M_contains"), (1, 2, 3, "M_C_refer"), (2, 2, 3, "M_T_return"), (3, 2, 4, "M_C_refer"), (4, 0, 4, "other"), (5, 1, 4, "M_C_refer"), (6, 2, 0, "M_C_refer")]
+    e = spark.createDataFrame([("a", *x) for x in e], "app string, ord long, source long, target long, relation string")
+    md5 = lambda *names: hashlib.md5("\n".join(names).encode()).hexdigest()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes, edges = library.package_subgraph(n, e, recursive=True)
+        q = [("a", "p.q", 1, md5("S"), False), ("a", "p.q", 4, None, True), ("a", "p.q", 6, None, False)]
+        p = [("a", "p", 0, md5(), False), ("a", "p", 1, md5("S"), False), ("a", "p", 2, md5("S", "int"), False), ("a", "p", 3, None, True), ("a", "p", 4, None, True), ("a", "p", 5, None, False), ("a", "p", 6, None, False)]
+        assert rows(nodes.select("app", "package", "id", "hash", "static")) == sorted(p + q, key=str)
+        assert rows(edges) == sorted([("a", "p", 2, 3, "M_T_return"), ("a", "p", 2, 4, "M_C_refer"), ("a", "p", 1, 4, "M_C_refer"), ("a", "p.q", 1, 4, "M_C_refer")], key=str)
+        plan = nodes._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(app#\d+, source#\d+L, target#\d+L", plan)  # before: all edges were dealt by their ends too
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
