@@ -145,3 +145,13 @@ def test_tables(spark, sf_dir):
     want = replay(*tables)
     assert sorted(map(tuple, propagation.propagate_relations(*frames).collect())) == want
     assert len(want) > len(replay(tables[0]))
+
+
+def test_large_rounds_broadcast_nothing(spark):
+    each = spark.range(1, 3).selectExpr("'a' AS app", "cast(0 AS long) AS turn", "id AS ord", "1 AS kind")  # of known, small size
+    rel, near = each.selectExpr("app", "turn", "ord", "concat('ret:', ord) AS r", "kind"), each.selectExpr("app", "turn", "ord", "ord + 6 AS node", "kind")
+    live = rel.select("app", "turn", "ord")
+    for n, broadcasts in ((propagation.LARGE - 1, True), (propagation.LARGE, False)):
+        found = propagation._proposals(rel, near, live, propagation._side(n))
+        assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == broadcasts
+        assert sorted((x["node"], x["r"]) for x in found.collect()) == [(7, "ret:1"), (8, "ret:2")]
